@@ -9,24 +9,58 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_exact_topk(spark, sf_dir):
+    from textquarry.llm import topk
+
+    return topk.query(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark, sf_dir):
+    from textquarry.llm import toxicity
+
+    return toxicity.query(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op3_simhash_dedup(spark, sf_dir):
+    from textquarry.llm import simhash
+
+    return simhash.query(_documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark, sf_dir):
-    from textquarry.llm.suffix import remove_repeats
+    from textquarry.llm import suffix
+
+    return suffix.remove_repeats(_documents(spark, sf_dir))
 
-    return remove_repeats(_documents(spark, sf_dir))
+
+def op5_line_dedup(spark, sf_dir):
+    from textquarry.llm import lines
+
+    return lines.query(_documents(spark, sf_dir))
 
 
 def op9_substring_dedup(spark, sf_dir):
-    from textquarry.llm.substrings import dedup_substrings
+    from textquarry.llm import substrings
 
-    return dedup_substrings(_documents(spark, sf_dir))
+    return substrings.dedup_substrings(_documents(spark, sf_dir))
 
 
 def queries():
     return {
+        "op1_exact_topk": op1_exact_topk,
+        "op2_toxicity": op2_toxicity,
+        "op3_simhash_dedup": op3_simhash_dedup,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from textquarry.llm import lines, topk
+
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op5_line_dedup": lines.ORACLE_SQL}
