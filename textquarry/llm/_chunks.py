@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from textquarry.llm._shared import pick, written
 
 #: Raw bytes and documents after which a chunk is full; a longer document makes a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 CHUNK_DOCS = 16384
 
 SCHEMA = "chunk string, n_docs long, n_bytes long, ids binary, nulls binary, lens binary, body binary"

@@ -305,7 +305,8 @@ def _remove(length: int, gram: int, n_send: int, with_text: bool):
             s = Segments(chunk, length, gram)
             code = joined_mask(codes)
             number = s.number
-            found = [s.windows(np.flatnonzero(np.isin(code, (REPEATED, SEND_REPEATED, HOT_REPEATED))[number] | s.twice[number]) if len(code) else number)]
+            whole = np.flatnonzero(np.isin(code, (REPEATED, SEND_REPEATED, HOT_REPEATED))[number] | s.twice[number]) if len(code) else number
+            found = []
             # the sent ones, of which each sort occurs once here
             for r, (_, which) in zip(sorted(answers, key=lambda r: r["bucket"]), _sent(s, code, n_send)):
                 starts = s.windows(s.one[which[code[which] == SEND]])
@@ -314,9 +315,11 @@ def _remove(length: int, gram: int, n_send: int, with_text: bool):
             if len(starts):
                 found.append(starts[joined_mask(hot).astype(bool)[number]])
             step = np.zeros(len(s.text) + 1, np.int64)
-            at = np.concatenate(found)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + length, -1)
+            np.add.at(step, s.a[whole], 1)
+            np.add.at(step, s.b[whole], -1)
+            for at in found:
+                np.add.at(step, at, 1)
+                np.add.at(step, at + length, -1)
             gone = np.cumsum(step[:-1]) > 0
             removed, spans, shas, texts = [], [], [], []
             for i, j in zip(chunk.starts.tolist(), chunk.ends.tolist()):
