@@ -66,7 +66,7 @@ def _pack(name: str, ids: list, bodies: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(row, pa.schema([("chunk", pa.string()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())]))
 
 
-def _make(batches):
+def _make(batches, most: int):
     part, made, ids, bodies, size = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
         for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -74,18 +74,18 @@ def _make(batches):
             ids.append(doc_id)
             bodies.append(body)
             size += len(body)
-            if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
+            if size >= most or len(ids) >= CHUNK_DOCS:
                 yield _pack(f"{part:08d}-{made:08d}", ids, bodies)
                 made, ids, bodies, size = made + 1, [], [], 0
     if ids:
         yield _pack(f"{part:08d}-{made:08d}", ids, bodies)
 
 
-def chunks(docs: DataFrame, name: str) -> DataFrame:
+def chunks(docs: DataFrame, name: str, most: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table of ``docs`` (doc_id, text; null text counts as empty), written to the shared folder."""
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").cast("binary").alias("text"))
-    return written(docs.mapInArrow(_make, SCHEMA), name, "uncompressed")
+    return written(docs.mapInArrow(lambda batches: _make(batches, most), SCHEMA), name, "uncompressed")
 
 
 def each_chunk(batches) -> Iterator[Chunk]:

@@ -29,14 +29,16 @@ def _digest(x: Column) -> list[Column]:
     return [F.xxhash64(x), F.xxhash64(F.lit("line"), x)]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Drop the lines whose key has at least ``min_chars`` code points and is found in at least ``min_docs``
     documents, but in the largest doc_id that holds it.
 
-    Returns doc_id, n_lines (before), n_dropped, kept_text.
+    Returns doc_id, n_lines (before), n_dropped, kept_text. With ``keep`` it returns these columns of docs
+    instead, among them doc_id and text, which has lost its lines.
     """
-    docs = pick(docs, "doc_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    names = [n for n in keep or () if n not in ("doc_id", "text")]
+    docs = pick(docs, "doc_id", "text", *names)
+    docs = docs.select(*(F.col(n).alias(f"keep_{n}") for n in names), F.col("text").isNull().alias("no_text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     row = ["doc_id", "t1", "t2"]
     lines = docs.select("doc_id", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= min_chars)
@@ -51,14 +53,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     lost = lost.groupBy(*row).agg(F.collect_set("pos").alias("lost"))
     docs = docs.select("*", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))))
     same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.t1") == F.col("l.t1")) & (F.col("d.t2") == F.col("l.t2"))
-    joined = docs.alias("d").join(lost.alias("l"), same, "left").select("d.doc_id", "d.text", "l.lost")
+    joined = docs.alias("d").join(lost.alias("l"), same, "left").select("d.doc_id", "d.text", "d.no_text", "l.lost", *(f"d.keep_{n}" for n in names))
     every = F.split("text", "\n")
     kept = F.filter(every, lambda line, pos: ~F.array_contains("lost", pos))
+    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    if keep:
+        return joined.select(*(F.when(~F.col("no_text"), text).alias(n) if n == "text" else F.col(n if n == "doc_id" else f"keep_{n}").alias(n) for n in keep))
     return joined.select(
         "doc_id",
         F.size(every).cast("long").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        text.alias("kept_text"),
     )
 
 

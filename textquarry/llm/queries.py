@@ -43,12 +43,36 @@ def op5_line_dedup(spark, sf_dir):
     return lines.query(_documents(spark, sf_dir))
 
 
+def op6_language_id(spark, sf_dir):
+    from textquarry.llm import langid
+
+    return langid.query(_documents(spark, sf_dir))
+
+
+def op7_lm_scoring(spark, sf_dir):
+    from textquarry.llm import ppm
+
+    return ppm.query(_documents(spark, sf_dir))
+
+
+def op8_packing(spark, sf_dir):
+    from textquarry.llm import packing
+
+    return packing.query(_documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark, sf_dir):
     from textquarry.llm import substrings
 
     return substrings.dedup_substrings(_documents(spark, sf_dir))
 
 
+def op10_decontamination(spark, sf_dir):
+    from textquarry.llm import decontam
+
+    return decontam.query(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -56,7 +80,11 @@ def queries():
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_line_dedup": op5_line_dedup,
+        "op6_language_id": op6_language_id,
+        "op7_lm_scoring": op7_lm_scoring,
+        "op8_packing": op8_packing,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 

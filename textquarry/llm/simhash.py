@@ -35,14 +35,16 @@ BLOCK = 2048
 GOLAY = 0b101011100011
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, shingle: int = 4, drop_text: bool = False) -> DataFrame:
+    """docs, of which column text is read, with a column fp: the fingerprint as a signed long."""
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                words = (text.as_py() or b"").lower().split()
+            for i, text in enumerate(batch.column(at)):
+                text = text.as_py() or b""
+                words = (text.encode("utf-8", "replace") if isinstance(text, str) else text).lower().split()
                 if not words:
                     continue
                 n = max(1, len(words) - shingle + 1)
@@ -55,10 +57,18 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 for k in range(0, n, 65536):
                     total += np.unpackbits(h[k : k + 65536, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 out[i] = np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if keep[k]), pa.array(out.view(np.int64))], [*(n for k, n in enumerate(names) if keep[k]), "fp"])
+
+    names = docs.columns
+    keep = [not (drop_text and k == at) for k in range(len(names))]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields) if keep[k])
+    return docs.mapInArrow(run, f"{fields}, fp long")
 
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id and fp."""
     docs = pick(docs, "doc_id", "text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")), shingle, drop_text=True)
 
 
 class Code:

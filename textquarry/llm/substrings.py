@@ -13,6 +13,7 @@ is that of the chunks they were packed in; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ class Scan:
             self.chunk, self.window, self.period, self.width = chunk, window, period, window - period + 1
             self.words = [d.split() for d in chunk.docs()]
             self.counts = np.array([len(w) for w in self.words], np.int64)
-            ids = np.fromiter((vocab[w] for ws in self.words for w in ws), np.int64, int(self.counts.sum()))
+            ids = np.fromiter(map(vocab.__getitem__, chain.from_iterable(self.words)), np.int64, int(self.counts.sum()))
             self.hi, self.lo = np.array(vocab.hi, np.uint64)[ids], np.array(vocab.lo, np.uint64)[ids]
             self.begin = np.cumsum(self.counts) - self.counts
             self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
