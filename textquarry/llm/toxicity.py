@@ -63,15 +63,26 @@ def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate:
     bags = []
     for label, text in rows:
         ids, count = np.unique(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(text)), np.int64), return_counts=True)
-        bags.append((int(label), ids, count / max(1, count.sum())))
-    at, bucket = grams(list(vocab)) if vocab else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(at, kind="stable")
-    bucket, size = bucket[order], np.bincount(at, minlength=len(vocab))
+        bags.append((int(label), ids.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
+    words, holders = list(vocab), np.zeros(len(vocab), np.int64)
+    for _, ids, _ in bags:
+        holders[ids] += 1
+    buckets, sizes, texts = [], [], np.zeros(BUCKETS)
+    for lo in range(0, len(words), 1 << 15):  # in steps, which bounds the driver's memory
+        at, found = grams(words[lo : lo + (1 << 15)])
+        order = np.argsort(at, kind="stable")
+        buckets.append(found[order].astype(np.int32))
+        sizes.append(np.bincount(at, minlength=len(words[lo : lo + (1 << 15)])))
+        texts += np.bincount(found, holders[lo + at], BUCKETS)
+    bucket, size = np.concatenate([*buckets, np.zeros(0, np.int32)]), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+    del buckets, sizes, words, vocab
     first = np.cumsum(size) - size
-    used, bucket = np.unique(bucket, return_inverse=True)
+    used = np.flatnonzero(texts)
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    bucket = number[bucket]
     # n-grams of fewer texts keep vectors of zero: they would only learn by heart
-    texts = np.bincount(bucket, np.bincount(np.concatenate([b[1] for b in bags]), minlength=len(vocab)).repeat(size)) if vocab else np.zeros(0)
-    frequent = (texts >= min_docs)[:, None].astype(np.float32)
+    frequent = (texts[used] >= min_docs)[:, None].astype(np.float32)
     v = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32) * frequent
     w, b = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     sv, sw, sb = np.full((len(used), 1), eps, np.float32), 1e-4, 1e-4
@@ -84,7 +95,7 @@ def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate:
             part = [bags[i] for i in perm[lo : lo + batch]]
             y = np.array([p[0] for p in part])
             n = np.array([len(p[1]) for p in part])
-            ids, weight = np.concatenate([p[1] for p in part]), np.concatenate([p[2] for p in part]).astype(np.float32)
+            ids, weight = np.concatenate([p[1] for p in part]), np.concatenate([p[2] for p in part])
             doc = np.repeat(np.arange(len(part)), n)
             own, back = np.unique(ids, return_inverse=True)
             k = size[own]
