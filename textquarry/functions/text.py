@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +17,7 @@ WHITE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 
 
 def _normalized(texts: pd.Series) -> pa.Array:
-    a = pc.utf8_normalize(pa.Array.from_pandas(texts, type=pa.string()), "NFKC")
+    a = pa.array((None if t is None else unicodedata.normalize("NFKC", t) for t in texts), pa.string())
     a = pc.replace_substring_regex(a, r"\p{Cf}", "")
     a = pc.replace_substring_regex(a, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return pc.utf8_trim(pc.replace_substring_regex(a, WHITE, " "), " ")

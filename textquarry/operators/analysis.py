@@ -47,7 +47,7 @@ def slices(texts: DataFrame, gold: DataFrame, train: DataFrame, long: int = 150,
     """
     frequent = train.groupBy("rel").agg(F.count("*").alias("_n"))
     few = gold.select("doc_id", "rel").distinct().join(frequent, "rel", "left").filter(F.coalesce("_n", F.lit(0)) < rare).select("doc_id").distinct().withColumn("_rare", F.lit(True))
-    ends = F.array(F.struct(F.lit("s").alias("side"), F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.col("s_type").alias("type")), F.struct(F.lit("o"), F.col("o_start"), F.col("o_end"), F.col("o_type")))
+    ends = F.array(F.struct(F.lit("s").alias("side"), F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.col("s_type").alias("type")), F.struct(F.lit("o").alias("side"), F.col("o_start").alias("start"), F.col("o_end").alias("end"), F.col("o_type").alias("type")))
     uses = gold.select("doc_id", F.inline(ends)).groupBy("doc_id", "start", "end", "type").agg(F.count("*").alias("n"))
     shared = uses.filter("n > 1").select("doc_id").distinct().withColumn("_shared", F.lit(True))
     rows = texts.select("doc_id", "text").join(few, "doc_id", "left").join(shared, "doc_id", "left")
@@ -97,15 +97,19 @@ def role_errors(gold: DataFrame, predicted: DataFrame, predicted_surfaces: DataF
     pair. An extra triple stands on a gold typed pair, or not. predicted_surfaces: (key, term, type).
     """
     pairs = matched(gold, predicted, [key, *SURFACE])
-    missing, extra = pairs.filter("in_gold = 1 AND in_pred = 0"), pairs.filter("in_gold = 0 AND in_pred = 1")
-    seen = predicted_surfaces.select(key, "term", "type").distinct()
-    end = lambda c: seen.select(key, F.col("term").alias(f"{c}_text"), F.col("type").alias(f"{c}_type"), F.lit(1).alias(f"_{c}"))
-    found = missing.join(end("s"), [key, "s_text", "s_type"], "left").join(end("o"), [key, "o_text", "o_type"], "left")
-    one = found.select(F.when(F.col("_s").isNotNull() & F.col("_o").isNotNull(), "missing_despite_both_typed_surfaces_detected").otherwise("missing_with_participant_surface_or_type_absent").alias("category"))
-    two = missing.join(extra.select(key, *PAIR).distinct(), [key, *PAIR], "left_semi").select(F.lit("missing_with_wrong_role_on_same_typed_pair").alias("category"))
-    on_pair = gold.select(key, *PAIR).distinct().withColumn("_g", F.lit(1))
-    three = extra.join(on_pair, [key, *PAIR], "left").select(F.when(F.col("_g").isNotNull(), "extra_wrong_role_on_gold_typed_pair").otherwise("extra_other_pair_or_type").alias("category"))
-    return one.unionAll(two).unionAll(three).groupBy("category").agg(F.count("*").alias("n"))
+    missing, extra = (F.col("in_gold") == 1) & (F.col("in_pred") == 0), (F.col("in_gold") == 0) & (F.col("in_pred") == 1)
+    # what else stands on the same typed pair of a document
+    same = pairs.groupBy(key, *PAIR).agg(F.max("in_gold").alias("_gold"), F.max(extra.cast("int")).alias("_extra"))
+    seen = predicted_surfaces.groupBy(key, "term", "type").agg(F.count("*").alias("_n"))
+    end = lambda c: seen.select(key, F.col("term").alias(f"{c}_text"), F.col("type").alias(f"{c}_type"), F.col("_n").alias(f"_{c}"))
+    rows = pairs.filter("in_gold <> in_pred").join(same, [key, *PAIR]).join(end("s"), [key, "s_text", "s_type"], "left").join(end("o"), [key, "o_text", "o_type"], "left")
+    both = F.col("_s").isNotNull() & F.col("_o").isNotNull()
+    named = F.array(
+        F.when(missing & both, "missing_despite_both_typed_surfaces_detected").when(missing, "missing_with_participant_surface_or_type_absent"),
+        F.when(missing & (F.col("_extra") == 1), "missing_with_wrong_role_on_same_typed_pair"),
+        F.when(extra & (F.col("_gold") == 1), "extra_wrong_role_on_gold_typed_pair").when(extra, "extra_other_pair_or_type"),
+    )
+    return rows.select(F.explode(F.array_compact(named)).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
 def role_confusions(gold: DataFrame, predicted: DataFrame, most: int = 15, key: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ def draws(rows: DataFrame, id_: str, replicates: int, seed: int, group: list[str
         base = base.withColumn("_g", F.lit(0))
     keys = by or ["_g"]
     ranked = hash_rank(base, keys, F.sha2(F.col(id_).cast("string"), 256), id_).withColumn("_slot", F.col("rank") - 1)
-    at = [F.concat_ws(":", *keys, "_slot") if by else F.col("_slot").cast("string")][0]
+    at = F.concat_ws(":", *keys, "_slot") if by else F.col("_slot").cast("string")
     slots = ranked.select(*keys, "group_size", at.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = slots.select(*keys, "replicate", draw(F.col("replicate"), F.col("_s"), F.col("group_size"), seed).alias("_d")).groupBy(*keys, "replicate", "_d").agg(F.count("*").alias("times"))
     numbered = ranked.select(id_, *keys, F.col("_slot").alias("_d"))
@@ -60,7 +60,7 @@ def paired_runs(rows: DataFrame, classes: int, replicates: int = 400, seed: int
     sizes = rows.groupBy("seed").agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).agg(F.min("n").alias("a"), F.max("n").alias("b"), F.max("d").alias("c"), F.count("*").alias("s")).first()
     if sizes.a != sizes.b or sizes.c != sizes.b or rows.select(key).distinct().count() != sizes.b:
         raise ValueError("the runs don't hold the same rows")
-    long = rows.select(key, "seed", "truth", F.explode(F.array(F.struct(F.lit("r").alias("side"), F.col("reference").alias("prediction")), F.struct(F.lit("c"), F.col("candidate")))).alias("x")).select(key, "seed", "truth", "x.side", "x.prediction")
+    long = rows.select(key, "seed", "truth", F.explode(F.array(F.struct(F.lit("r").alias("side"), F.col("reference").alias("prediction")), F.struct(F.lit("c").alias("side"), F.col("candidate").alias("prediction")))).alias("x")).select(key, "seed", "truth", "x.side", "x.prediction")
 
     def deltas(cells: DataFrame, *by: str) -> DataFrame:
         scores = macro_f1(cells, classes, *by, "seed", "side")

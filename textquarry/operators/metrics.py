@@ -91,7 +91,7 @@ def confusion(rows: DataFrame, truth: str = "truth", prediction: str = "predicti
 
 def class_report(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of each class (id, label) out of the cells of a confusion matrix: precision, recall, f1, support."""
-    per = cells.select(F.explode(F.array(F.struct(F.col("truth").alias("c"), F.when(F.col("truth") == F.col("prediction"), F.col("n")).otherwise(0).alias("correct"), F.lit(0).cast("long").alias("predicted"), F.col("n").alias("gold")), F.struct(F.col("prediction"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))).alias("x")).select("x.*")
+    per = cells.select(F.explode(F.array(F.struct(F.col("truth").alias("c"), F.when(F.col("truth") == F.col("prediction"), F.col("n")).otherwise(0).alias("correct"), F.lit(0).cast("long").alias("predicted"), F.col("n").alias("gold")), F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("correct"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("gold")))).alias("x")).select("x.*")
     sums = per.groupBy("c").agg(*(F.sum(n).alias(n) for n in ("correct", "predicted", "gold")))
     rows = labels.join(sums, F.col("id") == F.col("c"), "left").na.fill(0, ["correct", "predicted", "gold"])
     return scored(rows, "id", "label")
@@ -106,7 +106,7 @@ def classification_summary(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 def macro_f1(cells: DataFrame, classes: int, *by: str) -> DataFrame:
     """Macro F1 over ``classes`` classes for each group: classes with an empty row and column count 0."""
-    ends = F.array(F.struct(F.col("truth").alias("c"), F.col("n").alias("m")), F.struct(F.col("prediction"), F.col("n")))
+    ends = F.array(F.struct(F.col("truth").alias("c"), F.col("n").alias("m")), F.struct(F.col("prediction").alias("c"), F.col("n").alias("m")))
     sums = cells.select(*by, F.inline(ends), F.when(F.col("truth") == F.col("prediction"), F.col("n")).otherwise(0).alias("hit"))
     per = sums.groupBy(*by, "c").agg((F.sum("hit") / F.sum("m")).alias("f"))  # the diagonal is counted from both ends
     return per.groupBy(*by).agg((F.sum("f") / classes).alias("macro_f1"))

@@ -81,7 +81,7 @@ def convert_records(records: DataFrame, schema: DataFrame, *keys: str) -> DataFr
 
 def entities(triples: DataFrame, *keys: str) -> DataFrame:
     """Participants of triples, each once: keys, start, end, type."""
-    ends = F.array(F.struct(F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.col("s_type").alias("type")), F.struct(F.col("o_start"), F.col("o_end"), F.col("o_type")))
+    ends = F.array(F.struct(F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.col("s_type").alias("type")), F.struct(F.col("o_start").alias("start"), F.col("o_end").alias("end"), F.col("o_type").alias("type")))
     return triples.select(*keys, F.inline(ends)).distinct()
 
 
