@@ -126,6 +126,21 @@ def without_held_out(rows: DataFrame, held_out: DataFrame, reason: str) -> Clean
     return Cleaned(rows.join(keys, "key", "left_anti"), rows.join(keys, "key", "left_semi").withColumn("reason", F.lit(reason)))
 
 
+def contained_passages(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, item_id): documents that hold a passage literally.
+
+    The first ``words`` words inside a passage (its first and last may be cut words) are joined with the documents'
+    windows of as many words by an equi-join; only matches are compared in full. Shorter passages are not looked for.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    anchor = passages.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(split("text"), 2, words), " ").alias("anchor")).filter(F.size(split("text")) > words + 1)
+    rows = docs.select("doc_id", "text", split("text").alias("w")).filter(F.size("w") >= words)
+    starts = F.sequence(F.lit(1), F.size("w") - words + 1)
+    windows = rows.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("anchor"))
+    near = windows.join(anchor, "anchor").select("doc_id", "item_id", "passage").distinct()
+    return near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+
+
 def fixed_benchmark(train: DataFrame, validation: DataFrame, test: DataFrame, per_class: int, seed: int | str) -> Cleaned:
     """A benchmark whose test rows all stay, duplicates too: validation without test's texts; train without both,
     conflicting groups and duplicates; then ``per_class`` train rows of each label in seeded order.

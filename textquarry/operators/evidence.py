@@ -38,18 +38,18 @@ OUTCOMES = ("OS", "PFS", "ORR")
 METHOD = "evidence_rules_v1"
 
 
-def categories(text: Column) -> Column:
+def categories(text: Column, cues: dict[str, str] = CUES) -> Column:
     """Names of the cues that a sentence holds."""
-    return F.filter(F.array(*(F.when(text.rlike("(?iU)" + p), F.lit(name)) for name, p in CUES.items())), lambda c: c.isNotNull())
+    return F.array_compact(F.array(*(F.when(text.rlike("(?iU)" + p), F.lit(name)) for name, p in cues.items())))
 
 
-def qualifiers(text: Column, base: Column | int = 0) -> Column:
+def qualifiers(text: Column, base: Column | int = 0, patterns: dict[str, str] = QUALIFIERS) -> Column:
     """map<name, spans>: every qualifier has an entry."""
-    return F.create_map(*(x for name, p in QUALIFIERS.items() for x in (F.lit(name), regex_spans(text, p, base))))
+    return F.create_map(*(x for name, p in patterns.items() for x in (F.lit(name), regex_spans(text, p, base))))
 
 
 def scope_flags(text: Column) -> Column:
-    return F.filter(F.array(*(F.when(text.rlike("(?iU)" + p), F.lit(name)) for name, p in QUALIFIERS.items())), lambda c: c.isNotNull())
+    return categories(text, QUALIFIERS)
 
 
 def provenance(text: Column, base: Column | int = 0) -> Column:
