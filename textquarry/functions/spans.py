@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def regex_spans(text: Column, pattern: str, base: Column | int = 0) -> Column:
@@ -26,6 +30,20 @@ def regex_spans(text: Column, pattern: str, base: Column | int = 0) -> Column:
     return F.when(text.isNotNull(), F.aggregate(pairs, F.struct(base.alias("at"), empty.alias("out")), add, lambda s: s["out"]))
 
 
+def text_spans(text: Column, pattern: str) -> Column:
+    """All matches in long texts: array<struct<start, end, text>>.
+
+    ``regex_spans`` copies what it has found for each further match, which is cheapest inside sentences; over whole
+    documents with thousands of matches this takes time in proportion, in Python over Arrow batches.
+    """
+
+    def run(texts: pd.Series) -> pd.Series:
+        find = re.compile(pattern, re.I).finditer
+        return pd.Series([None if t is None else [{"start": m.start(), "end": m.end(), "text": m.group()} for m in find(t)] for t in texts], dtype=object)
+
+    return pandas_udf(run, "array<struct<start:int,end:int,text:string>>")(text)
+
+
 def occurrences(text: Column, term: Column) -> Column:
     """Starts of all occurrences of a non-empty term, overlapping ones too: array<int>."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - F.length(term), F.lit(0)))

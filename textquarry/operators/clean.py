@@ -42,17 +42,26 @@ def validated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("split", F.when(F.col("split") != "", F.col("split"))).withColumn("key", text_key("text"))
 
 
+def identity(key: str) -> Column:
+    """What a key is grouped and joined by: 32 bytes instead of a whole text."""
+    return F.unhex(F.sha2(F.col(key), 256))
+
+
 def group_facts(rows: DataFrame, key: str = "key", line: str = "source_line") -> DataFrame:
-    """For each key: its size, first line, whether labels conflict, whether splits differ."""
-    return rows.groupBy(F.col(key).alias("_key")).agg(
+    """For each key (as ``identity``): its size, first line, whether labels conflict, whether splits differ.
+
+    Labels and splits are compared by 64 bits of hash, which hash aggregation can hold.
+    """
+    label, split = F.xxhash64("label"), F.when(F.col("split").isNotNull(), F.xxhash64("split"))
+    return rows.groupBy(identity(key).alias("_key")).agg(
         F.count("*").alias("copies"), F.min(line).alias("first_line"),
-        (F.min("label") != F.max("label")).alias("conflict"), F.coalesce(F.min("split") != F.max("split"), F.lit(False)).alias("leak"),
+        (F.min(label) != F.max(label)).alias("conflict"), F.coalesce(F.min(split) != F.max(split), F.lit(False)).alias("leak"),
     )
 
 
 def with_facts(rows: DataFrame, key: str = "key", line: str = "source_line") -> DataFrame:
     facts = group_facts(rows, key, line)
-    return rows.join(facts, F.col(key) == F.col("_key")).drop("_key")
+    return rows.join(facts, identity(key) == F.col("_key")).drop("_key")
 
 
 def deduplicated(rows: DataFrame, line: str = "source_line") -> Cleaned:
@@ -115,15 +124,16 @@ def prepare(rows: DataFrame, seed: int | str = 42) -> Cleaned:
 
 
 def held_out_duplicates(rows: DataFrame) -> DataFrame:
-    """Groups of equal texts: key, lines, labels, conflicting."""
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("source_line")).alias("lines"), F.array_sort(F.collect_set("label")).alias("labels"))
+    """Groups of equal texts: key (its SHA-256), lines, labels, conflicting."""
+    groups = rows.groupBy(F.sha2("key", 256).alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("source_line")).alias("lines"), F.array_sort(F.collect_set("label")).alias("labels"))
     return groups.filter("n > 1").select("key", "lines", "labels", (F.size("labels") > 1).alias("conflicting"))
 
 
 def without_held_out(rows: DataFrame, held_out: DataFrame, reason: str) -> Cleaned:
     """Rows whose key no held-out row has; the others are audited."""
-    keys = held_out.select("key").distinct()
-    return Cleaned(rows.join(keys, "key", "left_anti"), rows.join(keys, "key", "left_semi").withColumn("reason", F.lit(reason)))
+    keys = held_out.select(identity("key").alias("_key")).distinct()
+    same = identity("key") == F.col("_key")
+    return Cleaned(rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi").withColumn("reason", F.lit(reason)))
 
 
 def contained_passages(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:

@@ -40,13 +40,13 @@ def dedup_audit(spark, sf):
 
 def heldout_duplicate_groups(spark, sf):
     g = clean.held_out_duplicates(docs(spark, sf))
-    return g.select(F.sha2("key", 256).alias("key"), F.array_join("lines", ",").alias("doc_ids"), F.array_join("labels", ",").alias("labels"), "conflicting")
+    return g.select("key", F.array_join("lines", ",").alias("doc_ids"), F.array_join("labels", ",").alias("labels"), "conflicting")
 
 
 def label_conflict_quarantine(spark, sf):
     rows = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.lower(F.substring("text", 1, 4)).alias("key"), F.lit(None).cast("string").alias("split"))
     facts = clean.group_facts(rows, line="doc_id")
-    return facts.filter("conflict").select(F.col("_key").alias("key"), "copies", F.col("first_line").alias("first_doc"))
+    return facts.filter("conflict").select(F.lower(F.hex("_key")).alias("key"), "copies", F.col("first_line").alias("first_doc"))
 
 
 def audit_reasons(spark, sf):
@@ -153,7 +153,7 @@ QUERIES = {
 SELECT doc_id, CASE WHEN c THEN 'conflicting_labels' ELSE 'normalized_duplicate' END AS reason FROM d JOIN g USING (k) WHERE c OR doc_id <> f"""),
     "heldout_duplicate_groups": (heldout_duplicate_groups, f"""SELECT sha256({KEY}) AS key, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids, array_to_string(list_sort(list_distinct(list(lang))), ',') AS labels, count(DISTINCT lang) > 1 AS conflicting
 FROM documents GROUP BY {KEY} HAVING count(*) > 1"""),
-    "label_conflict_quarantine": (label_conflict_quarantine, "SELECT lower(substr(text, 1, 4)) AS key, count(*)::BIGINT AS copies, min(doc_id) AS first_doc FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)"),
+    "label_conflict_quarantine": (label_conflict_quarantine, "SELECT sha256(lower(substr(text, 1, 4))) AS key, count(*)::BIGINT AS copies, min(doc_id) AS first_doc FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)"),
     "audit_reasons": (audit_reasons, f"SELECT CASE WHEN {NORMAL} = '' THEN 'empty_text_or_label' WHEN length({NORMAL}) > 20000 THEN 'text_or_label_too_long' WHEN n_chars % 7 = 0 THEN 'unknown_split' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM documents GROUP BY 1"),
     "leakage_exact": (leakage_exact, f"SELECT doc_id, 'leak' AS reason FROM documents WHERE {KEY} IN (SELECT {KEY} FROM benchmark)"),
     "leakage_contains": (leakage_contains, r"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) > 6"),

@@ -17,7 +17,7 @@ CUES = {"liquid": r"\bof\b", "article": r"\bthe\b", "toxic": r"idiot|moron", "se
 
 def words(spark, sf, table="benchmark", key="item_id"):
     """(doc_id, start, end, type, text): words of a table's texts, typed by their length."""
-    rows = load(spark, sf, table).select(F.col(key).alias("doc_id"), F.inline(sp.regex_spans(F.col("text"), "[a-z]+")))
+    rows = load(spark, sf, table).select(F.col(key).alias("doc_id"), F.inline(sp.text_spans(F.col("text"), "[a-z]+")))
     return rows.withColumn("type", F.when(F.col("end") - F.col("start") > 6, "long").otherwise("short"))
 
 
@@ -88,8 +88,10 @@ def threshold_decode(spark, sf):
 
 
 def dictionary_terms(spark, sf):
-    rows = load(spark, sf, "documents").select("text", F.inline(sp.regex_spans(F.col("text"), "[a-z]+")).alias("start", "end", "t"))
-    return relations.dictionary(rows.select(F.lower("text").alias("text"), "start", "end", F.when(F.col("end") - F.col("start") > 6, "long").otherwise("short").alias("type")), 20)
+    rows = load(spark, sf, "documents").select(F.inline(sp.text_spans(F.lower("text"), "[a-z]+")).alias("start", "end", "text"))
+    # the surface itself is the text, so that whole documents aren't repeated for each word
+    surfaces = rows.select("text", F.lit(0).alias("start"), (F.col("end") - F.col("start")).alias("end"))
+    return relations.dictionary(surfaces.withColumn("type", F.when(F.col("end") > 6, "long").otherwise("short")), 20)
 
 
 def dictionary_matches(spark, sf):
