@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +27,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm._shared import pick
+from textquarry.llm._words import split_words
 from textquarry.llm.substrings import MULT, rolling
 
 WINDOW, SIMILAR = 5, 0.8
 BLOCK_WINDOWS = 1 << 20
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 PLAIN, NUMBER, UNIT, NAME = range(4)
 
 NUMBERS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
 UNITS = set("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent mph kmh kph degree degrees".split())
 NUMBER_LIKE = re.compile(r"[$€£]?[-+]?\d[\d.,:/]*(?:[a-z%°]{1,4})?")
+STOPS, CLOSING = ".!?:", "\"')]»”"
 EDGES = re.compile(r"^\W+|[^\w%]+$")
 
 
 def canonical(word: str) -> tuple[int, str, str]:
     """(kind, canonical token, value) of a word inside a sentence."""
+    plain = word.rstrip(".,;:!?")
+    if plain.isalpha() and plain.islower() and plain not in NUMBERS and plain not in UNITS:  # most words
+        return PLAIN, plain, plain
     bare = EDGES.sub("", word) or word
     low = bare.lower()
     if NUMBER_LIKE.fullmatch(low) or low in NUMBERS:
@@ -55,47 +59,48 @@ def canonical(word: str) -> tuple[int, str, str]:
 
 
 class Words(dict):
-    """Raw word → its number; hashes of its token inside a sentence and at the start of one."""
+    """Raw word → its number; for each number the value, kind, hashes inside a sentence and at its start, and whether it ends one."""
+
+    TYPES = (np.uint8, np.uint64, np.uint64, bool)
 
     def __init__(self):
         super().__init__()
-        self.raw, self.kind, self.inside, self.start, self.ends = [], [], [], [], []
+        self.raw, self.new = [], []
+        self.columns = [np.zeros(0, t) for t in self.TYPES]
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
         kind, token, value = canonical(word)
+        inside = xxhash.xxh64_intdigest(token)
         self.raw.append(value)
-        self.kind.append(kind)
-        self.inside.append(xxhash.xxh64_intdigest(token))
-        self.start.append(xxhash.xxh64_intdigest(value) if kind == NAME else self.inside[-1])
-        self.ends.append(word.rstrip("\"')]»”")[-1:] in ".!?:")
+        self.new.append((kind, inside, xxhash.xxh64_intdigest(value) if kind == NAME else inside, word.rstrip(CLOSING)[-1:] in STOPS))
         n = len(self)
         self[raw] = n
         return n
 
-    def arrays(self):
-        return np.array(self.kind, np.uint8), np.array(self.inside, np.uint64), np.array(self.start, np.uint64), np.array(self.ends, bool)
+    def arrays(self) -> list[np.ndarray]:
+        if self.new:
+            self.columns = [np.concatenate([c, np.array(x, t)]) for c, x, t in zip(self.columns, zip(*self.new), self.TYPES)]
+            self.new = []
+        return self.columns
 
 
 class Text:
     """Canonical tokens of some texts, one after another."""
 
-    def __init__(self, texts: list[bytes], words: Words):
-        split = [t.split() for t in texts]
-        self.count = np.array([len(s) for s in split], np.int64)
+    def __init__(self, texts: pa.Array, words: Words):
+        index, self.count, distinct = split_words(texts)
         self.begin = np.cumsum(self.count) - self.count
-        ids = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, int(self.count.sum()))
+        ids = np.fromiter(map(words.__getitem__, distinct), np.int64, len(distinct))[index]
         kind, inside, start, ends = words.arrays()
         first = np.zeros(len(ids), bool)
         if len(ids):
             first[1:] = ends[ids[:-1]]
             first[self.begin[self.count > 0]] = True
-            self.hash, self.kind = np.where(first, start[ids], inside[ids]), kind[ids]
-            self.kind[first & (self.kind == NAME)] = PLAIN
-        else:
-            self.hash, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.hash, self.kind = np.where(first, start[ids], inside[ids]), kind[ids]
+        self.kind[first & (self.kind == NAME)] = PLAIN
         self.ids = ids
-        self.doc = np.repeat(np.arange(len(texts)), self.count)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
         self.left = self.count[self.doc] - (np.arange(len(ids)) - self.begin[self.doc])
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], window: int):
         words = Words()
-        text = Text([t.encode() for _, t in items], words)
+        text = Text(pa.array([t for _, t in items], pa.string()), words)
         self.ids = [i for i, _ in items]
         hashes, owners, places = [], [], []
         self.sizes = set()
@@ -179,7 +184,7 @@ def _find(shared, window: int, similar: float, column: int):
                 if len(words) > CACHE_WORDS:
                     words = Words()
                 docs = batch.column(column).slice(lo, 512)
-                text = Text([(d.as_py() or "").encode("utf-8", "replace") for d in docs], words)
+                text = Text(docs, words)
                 hits = defaultdict(list)
                 for n in sorted(index.sizes):
                     h, at = text.windows(n)
