@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.texts import frame, rows
@@ -23,7 +24,7 @@ def test_words_as_the_library_does():
     texts = ["", " \n", "It's aaa aaaa 12a3 <|endoftext|>b <|ENDOFTEXT|> Σ ΑΣ ﬁ İx ß é ́x \x1dq x²½ ª 'S 日本語 \U0001f600 \x00 a\x00b　c\x85d"]
     texts += ["".join(chr(rnd.choice([rnd.randrange(1, 0x180), rnd.randrange(97, 123), 32, rnd.randrange(1, 0x3000)])) for _ in range(40)) for _ in range(500)]
     texts += ["".join(rnd.choice("aaabcé<|>' ") for _ in range(40)) for _ in range(500)] + [t or "" for _, t in rows()]
-    ids, n = encoder([t.encode() for t in texts])
+    ids, n = encoder(pa.array(texts))
     for t, a, b in zip(texts, np.cumsum(n) - n, np.cumsum(n)):
         assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 

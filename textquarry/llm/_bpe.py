@@ -10,9 +10,12 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from textquarry.llm._words import split_words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 NONE = np.int64(1 << 40)
@@ -160,7 +163,7 @@ class Vocabulary:
 class Encoder:
     """Texts to ids, word by word with a memory of words."""
 
-    MOST = 1 << 20
+    MOST = 1 << 19
 
     def __init__(self, path: str):
         self.vocab = load(path)
@@ -169,24 +172,22 @@ class Encoder:
     def _clear(self) -> None:
         self.words, self.flat, self.count, self.begin = {}, np.zeros(0, self.vocab.type), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has. No id spans white space in such a vocabulary."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()  # whose case counts
+        index, n, distinct = split_words(texts, "" if special else "ascii")
         if len(self.words) > self.MOST:
             self._clear()
-        new = list(set(chain.from_iterable(split)).difference(self.words))
+        new = [w for w in distinct if w not in self.words]
         if new:
             ids, count = self.vocab.encode([w.decode("utf-8", "replace") for w in new])
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
             self.flat = np.concatenate([self.flat, ids.astype(self.vocab.type)])
-        get = self.words.__getitem__
-        n = np.array([len(ws) for ws in split], np.int64)
-        word = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(n.sum()))
+        word = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[index]
         size = self.count[word]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[word] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        return ids, np.diff(total[bounds])
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(n)])])

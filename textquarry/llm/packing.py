@@ -75,7 +75,7 @@ def _tokenize(path: str, end: int):
             encoder = encoder or Encoder(path)
             for lo in range(0, batch.num_rows, 512):
                 docs = batch.slice(lo, 512)
-                ids, count = encoder([t.as_py() or b"" for t in docs.column(1)])
+                ids, count = encoder(docs.column(1))
                 ids = np.insert(ids, np.cumsum(count), end).astype(encoder.vocab.type)
                 count = count + 1
                 ends = np.cumsum(count)
