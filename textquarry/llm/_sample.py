@@ -12,17 +12,26 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def sample(labelled: DataFrame, docs: DataFrame, per_label: int | Column, max_bytes: int, max_labels: int = 256) -> list[tuple]:
-    """(label, text) of at most ``per_label`` documents of each label, chosen by the hash of doc_id.
+def sampled(labelled: DataFrame, docs: DataFrame, per_label: int | Column, max_bytes: int, max_labels: int = 256) -> DataFrame:
+    """(doc_id, label, text) of at most ``per_label`` documents of each label, chosen by the hash of doc_id.
 
     labelled: (doc_id, label); docs: (doc_id, text), where texts over ``max_bytes`` can't be chosen and at
-    most ``max_labels`` labels are told apart, the smallest. The choice doesn't depend on partitions.
+    most ``max_labels`` labels are told apart, the smallest. The choice doesn't depend on partitions. Before rows
+    are ranked, a cutoff that follows from the labels' counts leaves about as many as are wanted, so no task gets
+    more than a few times the sample.
     """
-    best = Window.partitionBy("label").orderBy("h", "doc_id")
-    chosen = labelled.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
-    chosen = chosen.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_label)
-    labels = chosen.select("label").distinct().orderBy("label").limit(max_labels)
-    chosen = chosen.join(F.broadcast(labels), "label").select(F.col("doc_id").alias("chosen"), "label")  # at most per_label * max_labels rows
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).filter(F.octet_length("text") <= max_bytes)
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r")).select("doc_id", "r.label", "r.text")
-    return [(r.label, r.text) for r in sorted(rows.collect(), key=lambda r: (str(r.label), r.doc_id))]
+    rows = labelled.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).withColumn("most", per_label if isinstance(per_label, Column) else F.lit(per_label))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(max_labels)  # a row for each label
+    counts = F.broadcast(counts)
+    near = rows.join(counts, "label").filter(F.col("h") < F.lit(float(1 << 40)) * (1.2 * F.col("most") + 200) / F.col("n"))
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).filter(F.col("rank") <= F.col("most"))
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen"), "label"))  # at most per_label * max_labels rows
+    found = docs.join(chosen, F.col("doc_id") == F.col("chosen")).filter(F.octet_length("text") <= max_bytes)
+    return found.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r")).select("doc_id", "r.label", "r.text")
+
+
+def sample(labelled: DataFrame, docs: DataFrame, per_label: int | Column, max_bytes: int, max_labels: int = 256) -> list[tuple]:
+    """(label, text) of the sample, in a fixed order."""
+    rows = sampled(labelled, docs, per_label, max_bytes, max_labels).collect()
+    return [(r.label, r.text) for r in sorted(rows, key=lambda r: (str(r.label), r.doc_id))]

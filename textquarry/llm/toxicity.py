@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm._sample import remainder, sample
+from textquarry.llm._sample import remainder, sampled
 from textquarry.llm._shared import pick
+from textquarry.llm._words import split_words
 
 BUCKETS, GRAMS, DIM = 1 << 20, (3, 4, 5, 6), 4
 #: The bounded sample that is learned from: documents with label 0 and with label 1, and bytes of one document.
-CLEAN, TOXIC, MAX_BYTES = 6000, 3000, 200_000
+CLEAN, TOXIC, MAX_BYTES = 6000, 3000, 50_000
 #: Distinct words kept in a task's memory, and words of a batch that are hashed at once.
-CACHE_WORDS, STEP = 1 << 20, 1 << 18
+CACHE_WORDS, STEP = 1 << 18, 1 << 16
 
 
 @np.errstate(over="ignore")
@@ -52,18 +53,17 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(bucket)
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
 def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate: float = 0.5, eps: float = 1e-6, min_docs: int = 5, shrink: float = 1.5e-4, seed: int = 1) -> tuple[np.ndarray, float]:
     """(a number for each bucket, bias): the difference of the two classes' logits, linear in the n-grams."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     bags = []
-    for label, text in rows:
-        ids, count = np.unique(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(text)), np.int64), return_counts=True)
-        bags.append((int(label), ids.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
+    for lo in range(0, len(rows), 256):
+        index, n, distinct = split_words(pa.array([t for _, t in rows[lo : lo + 256]], pa.string()), "utf8")
+        number = np.fromiter((vocab.setdefault(w.decode(), len(vocab)) for w in distinct), np.int32, len(distinct))
+        for (label, _), own in zip(rows[lo:], np.split(number[index], np.cumsum(n)[:-1])):
+            ids, count = np.unique(own, return_counts=True)
+            bags.append((int(label), ids, (count / max(1, count.sum())).astype(np.float32)))
     words, holders = list(vocab), np.zeros(len(vocab), np.int64)
     for _, ids, _ in bags:
         holders[ids] += 1
@@ -141,28 +141,37 @@ class Scorer:
         self.cache.update(zip(words, range(len(self.cache), len(self.cache) + len(words))))
         self.values = np.concatenate([self.values, value])
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.values = {}, np.zeros(0)
-        words = [words_of(t) for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.cache))
+        index, n, distinct = split_words(texts, "utf8")
+        words = [w.decode("utf-8", "replace") for w in distinct]
+        new = list(dict.fromkeys(w for w in words if w not in self.cache))
         for lo in range(0, len(new), STEP):
             self._learn(new[lo : lo + STEP])
-        get = self.cache.__getitem__
-        logit = np.array([self.values[np.fromiter(map(get, ws), np.int64, len(ws))].mean() if ws else 0.0 for ws in words]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        value = self.values[np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))] if words else np.zeros(0)
+        total = np.bincount(np.repeat(np.arange(len(n)), n), value[index], len(n))
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -500, 500)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> tuple[np.ndarray, float]:
-    """Learn from the labelled documents (doc_id, toxic), but those with crc32(doc_id) mod 5 = 0."""
+    """Learn from the labelled documents (doc_id, toxic), but those with crc32(doc_id) mod 5 = 0.
+
+    The bounded sample meets in one task, which trains; the driver gets the n-grams' numbers.
+    """
     labels = pick(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("label"))
     most = F.when(F.col("label") == 1, toxic).otherwise(clean)
-    rows = sample(labels.filter(remainder("doc_id", 5) != 0).filter("label IN (0, 1)"), pick(docs, "doc_id", "text"), most, MAX_BYTES)
-    rows = list(dict.fromkeys(rows))  # copies teach nothing
-    seen = {label for label, _ in rows}
-    if len(seen) < 2:
-        return np.zeros(BUCKETS, np.float32), 500.0 if seen == {1} else -500.0
-    return train(rows)
+    rows = sampled(labels.filter(remainder("doc_id", 5) != 0).filter("label IN (0, 1)"), pick(docs, "doc_id", "text"), most, MAX_BYTES)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = sorted(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist()))
+        found = list(dict.fromkeys((label, text) for label, _, text in found))  # copies teach nothing
+        seen = {label for label, _ in found}
+        weights, bias = train(found) if len(seen) > 1 else (np.zeros(BUCKETS, np.float32), 500.0 if seen == {1} else -500.0)
+        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias]})
+
+    model = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "weights binary, bias double").collect()
+    return (np.frombuffer(model[0].weights, np.float32), model[0].bias) if model else (np.zeros(BUCKETS, np.float32), -500.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -176,7 +185,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(*shared.value)
-            out = [scorer(batch.column(at).slice(lo, 512).to_pylist()) for lo in range(0, batch.num_rows, 512)]
+            out = [scorer(batch.column(at).slice(lo, 512)) for lo in range(0, batch.num_rows, 512)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
