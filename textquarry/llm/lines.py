@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm._shared import pick
+from textquarry.llm._shared import pick, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,13 +42,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: t
     row = ["doc_id", "t1", "t2"]
     lines = docs.select("doc_id", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= min_chars)
-    lines = lines.select(*row, "pos", *(c.alias(n) for c, n in zip(_digest(F.col("line")), ("k1", "k2"))))
+    lines = written(lines.select(*row, "pos", *(c.alias(n) for c, n in zip(_digest(F.col("line")), ("k1", "k2")))), "lines")
     frequent = (
         lines.filter(F.col("doc_id").isNotNull())
         .groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_docs).select("k1", "k2", "keeper")
     )
+    frequent = written(frequent, "frequent")  # so that the join sees its size, and can split a frequent key
     lost = lines.join(frequent, ["k1", "k2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
     lost = lost.groupBy(*row).agg(F.collect_set("pos").alias("lost"))
     docs = docs.select("*", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))))
