@@ -46,6 +46,13 @@ class Chunk:
         for a, b in zip(self.starts.tolist(), self.ends.tolist()):
             yield self.body[a:b]
 
+    def texts(self) -> pa.Array:
+        """The documents as strings, without a copy."""
+        ends = np.concatenate([[0], self.ends])
+        if len(self.body) >= 1 << 31:
+            return pa.Array.from_buffers(pa.large_string(), len(self), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.body)])
+        return pa.Array.from_buffers(pa.string(), len(self), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.body)])
+
     def doc_id(self, i: int) -> int | None:
         return None if self.nulls[i] else int(self.ids[i])
 

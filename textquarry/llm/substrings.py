@@ -13,7 +13,6 @@ is that of the chunks they were packed in; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +22,13 @@ from pyspark.sql import functions as F
 
 from textquarry.llm._chunks import Chunk, chunks, cut, each_chunk, joined_mask
 from textquarry.llm._shared import partitions, written
+from textquarry.llm._words import split_words
 
 #: Perfect difference sets: period and members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Anchors that one bucket is to hold.
 BUCKET_KEYS = 1 << 21
-CACHE_WORDS = 1 << 20
-
-
-class Words(dict):
-    """Word → its number here; 128 bits of hash for each number."""
-
-    def __init__(self):
-        super().__init__()
-        self.hi, self.lo = [], []
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_128_intdigest(word)
-        self.hi.append(h >> 64)
-        self.lo.append(h & 0xFFFFFFFFFFFFFFFF)
-        self[word] = n = len(self)
-        return n
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -76,16 +60,16 @@ def rolling(x: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
 class Scan:
     """The words of a chunk as hashes, and where its windows lie."""
 
-    def __init__(self, chunk: Chunk, vocab: Words, window: int, period: int):
+    def __init__(self, chunk: Chunk, window: int, period: int):
         with np.errstate(over="ignore"):
             self.chunk, self.window, self.period, self.width = chunk, window, period, window - period + 1
-            self.words = [d.split() for d in chunk.docs()]
-            self.counts = np.array([len(w) for w in self.words], np.int64)
-            ids = np.fromiter(map(vocab.__getitem__, chain.from_iterable(self.words)), np.int64, int(self.counts.sum()))
-            self.hi, self.lo = np.array(vocab.hi, np.uint64)[ids], np.array(vocab.lo, np.uint64)[ids]
+            index, self.counts, words = split_words(chunk.texts())
+            h = [xxhash.xxh3_128_intdigest(w) for w in words]
+            self.hi = np.array([x >> 64 for x in h], np.uint64)[index]
+            self.lo = np.array([x & 0xFFFFFFFFFFFFFFFF for x in h], np.uint64)[index]
             self.begin = np.cumsum(self.counts) - self.counts
             self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-            self.pos = np.arange(len(ids)) - self.begin[self.doc]
+            self.pos = np.arange(len(index)) - self.begin[self.doc]
             self.left = self.counts[self.doc] - self.pos
             h = rolling(self.hi, self.width, MULT[0])
             n = len(h)
@@ -111,16 +95,10 @@ class Scan:
         self.later = starts[~new]
 
 
-def _vocab(vocab: Words | None) -> Words:
-    return Words() if vocab is None or len(vocab) > CACHE_WORDS else vocab
-
-
 def _anchors(window: int, period: int, n_buckets: int):
     def run(batches):
-        vocab = None
         for chunk in each_chunk(batches):
-            vocab = _vocab(vocab)
-            scan = Scan(chunk, vocab, window, period)
+            scan = Scan(chunk, window, period)
             rows = [(b, chunk.name, scan.keys[i:j].tobytes(), np.packbits(scan.twice[i:j]).tobytes()) for b, i, j in cut(scan.keys, n_buckets)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "twice"])
@@ -142,7 +120,7 @@ def _windows(window: int, period: int, n_buckets: int):
     def run(left: pa.Table, right: pa.Table):
         rows = []
         for chunk in each_chunk([left]):
-            scan = Scan(chunk, Words(), window, period)
+            scan = Scan(chunk, window, period)
             scan.candidates(joined_mask(right.to_pylist()))
             doc = scan.doc[scan.first]
             for b, i, j in cut(scan.hash, n_buckets):
@@ -174,7 +152,7 @@ def _results(window: int, period: int, with_text: bool):
     def run(left: pa.Table, right: pa.Table):
         marks = right.to_pylist()
         for chunk in each_chunk([left]):
-            scan = Scan(chunk, Words(), window, period)
+            scan = Scan(chunk, window, period)
             scan.candidates(joined_mask([r for r in marks if r["kind"] == 0]))
             later = np.concatenate([scan.later, scan.first[joined_mask([r for r in marks if r["kind"] == 1]).astype(bool)]])
             step = np.zeros(len(scan.pos) + 1, np.int64)
@@ -182,8 +160,8 @@ def _results(window: int, period: int, with_text: bool):
             np.add.at(step, later + window, -1)
             gone = np.cumsum(step[:-1]) > 0
             removed, shas, texts = [], [], []
-            for words, a, n in zip(scan.words, scan.begin.tolist(), scan.counts.tolist()):
-                out = gone[a : a + n]
+            for body, a, n in zip(chunk.docs(), scan.begin.tolist(), scan.counts.tolist()):
+                words, out = body.split(), gone[a : a + n]
                 removed.append(int(out.sum()))
                 kept = b" ".join(words if not removed[-1] else [w for w, g in zip(words, out.tolist()) if not g])
                 shas.append(hashlib.sha256(kept).hexdigest())
