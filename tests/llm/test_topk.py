@@ -3,9 +3,10 @@
 import math
 import random
 
+from textquarry.llm._shared import pick
 from textquarry.llm.topk import query, top_k
 
-SCHEMA = "vec_id long, embedding array<float>, rank string, score string"
+SCHEMA = "VEC_ID string, vec_id long, embedding array<float>, rank string, score string"
 
 
 def brute(data, queries, k):
@@ -23,8 +24,8 @@ def test_topk(spark):
     data = [(i, [round(rnd.uniform(-1, 1), 1) * 0.5 for _ in range(6)]) for i in range(300)]
     data += [(1000 + i, data[7][1]) for i in range(40)]
     data += [(2000, None), (2050, []), (2100, [1.0] * 5 + [None]), (2150, [math.nan] * 6), (2200, [math.inf] * 6), (None, [0.5] * 6), (2250, [0.5] * 3), (2300, [0.25] * 3), (2301, [-3e4] * 3)]
-    df = spark.createDataFrame([(i, v, "x", "y") for i, v in data], SCHEMA).repartition(3)
-    f32 = [(r.vec_id, r.embedding) for r in df.collect()]
+    df = spark.createDataFrame([("z", i, v, "x", "y") for i, v in data], SCHEMA).repartition(3)
+    f32 = [(r[1], r[2]) for r in df.collect()]
     queries = {i for i, _ in data if i is not None and i % 50 == 0}
     got = {}
     for r in query(df).collect():
@@ -32,4 +33,4 @@ def test_topk(spark):
     want = {q: v for q, v in brute(f32, queries, 5).items() if v}
     assert {q: sorted(v) for q, v in got.items()} == want
     assert top_k(df.limit(0), df).collect() == [] and top_k(df, df.limit(0)).collect() == []
-    assert len(top_k(df, df.filter("vec_id = 2250"), k=9).collect()) == 2
+    assert len(top_k(df, pick(df, "vec_id", "embedding").filter("vec_id = 2250"), k=9).collect()) == 2

@@ -138,6 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
 
 
 def query(vectors: DataFrame) -> DataFrame:
+    vectors = pick(vectors, "vec_id", "embedding")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
