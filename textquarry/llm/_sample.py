@@ -13,12 +13,12 @@ def remainder(doc_id: str | Column, n: int) -> Column:
 
 
 def sampled(labelled: DataFrame, docs: DataFrame, per_label: int | Column, max_bytes: int, max_labels: int = 256) -> DataFrame:
-    """(doc_id, label, text) of at most ``per_label`` documents of each label, chosen by the hash of doc_id.
+    """(doc_id, label, n, text) of at most ``per_label`` documents of each label, chosen by the hash of doc_id.
 
     labelled: (doc_id, label); docs: (doc_id, text), where texts over ``max_bytes`` can't be chosen and at
     most ``max_labels`` labels are told apart, the smallest. The choice doesn't depend on partitions. Before rows
     are ranked, a cutoff that follows from the labels' counts leaves about as many as are wanted, so no task gets
-    more than a few times the sample.
+    more than a few times the sample. n: how many documents have the label.
     """
     rows = labelled.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).withColumn("most", per_label if isinstance(per_label, Column) else F.lit(per_label))
@@ -26,9 +26,9 @@ def sampled(labelled: DataFrame, docs: DataFrame, per_label: int | Column, max_b
     counts = F.broadcast(counts)
     near = rows.join(counts, "label").filter(F.col("h") < F.lit(float(1 << 40)) * (1.2 * F.col("most") + 200) / F.col("n"))
     chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).filter(F.col("rank") <= F.col("most"))
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen"), "label"))  # at most per_label * max_labels rows
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen"), "label", "n"))  # at most per_label * max_labels rows
     found = docs.join(chosen, F.col("doc_id") == F.col("chosen")).filter(F.octet_length("text") <= max_bytes)
-    return found.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r")).select("doc_id", "r.label", "r.text")
+    return found.groupBy("doc_id").agg(F.min(F.struct("label", "n", "text")).alias("r")).select("doc_id", "r.*")
 
 
 def sample(labelled: DataFrame, docs: DataFrame, per_label: int | Column, max_bytes: int, max_labels: int = 256) -> list[tuple]:

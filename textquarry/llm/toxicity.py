@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm._sample import remainder, sampled
-from textquarry.llm._shared import pick
+from textquarry.llm._shared import pick, release, tidy
 from textquarry.llm._words import split_words
 
 BUCKETS, GRAMS, DIM = 1 << 20, (3, 4, 5, 6), 4
 #: The bounded sample that is learned from: documents with label 0 and with label 1, and bytes of one document.
 CLEAN, TOXIC, MAX_BYTES = 6000, 3000, 50_000
 #: Distinct words kept in a task's memory, and words of a batch that are hashed at once.
-CACHE_WORDS, STEP = 1 << 18, 1 << 16
+CACHE_WORDS, STEP = 1 << 18, 1 << 14
 
 
 @np.errstate(over="ignore")
@@ -53,7 +53,21 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(bucket)
 
 
-def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate: float = 0.5, eps: float = 1e-6, min_docs: int = 5, shrink: float = 1.5e-4, seed: int = 1) -> tuple[np.ndarray, float]:
+def calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) that make logits fit labels best (Platt 1999), by Newton's method: the proximal step has drawn them together."""
+    n = np.bincount(label, minlength=2)
+    target = np.where(label == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    x, beta = np.stack([logit, np.ones(len(logit))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        beta = beta - step * min(1.0, 2 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+
+
+def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate: float = 0.5, eps: float = 1e-6, min_docs: int = 5, shrink: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
     """(a number for each bucket, bias): the difference of the two classes' logits, linear in the n-grams."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
@@ -65,26 +79,37 @@ def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate:
             ids, count = np.unique(own, return_counts=True)
             bags.append((int(label), ids, (count / max(1, count.sum())).astype(np.float32)))
     words, holders = list(vocab), np.zeros(len(vocab), np.int64)
+    del vocab
     for _, ids, _ in bags:
         holders[ids] += 1
-    buckets, sizes, texts = [], [], np.zeros(BUCKETS)
-    for lo in range(0, len(words), 1 << 15):  # in steps, which bounds the driver's memory
-        at, found = grams(words[lo : lo + (1 << 15)])
-        order = np.argsort(at, kind="stable")
-        buckets.append(found[order].astype(np.int32))
-        sizes.append(np.bincount(at, minlength=len(words[lo : lo + (1 << 15)])))
+    # in steps, which bounds the memory
+    steps = range(0, len(words), STEP)
+    texts, known = np.zeros(BUCKETS), 0
+    for lo in steps:
+        at, found = grams(words[lo : lo + STEP])
+        known += len(found)
         texts += np.bincount(found, holders[lo + at], BUCKETS)
-    bucket, size = np.concatenate([*buckets, np.zeros(0, np.int32)]), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
-    del buckets, sizes, words, vocab
-    first = np.cumsum(size) - size
-    used = np.flatnonzero(texts)
-    number = np.zeros(BUCKETS, np.int32)
-    number[used] = np.arange(len(used))
-    bucket = number[bucket]
     # n-grams of fewer texts keep vectors of zero: they would only learn by heart
-    frequent = (texts[used] >= min_docs)[:, None].astype(np.float32)
-    v = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32) * frequent
-    w, b = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    used = np.flatnonzero(texts >= min_docs)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    size, all_size, filled = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+    bucket = np.empty(known, np.int32)
+    for lo in steps:
+        part = words[lo : lo + STEP]
+        at, found = grams(part)
+        all_size[lo : lo + STEP] = np.bincount(at, minlength=len(part))
+        keep = place[found] >= 0
+        at, found = at[keep], place[found[keep]]
+        size[lo : lo + STEP] = np.bincount(at, minlength=len(part))
+        bucket[filled : filled + len(at)] = found[np.argsort(at, kind="stable")]
+        filled += len(at)
+    bucket = bucket[:filled]
+    del words
+    first = np.cumsum(size) - size
+    v = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    # the softmax starts from clean, so that common words needn't speak for it
+    w, b = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.array([1.5, -1.5], np.float32)
     sv, sw, sb = np.full((len(used), 1), eps, np.float32), 1e-4, 1e-4
     scale = np.float32(100)  # of the mean, so that a few words of a long text count
     for epoch in range(epochs):
@@ -101,7 +126,7 @@ def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate:
             k = size[own]
             g = bucket[np.repeat(first[own] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]
             word = np.repeat(np.arange(len(own)), k)
-            per = (1 / np.maximum(k, 1)).astype(np.float32)
+            per = (1 / np.maximum(all_size[own], 1)).astype(np.float32)
             vec = np.stack([np.bincount(word, v[g, d], len(own)) for d in range(DIM)], 1).astype(np.float32) * per[:, None]
             mean = scale * np.stack([np.bincount(doc, weight * vec[back, d], len(part)) for d in range(DIM)], 1).astype(np.float32)
             logit = mean @ w + b
@@ -118,14 +143,18 @@ def train(rows: list[tuple[int, str]], epochs: int = 10, batch: int = 64, rate:
             sv[touched] += (gv**2).mean(1, keepdims=True)
             sw, sb = sw + float((gw**2).sum()), sb + float((gb**2).sum())
             by = step / np.sqrt(sv[touched])
-            now = v[touched] - by * gv * frequent[touched]
+            now = v[touched] - by * gv
             norm = np.sqrt((now**2).sum(1, keepdims=True))
             v[touched] = now * np.maximum(0, 1 - by * shrink / np.maximum(norm, 1e-12))
             w -= step * 0.1 * gw / np.float32(np.sqrt(sw))
             b -= step * 0.1 * gb / np.float32(np.sqrt(sb))
+    value = v @ (w[:, 1] - w[:, 0])
+    word = np.bincount(np.repeat(np.arange(len(size)), size), value[bucket], len(size)) / np.maximum(all_size, 1)
+    logit = np.array([scale * (word[ids] @ weight) for _, ids, weight in bags]) + (b[1] - b[0])
+    slope, shift = calibrated(logit, np.array([label for label, _, _ in bags]))
     table = np.zeros(BUCKETS, np.float32)
-    table[used] = scale * (v @ (w[:, 1] - w[:, 0]))
-    return table, float(b[1] - b[0])
+    table[used] = slope * scale * value
+    return table, float(slope * (b[1] - b[0]) + shift)
 
 
 class Scorer:
@@ -166,8 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOX
     def run(table: pa.Table) -> pa.Table:
         found = sorted(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist()))
         found = list(dict.fromkeys((label, text) for label, _, text in found))  # copies teach nothing
-        seen = {label for label, _ in found}
+        seen, n = {label for label, _ in found}, dict(zip(table["label"].to_pylist(), table["n"].to_pylist()))
         weights, bias = train(found) if len(seen) > 1 else (np.zeros(BUCKETS, np.float32), 500.0 if seen == {1} else -500.0)
+        if len(seen) > 1:  # the sample's share of either label isn't that of all labelled documents
+            chosen = sum(label for label, _ in found)
+            bias += float(np.log(n[1] / n[0]) - np.log(chosen / (len(found) - chosen)))
+        release()
         return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias]})
 
     model = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "weights binary, bias double").collect()
@@ -189,7 +222,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(tidy(run), f"{fields}, score double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
