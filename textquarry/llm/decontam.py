@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm._shared import pick
+from textquarry.llm._shared import pick, tidy
 from textquarry.llm._words import split_words
 from textquarry.llm.substrings import MULT, rolling
 
@@ -225,9 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar:
     found = []
     for k, index in enumerate(_items(benchmark, window)):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        out = out.mapInArrow(_find(shared, window, similar, names.index("text")), f"{fields}, leaks_ {kind}")
-        if found:
-            out = out.withColumn("leaks_", F.col("leaks_"))
+        out = out.mapInArrow(tidy(_find(shared, window, similar, names.index("text"))), f"{fields}, leaks_ {kind}")
         out = out.withColumnRenamed("leaks_", f"leaks_{k}_")
         found.append(f"leaks_{k}_")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)

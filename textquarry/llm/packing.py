@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm._bpe import Encoder
-from textquarry.llm._shared import partitions, pick, written
+from textquarry.llm._shared import partitions, pick, tidy, written
 
 DIMS, BITS, HASHED = 4, 12, 256
 
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, with
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     spark = docs.sparkSession
-    table = written(docs.mapInArrow(_tokenize(tokenizer, end), "doc_id long, uid long, key long, n long, width int, ids binary"), "tokens", "uncompressed")
+    table = written(docs.mapInArrow(tidy(_tokenize(tokenizer, end)), "doc_id long, uid long, key long, n long, width int, ids binary"), "tokens", "uncompressed")
     order = table.select("key", "doc_id", "uid", "n").repartitionByRange(partitions(spark), "key", "doc_id", "uid").sortWithinPartitions("key", "doc_id", "uid")
     places = written(order.select("uid", "n").mapInArrow(_number, "u long, at long, tokens long, part long"), "places")
     sums = sorted((r.part, r.tokens) for r in places.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect())  # one row for each partition
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, with
     bases = F.broadcast(spark.createDataFrame(before, "p long, base long"))
     begin = places.join(bases, F.col("part") == F.col("p")).select("u", (F.col("at") + F.col("base")).alias("begin"))
     placed = table.join(begin, F.col("uid") == F.col("u")).select("doc_id", "begin", "n", "width", "ids")
-    return placed.mapInArrow(_cut(total, length, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return placed.mapInArrow(tidy(_cut(total, length, with_ids)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 
 
 def query(docs: DataFrame) -> DataFrame:
