@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from textquarry.llm._shared import written
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """pairs: (u, v). Large star: link each larger neighbour of u to u's least neighbour (u included).
-    Small star: link u and its smaller neighbours to the least of them."""
-    if large:
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    linked = both.join(least, both.u == least.w)
-    if large:
-        out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """edges (u, v), u > v: link each u to the least neighbour of v, v included.
+
+    Only nodes with a smaller neighbour are looked up, in a written table: so the join knows its size, and can
+    split a node with very many edges.
+    """
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).filter("m < w")
+    return edges.join(written(least, "least"), F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link each u and its smaller neighbours to the least of them."""
+    least = edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+    moved = edges.join(least, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionAll(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     stars, before = False, None
     while not stars:
-        now = written(_star(_star(now, True), False), "edges")
+        now = written(_small_star(_large_star(now)), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         stars, before = state == before, state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

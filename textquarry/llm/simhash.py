@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm._graph import components
-from textquarry.llm._shared import pick, written
+from textquarry.llm._shared import pick, tidy, written
 
 #: Members that are compared in one step.
 BLOCK = 2048
@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 4, drop_text: bool = False)
     names = docs.columns
     keep = [not (drop_text and k == at) for k in range(len(names))]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields) if keep[k])
-    return docs.mapInArrow(run, f"{fields}, fp long")
+    return docs.mapInArrow(tidy(run), f"{fields}, fp long")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -261,7 +261,7 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4, cover: str | None = No
     pairs = placed.select("anchor", "fp", own.alias("own"), other.alias("other"))
     pairs = pairs.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
     dealt = pairs.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "side", "fp")
-    return dealt.mapInArrow(_compare(bits), "u long, v long")
+    return dealt.mapInArrow(tidy(_compare(bits)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, cover: str | None = None) -> DataFrame:
