@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm._chunks import Chunk, chunks, cut, each_chunk, joined_mask
 from textquarry.llm._shared import partitions, written
-from textquarry.llm.substrings import MULT, rolling
+from textquarry.llm.substrings import MULT, _mix, rolling
 
 #: Ends each segment in a suffix array; UTF-8 has no such byte.
 END = 0xFF
@@ -124,12 +124,12 @@ class Segments:
         self.chunk, self.length = chunk, length
         self.text = np.frombuffer(chunk.body, np.uint8)
         n, span = len(self.text), length - gram + 1
-        self.a = self.b = at = np.zeros(0, np.int64)
+        self.a = self.b = np.zeros(0, np.int64)
+        self.anchor = np.zeros(0, np.uint64)
         if n >= length:
             with np.errstate(over="ignore"):
                 h = rolling(self.text.astype(np.uint64) + np.uint64(1), gram, MULT[0])
             low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-            del h
             width = 1
             while width * 2 <= span:
                 low, width = np.minimum(low[: len(low) - width], low[width:]), width * 2
@@ -146,9 +146,9 @@ class Segments:
                 new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(starts)) - 1
-                self.a, self.b, at = starts[first], starts[last] + length, anchor[first]
+                with np.errstate(over="ignore"):
+                    self.a, self.b, self.anchor = starts[first], starts[last] + length, _mix(h[anchor[first]])  # as these are small ones, mixed anew
         body = chunk.body
-        self.anchor = np.fromiter((xxhash.xxh3_64_intdigest(body[i : i + gram]) for i in at.tolist()), np.uint64, len(at))
         whole = [xxhash.xxh3_128_intdigest(body[i:j]) for i, j in zip(self.a.tolist(), self.b.tolist())]
         self.seg = np.array([w >> 64 for w in whole], np.uint64)
         self.check = np.array([w & 0xFFFFFFFF for w in whole], np.uint32)
