@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tests.llm.texts import frame
+from textquarry.llm._shared import pick
 from textquarry.llm import decontam, langid, lines, ppm, simhash, substrings, suffix, toxicity
 
 
@@ -28,7 +29,7 @@ def test_long(spark, data):
     assert {r.doc_id: r.n_lines for r in lines.dedup_lines(docs).collect()} == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1}
     assert simhash.near_duplicates(docs).count() == 5
     assert {r.doc_id: r.n_tokens for r in ppm.score(docs).collect()}[1] == 500_001
-    assert decontam.query(docs, docs.select(docs.doc_id.alias("item_id"), "text").filter("item_id = 5")).first().doc_id == 5
+    assert decontam.query(docs, pick(docs, "doc_id", "text").toDF("item_id", "text").filter("item_id = 5")).first().doc_id == 5
     labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int")
     assert toxicity.query(docs, labels).count() == 5
     assert langid.identify(docs, langid.Network(["a", "b"], h=2)).filter("doc_id = 4 AND lang_pred = 'und'").count() == 1
