@@ -111,11 +111,11 @@ def check_classes(rows: DataFrame, least: int = 0) -> None:
 
 def prepare(rows: DataFrame, seed: int | str = 42) -> Cleaned:
     """The whole way from labelled rows to a clean, split dataset and its audit."""
-    checked = validated(rows)
+    checked = validated(rows).persist()  # read by each of the checks below; lost blocks are computed again
     if not checked.limit(1).count():
         raise ValueError("the dataset is empty")
     found = deduplicated(checked.filter("reason IS NULL").drop("reason"))
-    clean = found.clean
+    clean = found.clean.persist()
     if not check_split_policy(clean):
         check_classes(clean.withColumn("split", F.lit("train")), 5)
         clean = assign_splits(clean, seed)
