@@ -44,3 +44,18 @@ def test_blocks_agree(spark, monkeypatch):
 def test_odd_texts(spark):
     bench = spark.createDataFrame([(1, "nothing like it in the texts at all")], "item_id long, text string")
     assert query(frame(spark, rows()), bench).collect() == []
+
+
+LIST = "Compute the sums of the following pairs of numbers: 3 + 5 , 17 + 29 , 11 + 13 , 41 + 2 , 8 + 19 , 23 + 31 ."
+
+
+def test_items_that_repeat_a_window(spark):
+    split = LIST.replace("11 + 13", "11 + 13 , 50 + 60")  # a pair put in
+    changed = LIST
+    for old, new in zip((" 3 ", " 5 ", "17", "29", "11", "13", "41", " 2 ", " 8 ", "19", "23", "31"), (" 61 ", " 62 ", "63", "64", "65", "66", "67", " 68 ", " 69 ", "70", "71", "72")):
+        changed = changed.replace(old, new, 1)
+    same = LIST[: LIST.index("3 +")] + " , ".join(["7 + 7"] * 6) + " ."  # one value for all: no replacement one for one
+    data = [(1, LIST), (2, "some words before it. " + LIST + " and after"), (3, split), (4, changed), (5, same), (6, LIST + " " + LIST)]
+    got = query(frame(spark, data), spark.createDataFrame([(0, LIST)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 6]
+    assert all(r.slot_share >= 0.8 for r in got) and next(r for r in got if r.doc_id == 1).slot_share == 1

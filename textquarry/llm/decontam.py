@@ -4,7 +4,9 @@ Words become canonical tokens: numbers, units and names turn into typed placehol
 and loses punctuation at its ends. Windows of ``WINDOW`` canonical tokens are hashed and joined with those of
 the benchmark. A document is reported for an item if it holds, close together, at least ``SIMILAR`` of the
 item's different windows, and if the values that fill the item's placeholders are replaced consistently: one
-value by one value in at least ``SIMILAR`` of the slots, either way. So a question whose numbers or names were
+value by one value in at least ``SIMILAR`` of the slots, either way. Where equal windows recur in an item, each
+place of the document is held against one of them: that on the commonest diagonal, or that with most equal values.
+So a question whose numbers or names were
 changed throughout is caught, and one that shares a template but mixes up its slots is not.
 
 The benchmark is the query set. Its windows go to the executors in blocks of at most ``BLOCK_WINDOWS``, so what
@@ -152,6 +154,26 @@ def consistent(pairs: list[tuple[str, str]]) -> float:
     return min(shares)
 
 
+def _slots(index: Index, item: int, window: int, hits: list[tuple[int, int, int]], text: Text, words: Words) -> list[list[tuple[str, str]]]:
+    """The pairs of values of one span's slots, once for each way to give its document tokens one item token each.
+
+    Equal windows may recur in the item. One way takes the place on the diagonal that most hits of the span are on,
+    the other the place with most equal values, which finds copies with parts put in or moved.
+    """
+    kinds, values = index.kinds[item], index.values[item]
+    support = Counter(q - k for q, k, _ in hits)
+    width = min(window, int(index.length[item]))
+    ways: list[dict[int, tuple]] = [{}, {}]  # document token → rank and item token
+    for q, k, _ in hits:
+        slots = [d for d in range(width) if kinds[k + d] == text.kind[q + d] != PLAIN]
+        equal = sum(values[k + d] == words.raw[text.ids[q + d]] for d in slots)
+        for chosen, rank in zip(ways, ((support[q - k], equal), (equal, support[q - k]))):
+            for d in slots:
+                if q + d not in chosen or rank > chosen[q + d][0]:
+                    chosen[q + d] = rank, k + d
+    return [[(values[k], words.raw[text.ids[q]]) for q, (_, k) in chosen.items()] for chosen in ways]
+
+
 def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int]], text: Text, words: Words, similar: float):
     """hits: (place in the document's tokens, place in the item, hash) of one item in one document, in order."""
     total, reach = index.total[item], int(index.length[item] * 3 // 2) + window
@@ -163,14 +185,12 @@ def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int]
             if not inside[hits[lo][2]]:
                 del inside[hits[lo][2]]
             lo += 1
+        if hi + 1 < len(hits) and hits[hi + 1][0] == p:
+            continue  # all hits of a place belong to a span
         # the span with most windows decides; of such spans, a consistent one
         if len(inside) >= max(similar * total, best[0]) and (len(inside) > best[0] or best[3] < similar):
-            slots = {}
-            for q, k, _ in hits[lo : hi + 1]:
-                for d in range(min(window, int(index.length[item]))):
-                    if index.kinds[item][k + d] == text.kind[q + d] != PLAIN:
-                        slots[q + d, k + d] = (index.values[item][k + d], words.raw[text.ids[q + d]])
-            best = (len(inside), hits[lo][0], len(slots), consistent(list(slots.values())))
+            share, n = max((consistent(s), len(s)) for s in _slots(index, item, window, hits[lo : hi + 1], text, words))
+            best = (len(inside), hits[lo][0], n, share)
     return best if best[3] >= similar else None
 
 
