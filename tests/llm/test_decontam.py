@@ -59,3 +59,16 @@ def test_items_that_repeat_a_window(spark):
     got = query(frame(spark, data), spark.createDataFrame([(0, LIST)], "item_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 6]
     assert all(r.slot_share >= 0.8 for r in got) and next(r for r in got if r.doc_id == 1).slot_share == 1
+
+
+TOM = "Tom has 12 apples and 4 pears. Tom gives 3 apples to his sister. Tom then buys 5 more at the market. How many apples does Tom have now?"
+TWO = "Tom has 9 red apples. Max has 4 green pears. Max eats two of them. Tom ran off. Max sat down."
+
+
+def test_names_that_open_sentences(spark):
+    data = [(1, TOM), (2, TOM.replace("Tom", "Max")), (3, "so then " + TOM.replace("Tom", "Anna").replace("12", "7")), (4, "it says: " + TOM.lower().replace("tom", "Max"))]
+    data += [(5, TOM.replace("Tom", "Max", 1).replace("Tom then", "Otto then")), (6, TWO.replace("Tom", "Eva").replace("Max", "Lea")), (7, "Joe has 9 red apples. " * 8), (8, TWO.replace("Tom", "Eva").replace("Max", "Eva"))]
+    bench = spark.createDataFrame([(0, TOM), (1, TWO)], "item_id long, text string")
+    got = query(frame(spark, data), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 0), (6, 1)]
+    assert all(r.n_windows <= r.n_item_windows for r in got)

@@ -7,7 +7,8 @@ item's different windows, and if the values that fill the item's placeholders ar
 value by one value in at least ``SIMILAR`` of the slots, either way. Where equal windows recur in an item, each
 place of the document is held against one of them: that on the commonest diagonal, or that with most equal values.
 So a question whose numbers or names were
-changed throughout is caught, and one that shares a template but mixes up its slots is not.
+changed throughout is caught, and one that shares a template but mixes up its slots is not. A capitalised word that
+opens a sentence is read both ways, as a name and by its value.
 
 The benchmark is the query set. Its windows go to the executors in blocks of at most ``BLOCK_WINDOWS``, so what
 is broadcast is bounded; each block is held against all documents, whole texts, without a shuffle.
@@ -99,17 +100,39 @@ class Text:
         if len(ids):
             first[1:] = ends[ids[:-1]]
             first[self.begin[self.count > 0]] = True
-        self.hash, self.kind = np.where(first, start[ids], inside[ids]), kind[ids]
-        self.kind[first & (self.kind == NAME)] = PLAIN
-        self.ids = ids
+        self.kind, self.ids = kind[ids], ids
+        self.opens = first & (self.kind == NAME)  # a name, or a word that only opens a sentence
+        self.word, self.hash = start[ids], inside[ids]
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
         self.left = self.count[self.doc] - (np.arange(len(ids)) - self.begin[self.doc])
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place) of the windows of n tokens."""
-        h = rolling(self.hash, n, MULT[0])
-        at = np.flatnonzero(self.left[: len(h)] >= n)
-        return h[at] ^ np.uint64(n), at
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, place, plain) of the windows of n tokens; plain: the hash with words that open sentences by value.
+
+        A window with such words comes twice: all of them by value, and all as names.
+        """
+        at = np.flatnonzero(self.left[: max(0, len(self.ids) - n + 1)] >= n)
+        plain = self.read(self.opens, n)[at]
+        named = np.cumsum(np.append(0, self.opens))
+        two = np.flatnonzero(named[at + n] > named[at])
+        again = self.read(np.zeros(len(self.ids), bool), n)[at[two]] if len(two) else plain[:0]
+        return np.append(plain, again), np.append(at, at[two]), np.append(plain, plain[two])
+
+    def read(self, by_value: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all windows of n tokens, the marked ones by value."""
+        return rolling(np.where(by_value, self.word, self.hash), n, MULT[0]) ^ np.uint64(n)
+
+    def mixed(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """windows(n), and those with two words that open sentences also with either as a name."""
+        h, at, plain = self.windows(n)
+        turn, out = np.cumsum(self.opens) % 2, [(h, at, plain)]
+        for k in (0, 1):
+            own = self.read(self.opens & (turn == k), n)[at]
+            new = own != plain
+            out.append((own[new], at[new], plain[new]))
+        h, at, plain = (np.concatenate(x) for x in zip(*out))
+        _, once = np.unique(np.stack([h, at.astype(np.uint64)], 1), axis=0, return_index=True)
+        return h[once], at[once], plain[once]
 
 
 class Index:
@@ -119,23 +142,26 @@ class Index:
         words = Words()
         text = Text(pa.array([t for _, t in items], pa.string()), words)
         self.ids = [i for i, _ in items]
-        hashes, owners, places = [], [], []
+        hashes, owners, places, plains = [], [], [], []
         self.sizes = set()
         for n in range(1, window + 1):
-            h, at = text.windows(n)
+            h, at, plain = text.mixed(n)
             own = (text.count[text.doc[at]] >= window) if n == window else (text.count[text.doc[at]] == n)
             if own.any():
                 self.sizes.add(n)
                 hashes.append(h[own])
                 owners.append(text.doc[at[own]])
                 places.append(at[own] - text.begin[text.doc[at[own]]])
+                plains.append(plain[own])
         empty = np.zeros(0, np.int64)
-        h, owner, place = np.concatenate([*hashes, empty.astype(np.uint64)]), np.concatenate([*owners, empty]), np.concatenate([*places, empty])
+        none = empty.astype(np.uint64)
+        h, owner, place, plain = np.concatenate([*hashes, none]), np.concatenate([*owners, empty]), np.concatenate([*places, empty]), np.concatenate([*plains, none])
         order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.place = h[order], owner[order], place[order]
-        self.total = [len(np.unique(h[owner == k])) for k in range(len(items))]
+        self.hash, self.owner, self.place, self.plain = h[order], owner[order], place[order], plain[order]
+        self.total = [len(np.unique(plain[owner == k])) for k in range(len(items))]
         self.length = text.count
         self.kinds = [text.kind[b : b + n] for b, n in zip(text.begin, text.count)]
+        self.opens = [text.opens[b : b + n] for b, n in zip(text.begin, text.count)]
         self.values = [[words.raw[k] for k in text.ids[b : b + n].tolist()] for b, n in zip(text.begin, text.count)]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hash & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -154,43 +180,55 @@ def consistent(pairs: list[tuple[str, str]]) -> float:
     return min(shares)
 
 
-def _slots(index: Index, item: int, window: int, hits: list[tuple[int, int, int]], text: Text, words: Words) -> list[list[tuple[str, str]]]:
+def _slots(index: Index, item: int, window: int, hits: list[tuple[int, int, int, int]], text: Text, words: Words) -> list[list[tuple[str, str]]]:
     """The pairs of values of one span's slots, once for each way to give its document tokens one item token each.
 
     Equal windows may recur in the item. One way takes the place on the diagonal that most hits of the span are on,
-    the other the place with most equal values, which finds copies with parts put in or moved.
+    the other the place with most equal values, which finds copies with parts put in or moved. A word that opens
+    a sentence on both sides and is the same is a slot only if it is a value elsewhere: few of them are names.
     """
     kinds, values = index.kinds[item], index.values[item]
-    support = Counter(q - k for q, k, _ in hits)
+    support = Counter(q - k for q, k in {(q, k) for q, k, _, _ in hits})
     width = min(window, int(index.length[item]))
     ways: list[dict[int, tuple]] = [{}, {}]  # document token → rank and item token
-    for q, k, _ in hits:
+    for q, k, _, _ in hits:
         slots = [d for d in range(width) if kinds[k + d] == text.kind[q + d] != PLAIN]
         equal = sum(values[k + d] == words.raw[text.ids[q + d]] for d in slots)
         for chosen, rank in zip(ways, ((support[q - k], equal), (equal, support[q - k]))):
             for d in slots:
                 if q + d not in chosen or rank > chosen[q + d][0]:
                     chosen[q + d] = rank, k + d
-    return [[(values[k], words.raw[text.ids[q]]) for q, (_, k) in chosen.items()] for chosen in ways]
+    out = []
+    for chosen in ways:
+        pairs = [(values[k], words.raw[text.ids[q]], index.opens[item][k] and text.opens[q]) for q, (_, k) in chosen.items()]
+        sure = {v for a, b, opens in pairs if not opens or a != b for v in (a, b)}
+        out.append([(a, b) for a, b, opens in pairs if not opens or a != b or a in sure])
+    return out
 
 
-def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int]], text: Text, words: Words, similar: float):
-    """hits: (place in the document's tokens, place in the item, hash) of one item in one document, in order."""
+def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int, int]], text: Text, words: Words, similar: float):
+    """hits: (place in the document's tokens, place in the item, plain hashes of both) of one item in one document, in order.
+
+    As a name may stand for several, a window of the document counts for one of the item's, whichever it equals.
+    """
     total, reach = index.total[item], int(index.length[item] * 3 // 2) + window
-    best, lo, inside = (0, 0, 0, 0.0), 0, Counter()
-    for hi, (p, _, h) in enumerate(hits):
-        inside[h] += 1
+    best, lo, sides = (0, 0, 0, 0.0), 0, (Counter(), Counter())
+    for hi, (p, *_) in enumerate(hits):
+        for inside, h in zip(sides, hits[hi][2:]):
+            inside[h] += 1
         while p - hits[lo][0] > reach:
-            inside[hits[lo][2]] -= 1
-            if not inside[hits[lo][2]]:
-                del inside[hits[lo][2]]
+            for inside, h in zip(sides, hits[lo][2:]):
+                inside[h] -= 1
+                if not inside[h]:
+                    del inside[h]
             lo += 1
         if hi + 1 < len(hits) and hits[hi + 1][0] == p:
             continue  # all hits of a place belong to a span
         # the span with most windows decides; of such spans, a consistent one
-        if len(inside) >= max(similar * total, best[0]) and (len(inside) > best[0] or best[3] < similar):
+        n_windows = min(map(len, sides))
+        if n_windows >= max(similar * total, best[0]) and (n_windows > best[0] or best[3] < similar):
             share, n = max((consistent(s), len(s)) for s in _slots(index, item, window, hits[lo : hi + 1], text, words))
-            best = (len(inside), hits[lo][0], n, share)
+            best = (n_windows, hits[lo][0], n, share)
     return best if best[3] >= similar else None
 
 
@@ -207,17 +245,17 @@ def _find(shared, window: int, similar: float, column: int):
                 text = Text(docs, words)
                 hits = defaultdict(list)
                 for n in sorted(index.sizes):
-                    h, at = text.windows(n)
+                    h, at, plain = text.windows(n)
                     maybe = np.flatnonzero(index.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                    h, at = h[maybe], at[maybe]
+                    h, at, plain = h[maybe], at[maybe], plain[maybe]
                     a, b = np.searchsorted(index.hash, h), np.searchsorted(index.hash, h, "right")
                     for i in np.flatnonzero(b > a).tolist():
                         for k in range(a[i], b[i]):
-                            hits[int(text.doc[at[i]]), int(index.owner[k])].append((int(at[i]), int(index.place[k]), int(h[i])))
+                            hits[int(text.doc[at[i]]), int(index.owner[k])].append((int(at[i]), int(index.place[k]), int(index.plain[k]), int(plain[i])))
                 found = defaultdict(list)
                 for (doc, item), own in hits.items():
-                    if len({h for _, _, h in own}) >= similar * index.total[item]:
-                        best = _judge(index, item, window, sorted(own), text, words, similar)
+                    if len({h for _, _, h, _ in own}) >= similar * index.total[item]:
+                        best = _judge(index, item, window, sorted(set(own)), text, words, similar)
                         if best:
                             found[doc].append({"item_id": index.ids[item], "n_windows": best[0], "n_item_windows": index.total[item], "word": best[1] - int(text.begin[doc]), "n_slots": best[2], "slot_share": best[3]})
                 out += [found.get(k, []) for k in range(len(docs))]
