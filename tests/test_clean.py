@@ -209,3 +209,13 @@ def test_spans(spark):
     assert [(t.start, t.end) for t in toks] == [(0, 1), (2, 3), (3, 4)]
     win = df.select(spans.token_windows(spans.character_tokens(F.lit("abcdefghij")), 4, 2), spans.token_windows(spans.character_tokens(F.lit("abc")), 4, 2), spans.token_windows(spans.character_tokens(F.lit(" ")), 4, 2)).first()
     assert [[(w.start, w.end) for w in x] for x in win] == [[(0, 4), (2, 6), (4, 8), (6, 10)], [(0, 3)], []]
+
+
+def test_short_passages_are_found(spark):
+    items = ["What is the capital of France?", "capital", "the cap", "ital of Fra", "is the capital of", "a b c d e f g", "the  capital", "首都是哪里", "never there", "not in any of these", "What", "of"]
+    texts = ["Tell me: What is the capital of France? Paris.", "What is the capital of\nFrance?", "capitals", "x a b c d e f gh", "the  capital", "问：首都是哪里？", "", None, "of"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    passages = spark.createDataFrame([*enumerate(items), (90, ""), (91, " "), (92, None)], "item_id int, text string")
+    want = sorted((d, i) for d, t in enumerate(texts) for i, p in enumerate(items) if t and p in t)
+    assert sorted(map(tuple, clean.contained_passages(docs, passages).collect())) == want and (0, 0) in want
+    assert clean.contained_passages(docs, passages.limit(0)).collect() == []

@@ -8,6 +8,7 @@ that a text with a million copies is no burden on one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,16 +140,25 @@ def without_held_out(rows: DataFrame, held_out: DataFrame, reason: str) -> Clean
 def contained_passages(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage literally.
 
-    The first ``words`` words inside a passage (its first and last may be cut words) are joined with the documents'
-    windows of as many words by an equi-join; only matches are compared in full. Shorter passages are not looked for.
+    The first ``words`` words inside a passage (its first and last may be cut words), or all of fewer, are joined with
+    the documents' windows of as many words by an equi-join; only matches are compared in full. Passages of one or two
+    words have none inside and are held against all texts; blank ones are not looked for.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    anchor = passages.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(split("text"), 2, words), " ").alias("anchor")).filter(F.size(split("text")) > words + 1)
-    rows = docs.select("doc_id", "text", split("text").alias("w")).filter(F.size("w") >= words)
-    starts = F.sequence(F.lit(1), F.size("w") - words + 1)
-    windows = rows.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("anchor"))
-    near = windows.join(anchor, "anchor").select("doc_id", "item_id", "passage").distinct()
-    return near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    asked = passages.select("item_id", F.col("text").alias("passage"), split("text").alias("w")).filter(F.size("w") > 0)
+    inside = F.least(F.size("w") - 2, F.lit(words))
+    anchor = asked.filter(F.size("w") > 2).select("item_id", "passage", inside.alias("n"), F.array_join(F.slice("w", F.lit(2), inside), " ").alias("anchor"))
+    sizes = sorted(r.n for r in anchor.select("n").distinct().collect())  # at most ``words`` numbers
+    rows = docs.select("doc_id", "text", split("text").alias("w"))
+
+    def windows(n):
+        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return rows.filter(F.size("w") >= n).select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("anchor"))
+
+    near = reduce(DataFrame.unionAll, map(windows, sizes or [words])).join(anchor, ["n", "anchor"]).select("doc_id", "item_id", "passage").distinct()
+    found = near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    tiny = asked.filter(F.size("w") <= 2).select("item_id", "passage")
+    return found.unionAll(docs.select("doc_id", "text").join(F.broadcast(tiny), F.contains("text", "passage")).select("doc_id", "item_id"))
 
 
 def fixed_benchmark(train: DataFrame, validation: DataFrame, test: DataFrame, per_class: int, seed: int | str) -> Cleaned:
