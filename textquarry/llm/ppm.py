@@ -1,292 +1,426 @@
 """Language-model scoring by prediction by partial matching, learned from the whole corpus.
 
 A text is its words (A-Z lower-cased), each closed by a space, and an end. Every byte is predicted from the
-bytes before it in its word, the opening space included, by a trie of contexts up to ``ORDER`` bytes: from the
-longest context that the training texts hold down to single bytes, with escape estimation (method D: a context
-with n bytes of u kinds escapes with u / 2n) and exclusion of the symbols that longer contexts would have
-predicted. A document's score is the sum of log10 of its bytes' probabilities.
-
-As contexts end at the word, a word's code length is the same wherever it stands. So chunks of documents send
-their different words with counts to buckets; buckets add them up and send (context, byte) counts to the trie,
-which is dealt out by the last two bytes of the context, as all suffixes of a context that a byte may escape to
-share them (shorter contexts are two tables of at most 65536 counts). Trie, buckets and chunks answer in the
-order in which they were asked.
+``ORDER`` bytes before it, whatever words they belong to (before a text there are ends alone), by a trie of
+contexts: from the longest context that the training texts hold down to none, with escape estimation (method D:
+a context with n bytes of u kinds escapes with u / 2n) and exclusion of the symbols that longer contexts would
+have predicted. A document's score is the sum of log10 of its bytes' probabilities.
+
+A byte and its context are one key of 64 bits, the nearest byte first, so that sorted keys are a trie. Chunks of
+documents count their different keys and send them to routes, dealt out by the ``NEAR`` nearest bytes of the
+context; a route holds all longer contexts that end so, and what shorter ones count is a table of at most 2**24
+sums that all routes get. Where there are more than ``FAN`` chunks, groups of chunks add up their keys before they
+meet, level by level, so that no task gets more than ``FAN`` senders, however frequent a context is. Answers go
+back the same way. Words are counted alike, told apart by 64 bits of hash.
 
 Contract: null texts are empty: one end. A null doc_id counts as held out. Without training texts every byte
-costs 1/256 and the base score is the model's over N = V = 0. Repeated rows count each.
+costs 1/256 and the base score is the model's over N = V = 0. Repeated rows count each. A byte 255, which only
+broken UTF-8 has, counts as 254.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm._chunks import Chunk, chunks, each_chunk
 from textquarry.llm._sample import remainder
-from textquarry.llm._shared import partitions, pick, written
-from textquarry.llm._words import split_words
+from textquarry.llm._shared import partitions, pick, tidy, written
+from textquarry.llm.substrings import MULT, _mix
+
+#: Bytes of a context; 7 and the predicted byte would fill 64 bits. Those that deal contexts out.
+ORDER, NEAR = 6, 3
+#: UTF-8 has no byte 255: it ends each text, and stands before it.
+SPACE, END = 32, 255
+#: Raw bytes of a chunk, predicted bytes that are handled at once, raw bytes for each route, and routes at most.
+CHUNK_BYTES, STEP, ROUTE_BYTES, MOST_ROUTES = 16 << 20, 1 << 21, 64 << 20, 8192
+#: Senders whose keys meet in one task.
+FAN = 256
+WORDS, GRAMS, LOW = range(3)
 
-#: Bytes of the longest context; 7 and the predicted byte would fill 64 bits.
-ORDER = 6
-SPACE, END = 32, 10
-#: Raw bytes of a chunk, and different words of all chunks that one bucket is to hold.
-CHUNK_BYTES, BUCKET_WORDS = 4 << 20, 1 << 19
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[9:14] = SPACE
 
 
-def _zip(x: bytes | np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+def _zip(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
-def _unzip(x: bytes, kind=None):
-    raw = zstandard.ZstdDecompressor().decompress(x, max_output_size=max(1, zstandard.frame_content_size(x)))
-    return raw if kind is None else np.frombuffer(raw, kind)
+def _unzip(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x, max_output_size=max(1, zstandard.frame_content_size(x))), kind)
 
 
 def is_held_out(doc_id: int | None, n: int = 10) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n == 0
 
 
-class Counted:
-    """The words of a chunk: numbers of all in order, the different ones sorted by bucket, training counts."""
-
-    def __init__(self, chunk: Chunk, n_buckets: int):
-        self.ids, self.n, words = split_words(chunk.texts(), "ascii")
-        self.held = np.array([is_held_out(chunk.doc_id(i)) for i in range(len(chunk))], bool)
-        doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.doc = doc
-        count = np.bincount(self.ids[~self.held[doc]], minlength=len(words))
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        self.place = np.empty(len(words), np.int64)  # where each word stands among those sent
-        self.place[order] = np.arange(len(words))
-        self.sent = []
-        bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1)).tolist()
-        for b in range(n_buckets):
-            own = order[bounds[b] : bounds[b + 1]]
-            if len(own):
-                self.sent.append((b, [words[i] for i in own.tolist()], count[own]))
-
-
-def _send(n_buckets: int):
+class Counts:
+    """Different keys, sorted, with their counts; keys may count 0."""
+
+    def __init__(self):
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, key: np.ndarray, counted: bool) -> None:
+        """Keys as they come; they are sorted in place."""
+        if not len(key):
+            return
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        self.merge(key[first], n if counted else np.zeros(len(n), np.int64))
+
+    def merge(self, key: np.ndarray, n: np.ndarray) -> None:
+        """Different sorted keys and their counts."""
+        if not len(self.key):
+            self.key, self.n = key, n.astype(np.int64)
+            return
+        at = np.searchsorted(self.key, key)
+        known = self.key[np.minimum(at, len(self.key) - 1)] == key
+        self.n[at[known]] += n[known]  # each key comes once
+        new = ~known
+        place = at[new] + np.arange(int(new.sum()))
+        size = len(self.key) + len(place)
+        old = np.ones(size, bool)
+        old[place] = False
+        both, counts = np.empty(size, np.uint64), np.empty(size, np.int64)
+        both[place], counts[place], both[old], counts[old] = key[new], n[new], self.key, self.n
+        self.key, self.n = both, counts
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> Counts:
+    """All parts added up, always two of like size."""
+    made = []
+    for key, n in parts:
+        one = Counts()
+        one.merge(key, n)
+        made.append(one)
+    while len(made) > 1:
+        for a, b in zip(made[::2], made[1::2]):
+            a.merge(b.key, b.n)
+        made = made[::2]
+    return made[0] if made else Counts()
+
+
+class Stream:
+    """The bytes of a chunk's texts as they are predicted, and the words in them."""
+
+    def __init__(self, chunk: Chunk):
+        pad = b" " + bytes([END]) * ORDER
+        raw = np.frombuffer(bytes([END]) * ORDER + b"".join(body.replace(b"\xff", b"\xfe") + pad for body in chunk.docs()), np.uint8)
+        ends = ORDER + np.cumsum(chunk.lens + len(pad)) - ORDER
+        text = _LOWER[raw]
+        keep = text != SPACE
+        keep[1:] |= keep[:-1] & (text[:-1] != END)  # the first space after a word
+        self.text = text[keep]
+        predicted = self.text != END
+        if len(ends):
+            gone = np.cumsum(~keep)
+            predicted[ends - gone[ends]] = True
+        self.at = np.flatnonzero(predicted)
+        held = np.array([is_held_out(chunk.doc_id(i)) for i in range(len(chunk))], bool)
+        #: For each predicted byte its document.
+        is_end = self.text[self.at] == END
+        self.doc = np.cumsum(is_end) - is_end
+        self.held, self.n_docs = held, len(chunk)
+
+    def steps(self) -> Iterator[tuple[int, int]]:
+        """Ranges of predicted bytes; none cuts a word."""
+        lo = 0
+        while lo < len(self.at):
+            hi = min(lo + STEP, len(self.at))
+            if hi < len(self.at):
+                closed = np.flatnonzero(self.text[self.at[lo:hi]] == SPACE)
+                if len(closed):
+                    hi = lo + int(closed[-1]) + 1
+                else:  # a word of more than a step
+                    while hi < len(self.at) and self.text[self.at[hi - 1]] != SPACE:
+                        hi += 1
+            yield lo, hi
+            lo = hi
+
+    def keys(self, lo: int, hi: int) -> np.ndarray:
+        """The key of each predicted byte: nearest byte << 48 | ... | farthest << 8 | byte."""
+        first = int(self.at[lo]) - ORDER
+        x = self.text[first : int(self.at[hi - 1]) + 1].astype(np.uint64)
+        at = self.at[lo:hi] - first
+        m = len(x) - ORDER
+        key = x[ORDER:].copy()
+        for k in range(1, ORDER + 1):
+            key |= x[ORDER - k : ORDER - k + m] << np.uint64(8 * (ORDER + 1 - k))
+        return key if len(at) == m else key[at - ORDER]
+
+    def words(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, document) of each word that ends in a range of predicted bytes."""
+        x = self.text[self.at[lo:hi]]
+        space = np.flatnonzero(x == SPACE)
+        if not len(space):
+            return np.zeros(0, np.uint64), space
+        up, down = _powers(len(x))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum((x.astype(np.uint64) + np.uint64(1)) * down, out=sums[1:])
+            stop = (x == SPACE) | (x == END)
+            stops = np.flatnonzero(stop)
+            begin = np.concatenate([[0], stops + 1])[np.searchsorted(stops, space)]
+            return _mix((sums[space] - sums[begin]) * up[space]), self.doc[lo + space]
+
+
+_POWERS = [np.zeros(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        one = int(MULT[0])
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(m)))) for m in (one, pow(one, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _routes(key: np.ndarray, kind: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(route, places of its keys)."""
+    part = key >> np.uint64(8 * (ORDER + 1 - NEAR)) if kind == GRAMS else key
+    with np.errstate(over="ignore"):
+        route = (_mix(part + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(route, kind="stable")
+    first = np.flatnonzero(np.diff(route[order], prepend=-1))
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield int(route[order[i]]), order[i:j]
+
+
+SENT = "kind int, route int, sender string, keys binary, counts binary"
+SENT_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+
+
+def _rows(rows: list[tuple], names: list[str], types: tuple) -> dict:
+    return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))}
+
+
+def _send(n_routes: int):
     def run(batches):
         for chunk in each_chunk(batches):
-            rows = [(b, chunk.name, len(ws), _zip(b" ".join(ws)), _zip(c.astype(np.uint32))) for b, ws, c in Counted(chunk, n_buckets).sent]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "n", "words", "counts"])
-
-    return run
-
-
-class Bucket:
-    """The different words of a bucket with their training counts, and their (context, byte) keys."""
-
-    def __init__(self, table: pa.Table):
-        self.rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        number: dict[bytes, int] = {}
-        self.at, counts = [], []
-        for r in self.rows:
-            ws = _unzip(r["words"]).split()
-            self.at.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)))
-            counts.append(_unzip(r["counts"], np.uint32))
-        every = np.concatenate(self.at)
-        self.words = list(number)
-        self.count = np.bincount(every, np.concatenate(counts), len(self.words)).astype(np.int64)
-        key, self.word = keys(self.words)
-        self.deep = key >> np.uint64(8) != SPACE
-        self.symbol, self.last = (key & np.uint64(255)).astype(np.int64), (key >> np.uint64(8) & np.uint64(255)).astype(np.int64)
-        self.key, self.inverse = np.unique(key[self.deep], return_inverse=True)
-
-    def weights(self) -> np.ndarray:
-        return np.bincount(self.inverse, self.count[self.word[self.deep]], len(self.key)).astype(np.int64)
-
-    def routes(self, n: int) -> list[tuple[int, np.ndarray]]:
-        """(route, places of its keys): by the last two bytes of the context."""
-        pair = (self.key >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
-        route = (pair * 40503 >> 4) % n
-        order = np.argsort(route, kind="stable")
-        first = np.flatnonzero(np.diff(route[order], prepend=-1))
-        return [(int(route[order[i]]), order[i:j]) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)])]
-
-
-def keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the word) of each predicted byte: context << 8 | byte."""
-    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    at = np.arange(1, len(text))
-    space = text == SPACE
-    opened = np.maximum.accumulate(np.where(space, np.arange(len(text)), 0))[:-1]
-    length = np.minimum(at - opened, ORDER)  # the opening space is the first byte of a shorter context
-    context = np.zeros(len(at), np.uint64)
-    for k in range(ORDER, 0, -1):
-        use = length >= k
-        context[use] = context[use] << np.uint64(8) | text[at[use] - k].astype(np.uint64)
-    word = (np.cumsum(space) - 1)[:-1]
-    return context << np.uint64(8) | text[1:].astype(np.uint64), word
-
-
-def parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, its length, byte). Only the first byte of a context can be a space, and then it is the whole word so far."""
-    context = key >> np.uint64(8)
-    length = np.full(len(key), ORDER)
-    for k in range(1, ORDER):
-        length[context >> np.uint64(8 * (k - 1)) == SPACE] = k
-    return context, length, key & np.uint64(255)
-
-
-def _count(n_routes: int):
-    def run(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
-        bucket = b.rows[0]["bucket"]
-        weight = b.weights()
-        rows = [(bucket, r, _zip(b.key[at]), _zip(weight[at]), 0, 0) for r, at in b.routes(n_routes)]
-        low = np.bincount(b.last * 256 + b.symbol, b.count[b.word], 65536).astype(np.int64)
-        some = np.flatnonzero(low)
-        rows.append((bucket, -1, _zip(some.astype(np.uint64)), _zip(low[some]), int(b.count.sum()), int((b.count > 0).sum())))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["bucket", "route", "keys", "weights", "tokens", "kinds"])
+            stream, grams, words = Stream(chunk), Counts(), Counts()
+            for lo, hi in stream.steps():
+                for count, key, doc in ((grams, stream.keys(lo, hi), stream.doc[lo:hi]), (words, *stream.words(lo, hi))):
+                    held = stream.held[doc]
+                    count.add(key[~held], True)
+                    count.add(key[held], False)
+            rows = [(kind, r, chunk.name, _zip(c.key[at]), _zip(c.n[at])) for kind, c in ((WORDS, words), (GRAMS, grams)) for r, at in _routes(c.key, kind, n_routes)]
+            low = Counts()
+            seen = grams.n > 0
+            short = grams.key[seen] >> np.uint64(8 * (ORDER + 2 - NEAR)) << np.uint64(8) | grams.key[seen] & np.uint64(255)
+            order = np.argsort(short)
+            first = np.flatnonzero(np.diff(short[order], prepend=np.uint64(1 << 63)))
+            low.merge(short[order][first], np.add.reduceat(grams.n[seen][order], first) if len(first) else first)
+            rows.append((LOW, 0, chunk.name, _zip(low.key), _zip(low.n)))
+            yield pa.RecordBatch.from_pydict(_rows(rows, ["kind", "route", "sender", "keys", "counts"], SENT_TYPES))
 
     return run
 
 
 def _low(batches):
-    total = np.zeros(65536, np.int64)
     for batch in batches:
         for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[_unzip(k, np.uint64).astype(np.int64)] += _unzip(w, np.int64)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["pair", "weight"])
-
-
-class Trie:
-    """Counts of the contexts that share some last two bytes, and of all single bytes and pairs (low)."""
-
-    def __init__(self, key: np.ndarray, weight: np.ndarray, low: np.ndarray):
-        self.low = low.astype(np.float64)
-        self.none = self.low.sum(0)
-        seen = weight > 0
-        context, length, symbol = parts(key[seen])
-        self.pair, self.pair_n, self.context, self.n, self.kinds = {}, {}, {}, {}, {}
-        for k in range(2, ORDER + 1):
-            own = length >= k
-            short = context[own] & np.uint64((1 << 8 * k) - 1)
-            pair, inverse = np.unique(short << np.uint64(8) | symbol[own], return_inverse=True)
-            n = np.bincount(inverse, weight[seen][own], len(pair))
-            contexts, first = np.unique(pair >> np.uint64(8), return_index=True)
-            self.pair[k], self.pair_n[k], self.context[k] = pair, n, contexts
-            self.n[k] = np.add.reduceat(n, first) if len(first) else n
-            self.kinds[k] = np.diff(np.append(first, len(pair))).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(_unzip(k, np.uint64).astype(np.int32)), pa.array(_unzip(w, np.int64))], ["low", "n"])
+
+
+class Level:
+    """The contexts of one length: their bytes with counts, sums and kinds."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        """gram: context << 8 | byte, each once and sorted."""
+        self.gram, self.n = gram, n
+        context = gram >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        self.context, self.kinds = context[first], np.diff(np.append(first, len(gram)))
+        self.total = np.add.reduceat(n, first) if len(first) else n
+
+    def shorter(self) -> Level:
+        """The contexts without their farthest bytes."""
+        gram = self.gram >> np.uint64(16) << np.uint64(8) | self.gram & np.uint64(255)
+        order = np.argsort(gram, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) > 0])) if len(gram) else np.zeros(0, np.int64)
+        return Level(gram[order][first], np.add.reduceat(self.n[order], first) if len(first) else self.n)
+
+    def sums_in(self, other: Level) -> np.ndarray:
+        """For each context what its bytes count in the shorter context."""
+        at = np.searchsorted(other.gram, self.gram >> np.uint64(16) << np.uint64(8) | self.gram & np.uint64(255))
+        return np.bincount(np.repeat(np.arange(len(self.kinds)), self.kinds), other.n[at], len(self.kinds))
+
+
+def low_levels(low: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The levels of the contexts of NEAR - 1 bytes and less."""
+    levels = [Level(low, n)]
+    while len(levels) < NEAR:
+        levels.append(levels[-1].shorter())
+    return levels
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in a sorted table; -1 where it isn't there."""
+    if not len(table):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+def log10(key: np.ndarray, weight: np.ndarray, low: list[Level]) -> np.ndarray:
+    """log10 of the probability of each key's byte in its context. key: sorted; weight: how often they occur in training."""
+    seen = weight > 0
+    levels = [Level(key[seen], weight[seen].astype(np.float64))]
+    while len(levels) <= ORDER - NEAR:
+        levels.append(levels[-1].shorter())
+    levels += low
+    out, open_ = np.zeros(len(key)), np.arange(len(key))
+    out_n, out_kinds = np.zeros(len(key)), np.zeros(len(key), np.int64)  # counts here of what is excluded, and its kinds
+    symbol = key & np.uint64(255)
+    for k, level in zip(range(ORDER, -1, -1), levels):
+        context = key[open_] >> np.uint64(8 * (ORDER + 1 - k))
+        at = _find(level.context, context)
+        there = at >= 0
+        use, at, context = open_[there], at[there], context[there]
+        hit = _find(level.gram, context << np.uint64(8) | symbol[use])
+        code = hit >= 0
+        rest_n, rest = level.total[at] - out_n[use], level.kinds[at] - out_kinds[use]
+        out[use[code]] += np.log10((2 * level.n[hit[code]] - 1) / (2 * rest_n[code]))
+        escape = ~code & (rest > 0)
+        out[use[escape]] += np.log10(rest[escape] / (2 * rest_n[escape]))
+        # the next shorter context excludes this one's symbols
+        left = use[~code]
+        out_kinds[left] = level.kinds[at[~code]]
+        if k:
+            out_n[left] = level.sums_in(levels[ORDER - k + 1])[at[~code]]
+        coded = np.zeros(len(key), bool)
+        coded[use[code]] = True
+        open_ = open_[~coded[open_]]
+    out[open_] -= np.log10(256 - out_kinds[open_])
+    return out
+
+
+ANSWER = "kind int, route int, sender string, keys binary, answers binary"
+ANSWER_NAMES = ["kind", "route", "sender", "keys", "answers"]
+
+
+def _read(table: pa.Table) -> tuple[list[dict], list[np.ndarray], Counts]:
+    rows = sorted(table.to_pylist(), key=lambda r: r["sender"])
+    keys = [_unzip(r["keys"], np.uint64) for r in rows]
+    return rows, keys, merged([(k, _unzip(r["counts"], np.int64)) for k, r in zip(keys, rows)])
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    rows, _, sums = _read(table)
+    return pa.table(_rows([(rows[0]["kind"], rows[0]["route"], rows[0]["parent"], _zip(sums.key), _zip(sums.n))], ["kind", "route", "sender", "keys", "counts"], SENT_TYPES))
+
+
+def _answer(shared):
+    """Each sender's keys with their answers: logarithms as float32, or the words' counts."""
 
-    @staticmethod
-    def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Places of x in a sorted table; -1 where it isn't there."""
-        if not len(table):
-            return np.full(len(x), -1)
-        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-        return np.where(table[at] == x, at, -1)
-
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each key's byte in its context."""
-        context, length, symbol = parts(key)
-        out = np.zeros(len(key))
-        open_ = np.arange(len(key))  # not yet predicted
-        out_n, out_kinds = np.zeros(len(key)), np.zeros(len(key))  # counts here of what is excluded, and its kinds
-        for k in range(ORDER, -2, -1):
-            use = open_[length[open_] >= k]
-            if not len(use):
-                continue
-            s = symbol[use].astype(np.int64)
-            if k >= 2:
-                short = context[use] & np.uint64((1 << 8 * k) - 1)
-                at = self._find(self.context[k], short)
-                there = at >= 0
-                use, short, at, s = use[there], short[there], at[there], s[there]
-                n, kinds = self.n[k][at], self.kinds[k][at]
-                hit = self._find(self.pair[k], short << np.uint64(8) | s.astype(np.uint64))
-                own = np.where(hit >= 0, self.pair_n[k][hit] if len(self.pair_n[k]) else 0, 0)
-            elif k == 1:
-                last = (context[use] & np.uint64(255)).astype(np.int64)
-                n, kinds, own = self.low.sum(1)[last], (self.low > 0).sum(1)[last], self.low[last, s]
-            elif k == 0:
-                n, kinds, own = np.full(len(use), self.none.sum()), np.full(len(use), (self.none > 0).sum()), self.none[s]
-            else:
-                out[use] -= np.log10(256 - out_kinds[use])
-                break
-            rest_n, rest = n - out_n[use], kinds - out_kinds[use]
-            code = own > 0
-            out[use[code]] += np.log10((2 * own[code] - 1) / (2 * rest_n[code]))
-            escape = ~code & (rest > 0)
-            out[use[escape]] += np.log10(rest[escape] / (2 * rest_n[escape]))
-            # the next shorter context excludes this one's symbols
-            left = use[~code]
-            out_kinds[left] = kinds[~code]
-            if k > 2:
-                lower = self._find(self.pair[k - 1], (self.pair[k] >> np.uint64(8) & np.uint64((1 << 8 * (k - 1)) - 1)) << np.uint64(8) | self.pair[k] & np.uint64(255))
-                in_lower = np.bincount(np.repeat(np.arange(len(self.kinds[k])), self.kinds[k].astype(np.int64)), self.pair_n[k - 1][lower], len(self.kinds[k]))
-                out_n[left] = in_lower[at[~code]]
-            elif k == 2:
-                in_lower = np.bincount(np.repeat(np.arange(len(self.kinds[k])), self.kinds[k].astype(np.int64)), self.low[(self.pair[k] >> np.uint64(8) & np.uint64(255)).astype(np.int64), (self.pair[k] & np.uint64(255)).astype(np.int64)], len(self.kinds[k]))
-                out_n[left] = in_lower[at[~code]]
-            elif k == 1:
-                out_n[left] = ((self.low > 0) @ self.none)[last[~code]]
-            coded = np.zeros(len(key), bool)
-            coded[use[code]] = True
-            open_ = open_[~coded[open_]]
-        return out
-
-
-def _predict(shared):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-        own = [_unzip(r["keys"], np.uint64) for r in rows]
-        key, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        weight = np.bincount(inverse, np.concatenate([_unzip(r["weights"], np.int64) for r in rows]), len(key))
-        found = Trie(key, weight, shared.value[0]).log10(key).astype(np.float32)[inverse]
-        parts = np.split(found, np.cumsum([len(k) for k in own])[:-1])
-        return pa.table({"bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "route": pa.array([r["route"] for r in rows], pa.int32()), "logs": pa.array([p.tobytes() for p in parts], pa.binary())})
+        rows, keys, sums = _read(table)
+        words = rows[0]["kind"] == WORDS
+        found = sums.n if words else log10(sums.key, sums.n, shared.value).astype(np.float32)
+        out = [(r["kind"], r["route"], r["sender"], r["keys"], _zip(found[np.searchsorted(sums.key, k)])) for r, k in zip(rows, keys)]
+        totals = [(int(sums.n.sum()), int((sums.n > 0).sum())) if words else (0, 0)] + [(0, 0)] * (len(rows) - 1)
+        return pa.table(_rows(out, ANSWER_NAMES, SENT_TYPES) | {"tokens": pa.array([t for t, _ in totals], pa.int64()), "kinds": pa.array([k for _, k in totals], pa.int64())})
 
     return run
 
 
-def single(low: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each byte after a space that opens a word."""
-    nothing = np.zeros(0, np.uint64)
-    return Trie(nothing, np.zeros(0), low).log10(np.uint64(SPACE << 8) | np.arange(256, dtype=np.uint64))
+def _hand_down(left: pa.Table, right: pa.Table) -> pa.Table:
+    """left: what the senders of one group sent; right: the group's answer."""
+    above = right.to_pylist()[0]
+    kind = np.int64 if above["kind"] == WORDS else np.float32
+    key, found = _unzip(above["keys"], np.uint64), _unzip(above["answers"], kind)
+    out = [(r["kind"], r["route"], r["sender"], r["keys"], _zip(found[np.searchsorted(key, _unzip(r["keys"], np.uint64))])) for r in left.to_pylist()]
+    return pa.table(_rows(out, ANSWER_NAMES, SENT_TYPES))
 
 
-def _reply(shared, n_routes: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, first = Bucket(left), shared.value[1]
-        logs = np.zeros(len(b.key))
-        answers = {r["route"]: r["logs"] for r in right.to_pylist()}
-        for r, at in b.routes(n_routes):
-            logs[at] = np.frombuffer(answers[r], np.float32)
-        each = np.zeros(len(b.symbol))
-        each[b.deep] = logs[b.inverse]
-        each[~b.deep] = first[b.symbol[~b.deep]]
-        word = np.bincount(b.word, each, len(b.words)).astype(np.float32)
-        rows = [(r["bucket"], r["chunk"], _zip(b.count[at].astype(np.uint32 if b.count.max() < 1 << 32 else np.uint64)), int(b.count.max() >= 1 << 32), word[at].tobytes()) for r, at in zip(b.rows, b.at)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.binary()))], ["bucket", "chunk", "counts", "wide", "logs"])
+def _levels(sent: DataFrame, senders: int) -> list[DataFrame]:
+    """sent with a column parent, and above it the sums of groups, until a route has FAN senders at most."""
+    levels = []
+    while senders > FAN:
+        senders = -(-senders // FAN)
+        levels.append(sent.withColumn("parent", F.pmod(F.xxhash64("sender"), F.lit(senders)).cast("string")))
+        sent = written(levels[-1].groupBy("kind", "route", "parent").applyInArrow(_add_up, SENT), "sums", "uncompressed")
+    return [*levels, sent]
 
-    return run
 
+def _down(levels: list[DataFrame], answers: DataFrame) -> DataFrame:
+    for below in reversed(levels[:-1]):
+        answers = answers.select(*ANSWER_NAMES)
+        answers = below.groupBy("kind", "route", "parent").cogroup(answers.groupBy("kind", "route", "sender")).applyInArrow(_hand_down, ANSWER)
+    return answers.select(*ANSWER_NAMES)
 
-def _score(shared, n_buckets: int, tokens: int, kinds: int, train_docs: int):
+
+class Lookup:
+    """Key → answer by tables of places: a key that another one displaced is looked for in the next table."""
+
+    def __init__(self, key: np.ndarray, answer: np.ndarray):
+        self.key, self.answer, self.tables = key, answer, []
+        rest = np.arange(len(key), dtype=np.int32)
+        while len(rest):
+            bits = max(4, int(len(rest) * 2 - 1).bit_length())
+            slot = np.zeros(1 << bits, np.int32)
+            h = self.hash(key[rest], len(self.tables), bits)
+            slot[h] = rest
+            self.tables.append((bits, slot))
+            rest = rest[slot[h] != rest]
+
+    @staticmethod
+    def hash(key: np.ndarray, turn: int, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (key ^ (key >> np.uint64(29 + turn))) * (MULT[turn % 2] + np.uint64(2 * turn))
+        return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        """All of them must be there."""
+        at = np.zeros(len(key), np.int32)
+        rest = None
+        for turn, (bits, slot) in enumerate(self.tables):
+            own = key if rest is None else key[rest]
+            found = slot[self.hash(own, turn, bits)]
+            if rest is None:
+                at = found
+                rest = np.flatnonzero(self.key[found] != own)
+            else:
+                at[rest] = found
+                rest = rest[self.key[found] != own]
+            if not len(rest):
+                break
+        return self.answer[at]
+
+
+def _score(tokens: int, kinds: int, train_docs: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        rows = right.to_pylist()
+        tables = []
+        for kind, kept in ((WORDS, np.int64), (GRAMS, np.float32)):
+            own = [r for r in rows if r["kind"] == kind]
+            tables.append(Lookup(*(np.concatenate([np.zeros(0, t), *(_unzip(r[c], t) for r in own)]) for c, t in (("keys", np.uint64), ("answers", kept)))))
+        del rows
+        words, grams = tables
         for chunk in each_chunk([left]):
-            c = Counted(chunk, n_buckets)
-            count = np.concatenate([_unzip(r["counts"], np.uint64 if r["wide"] else np.uint32).astype(np.float64) for r in rows] or [np.zeros(0)])[c.place][c.ids]
-            logs = np.concatenate([np.frombuffer(r["logs"], np.float32).astype(np.float64) for r in rows] or [np.zeros(0)])[c.place][c.ids]
-            n, total = len(c.n), tokens + 0.1 * (kinds + 1)
-            base = np.bincount(c.doc, np.log10((count + 0.1) / total), n) + np.log10((train_docs + 0.1) / total)
-            known = np.bincount(c.doc, count > 0, n).astype(np.int64) + int(train_docs > 0)
+            s = Stream(chunk)
+            n, total = s.n_docs, tokens + 0.1 * (kinds + 1)
+            size, known, base, logs = np.ones(n, np.int64), np.full(n, int(train_docs > 0)), np.full(n, np.log10((train_docs + 0.1) / total)), np.zeros(n)
+            for lo, hi in s.steps():
+                logs += np.bincount(s.doc[lo:hi], grams(s.keys(lo, hi)), n)
+                h, doc = s.words(lo, hi)
+                if len(h):
+                    count = words(h)
+                    size += np.bincount(doc, minlength=n)
+                    known += np.bincount(doc[count > 0], minlength=n)
+                    base += np.bincount(doc, np.log10((count + 0.1) / total), n)
             return pa.table({
-                "doc_id": chunk.id_column(), "held_out": pa.array(c.held), "n_tokens": pa.array(c.n + 1, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(np.bincount(c.doc, logs, n) + shared.value[1][END]),
+                "doc_id": chunk.id_column(), "held_out": pa.array(s.held), "n_tokens": pa.array(size), "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(logs),
             })
         raise ValueError("an answer without its chunk")
 
@@ -301,24 +435,23 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     table = chunks(docs, "chunks", CHUNK_BYTES)
-    size = table.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(partitions(spark), size // 24 // BUCKET_WORDS + 1)
-    sent = written(table.mapInArrow(_send(n), "bucket int, chunk string, n long, words binary, counts binary"), "words", "uncompressed")
-
+    size, senders = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    n = min(MOST_ROUTES, max(partitions(spark), size // ROUTE_BYTES + 1))
+    sent = written(table.mapInArrow(tidy(_send(n)), SENT), "sent", "uncompressed")
     train_docs = pick(docs, "doc_id").filter(remainder(F.col("doc_id").cast("long"), 10) != 0).count()
-    counted = written(sent.groupBy("bucket").applyInArrow(_count(n), "bucket int, route int, keys binary, weights binary, tokens long, kinds long"), "counts", "uncompressed")
-    tokens, kinds = counted.filter("route = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    low = np.zeros(65536, np.int64)
-    for r in counted.filter("route = -1").select("keys", "weights").mapInArrow(_low, "pair int, weight long").groupBy("pair").agg(F.sum("weight").alias("weight")).collect():  # 65536 rows at most
-        low[r.pair] = r.weight
-    low[SPACE * 256 + END] += train_docs
-    low = low.reshape(256, 256)
-    shared = spark.sparkContext.broadcast((low, single(low)))
+
+    low = sent.filter(F.col("kind") == LOW).select("keys", "counts").mapInArrow(_low, "low int, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    low = low.toArrow().sort_by("low")  # a row for each three bytes that follow each other: 2**24 at most, far fewer in any text
+    shared = spark.sparkContext.broadcast(low_levels(np.asarray(low["low"]).astype(np.uint64), np.asarray(low["n"]).astype(np.float64)))
+
+    levels = _levels(sent.filter(F.col("kind") != LOW), senders)
+    ask = lambda kind: levels[-1].filter(F.col("kind") == kind).groupBy("kind", "route").applyInArrow(_answer(shared), ANSWER + ", tokens long, kinds long")
+    words = written(ask(WORDS), "words", "uncompressed")
+    tokens, kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     tokens, kinds = tokens + train_docs, kinds + int(train_docs > 0)
-    logs = counted.filter("route >= 0").select("bucket", "route", "keys", "weights").groupBy("route").applyInArrow(_predict(shared), "bucket int, route int, logs binary")
-    replies = sent.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(_reply(shared, n), "bucket int, chunk string, counts binary, wide int, logs binary")
+    answers = _down(levels, words.select(*ANSWER_NAMES).unionAll(ask(GRAMS).select(*ANSWER_NAMES)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_score(shared, n, tokens, kinds, train_docs), schema)
+    return table.groupBy("chunk").cogroup(answers.groupBy("sender")).applyInArrow(_score(tokens, kinds, train_docs), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
