@@ -30,10 +30,10 @@ def test_leaks(spark):
     assert query(frame(spark, []), bench).collect() == [] and query(frame(spark, data), bench.limit(0)).collect() == []
 
 
-def test_blocks_agree(spark, monkeypatch):
+def test_shuffled_join_agrees(spark, monkeypatch):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     whole = sorted(map(tuple, query(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 400)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 0)
     assert sorted(map(tuple, query(docs, bench).collect())) == whole
     # brute force: items that stand in the texts as they are, but for white space
     texts = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
@@ -72,3 +72,105 @@ def test_names_that_open_sentences(spark):
     got = query(frame(spark, data), bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 0), (6, 1)]
     assert all(r.n_windows <= r.n_item_windows for r in got)
+
+
+MIXED = "A train leaves the old town at 1 km per hour and after 2 minutes meets Otto who walks 3 km with Karl before Paul turns back home for 4 minutes of rest."
+
+
+def test_copies_beside_mixed_ones_and_in_other_casing(spark):
+    cut = " ".join(ITEM.split()[:-3])
+    data = [(1, cut), (2, MIXED + " " + cut), (3, cut + " " + MIXED), (4, MIXED), (5, MIXED + " " + MIXED), (6, ITEM.lower()), (7, ITEM.upper()), (8, ITEM.title()), (9, MIXED + " " + cut + " " + MIXED)]
+    got = query(frame(spark, data), spark.createDataFrame([(0, ITEM)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 6, 7, 8, 9]
+    assert {r.doc_id: r.word for r in got}[2] == len(MIXED.split())
+
+
+def readings(words, every):
+    """The tokens of a text: as they are compared first, and in all other ways to read its names."""
+    tokens, opens, start = [canonical(w) for w in words], [], True
+    for w, (kind, _, _) in zip(words, tokens):
+        opens.append(start and kind == decontam.NAME)
+        start = w.rstrip(decontam.CLOSING)[-1:] in decontam.STOPS
+    names = [kind == decontam.NAME for kind, _, _ in tokens]
+    as_read = lambda by_value: [v if b else t for (_, t, v), b in zip(tokens, by_value)]
+    ways = [opens, [False] * len(words), names]
+    if every:
+        turn = [sum(opens[: i + 1]) % 2 for i in range(len(words))]
+        ways += [[o and t == k for o, t in zip(opens, turn)] for k in (0, 1)]
+    return tokens, opens, [as_read(w) for w in ways]
+
+
+def holds(text, item, window=5, similar=0.8):
+    """Whether any span of the text is a consistent copy of the item, over all pairs of places."""
+    doc, own = text.split(), item.split()
+    n = min(window, len(own))
+    (dt, do, dr), (it, io, ir) = readings(doc, False), readings(own, True)
+    total = {tuple(ir[0][k : k + n]) for k in range(len(own) - n + 1)}
+    hits = []
+    for q in range(len(doc) - n + 1):
+        for k in range(len(own) - n + 1):
+            if {tuple(r[q : q + n]) for r in dr} & {tuple(r[k : k + n]) for r in ir}:
+                hits.append((q, k))
+    places = sorted({q for q, _ in hits})
+    on = [{q - k for q, k in hits if q == p} for p in places]
+    turns = [i for i in range(1, len(places)) if not on[i] & on[i - 1]]
+    reach = len(own) * 3 // 2 + window
+    for j in [*turns, len(places)]:
+        b = places[j - 1] if places else 0
+        near = [p for p in places if 0 <= b - p <= reach]
+        for a in [*near[:1], *(places[i] for i in turns if i < j and places[i] in near)]:
+            span = [(q, k) for q, k in hits if a <= q <= b]
+            if min(len({tuple(ir[0][k : k + n]) for _, k in span}), len({tuple(dr[2][q : q + n]) for q, _ in span})) < similar * len(total):
+                continue
+            support = {}
+            for q, k in span:
+                support[q - k] = support.get(q - k, 0) + 1
+            for way in (0, 1):
+                chosen = {}
+                for q, k in span:
+                    slots = [d for d in range(n) if it[k + d][0] == dt[q + d][0] != decontam.PLAIN]
+                    equal = sum(it[k + d][2] == dt[q + d][2] for d in slots)
+                    rank = (support[q - k], equal) if way == 0 else (equal, support[q - k])
+                    for d in slots:
+                        if q + d not in chosen or rank > chosen[q + d][0]:
+                            chosen[q + d] = rank, k + d
+                pairs = [(it[k][2], dt[q][2], io[k] and do[q]) for q, (_, k) in chosen.items()]
+                sure = {v for x, y, o in pairs if not o or x != y for v in (x, y)}
+                if consistent([(x, y) for x, y, o in pairs if not o or x != y or x in sure]) >= similar:
+                    return True
+    return False
+
+
+def test_brute_force(spark):
+    rnd = random.Random(11)
+    plain, names = ["walks", "red", "over", "hill", "gives", "them", "back", "then", "sees"], ["Anna", "Karl", "Otto", "Eva"]
+
+    def passage(n):
+        out = [rnd.choice(plain) if rnd.random() < 0.6 else rnd.choice([*names, "3", "12", "7", "km", "kg"]) for _ in range(n)]
+        return [w + "." if rnd.random() < 0.1 else w for w in out]
+
+    def changed(words, p):
+        to = dict(zip(names, rnd.sample(names, 4))) | {"3": "40", "12": "41", "7": "42"}
+        out = []
+        for w in words:
+            end = "." if w.endswith(".") else ""
+            core = w.rstrip(".")
+            core = to.get(core, core) if p < 1 else rnd.choice([*to]) if core in to else core
+            out.append(core + end)
+        return out
+
+    items = [" ".join(passage(rnd.randint(3, 24))) for _ in range(8)]
+    data = []
+    for i in range(160):
+        parts = []
+        for _ in range(rnd.randint(1, 3)):
+            words = rnd.choice(items).split()
+            words = changed(words, rnd.choice([0, 1])) if rnd.random() < 0.7 else words
+            lo, hi = rnd.choice([(0, len(words)), (0, max(1, len(words) - 3)), (2, len(words))])
+            parts += words[lo:hi] + passage(rnd.choice([0, 0, 2, 9]))
+        text = " ".join(parts)
+        data.append((i, rnd.choice([text, text, text.lower(), text.upper()])))
+    got = query(frame(spark, data).repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    want = {(i, k) for i, t in data for k, item in enumerate(items) if holds(t, item)}
+    assert len(want) > 60 and found == want

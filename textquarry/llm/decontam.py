@@ -2,16 +2,19 @@
 
 Words become canonical tokens: numbers, units and names turn into typed placeholders, all else is lower-cased
 and loses punctuation at its ends. Windows of ``WINDOW`` canonical tokens are hashed and joined with those of
-the benchmark. A document is reported for an item if it holds, close together, at least ``SIMILAR`` of the
-item's different windows, and if the values that fill the item's placeholders are replaced consistently: one
-value by one value in at least ``SIMILAR`` of the slots, either way. Where equal windows recur in an item, each
+the benchmark. A document is reported for an item if some span of it holds at least ``SIMILAR`` of the
+item's different windows close together, and if the values that fill the item's placeholders are replaced consistently: one
+value by one value in at least ``SIMILAR`` of the slots, either way. Every span is judged, and the consistent one
+with most windows is reported. Where equal windows recur in an item, each
 place of the document is held against one of them: that on the commonest diagonal, or that with most equal values.
 So a question whose numbers or names were
-changed throughout is caught, and one that shares a template but mixes up its slots is not. A capitalised word that
-opens a sentence is read both ways, as a name and by its value.
+changed throughout is caught, and one that shares a template but mixes up its slots is not. A capitalised word is
+also read by its value, so that a copy in other casing is found as well.
 
-The benchmark is the query set. Its windows go to the executors in blocks of at most ``BLOCK_WINDOWS``, so what
-is broadcast is bounded; each block is held against all documents, whole texts, without a shuffle.
+A benchmark of at most ``BLOCK_WINDOWS`` windows goes to the executors whole, so what is broadcast is bounded, and is
+held against all documents without a shuffle. Beyond that, windows meet in a shuffled join: a document that holds
+``SIMILAR`` of an item's windows holds one of any ``1 - SIMILAR`` of them and one more, so each item is looked for
+by that many of its rarest windows, and the documents found are judged as above.
 
 Contract: null and empty texts hold nothing; an item of fewer words than a window is one window of its own
 length; an item without words is never found. Repeated rows of documents are reported each; repeated items
@@ -26,10 +29,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm._shared import pick, tidy
+from textquarry.llm._shared import pick, tidy, written
 from textquarry.llm._words import split_words
 from textquarry.llm.substrings import MULT, rolling
 
@@ -54,7 +57,7 @@ def canonical(word: str) -> tuple[int, str, str]:
     low = bare.lower()
     if NUMBER_LIKE.fullmatch(low) or low in NUMBERS:
         return NUMBER, "<number>", low
-    if low in UNITS and bare == low:
+    if low in UNITS:
         return UNIT, "<unit>", low
     if bare[:1].isupper() and bare[1:].islower():
         return NAME, "<name>", low
@@ -106,33 +109,43 @@ class Text:
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
         self.left = self.count[self.doc] - (np.arange(len(ids)) - self.begin[self.doc])
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, place, plain) of the windows of n tokens; plain: the hash with words that open sentences by value.
+    def windows(self, n: int, mixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, place, plain, literal) of the windows of n tokens.
 
-        A window with such words comes twice: all of them by value, and all as names.
+        plain is the hash with words that open sentences by value, literal that with all names by value. A window with
+        names comes once for each way to read it: plain, literal, and all as names. mixed: also with every other opening word as a name.
         """
         at = np.flatnonzero(self.left[: max(0, len(self.ids) - n + 1)] >= n)
         plain = self.read(self.opens, n)[at]
-        named = np.cumsum(np.append(0, self.opens))
-        two = np.flatnonzero(named[at + n] > named[at])
-        again = self.read(np.zeros(len(self.ids), bool), n)[at[two]] if len(two) else plain[:0]
-        return np.append(plain, again), np.append(at, at[two]), np.append(plain, plain[two])
+        if not len(at):
+            return plain, at, plain, plain
+        names = self.kind == NAME
+        held = np.cumsum(np.append(0, names))
+        some = np.flatnonzero(held[at + n] > held[at])  # windows with names
+        literal = plain.copy()
+        literal[some] = self.read(names, n)[at[some]]
+        readings = [np.zeros(len(names), bool)]
+        if mixed:
+            turn = np.cumsum(self.opens) % 2
+            readings += [self.opens & (turn == k) for k in (0, 1)]
+        out, before = [(plain, at, plain, literal)], [plain[some]]
+        for h in (literal[some], *(self.read(by_value, n)[at[some]] for by_value in readings)):
+            new = np.logical_and.reduce([h != x for x in before])
+            before.append(h)
+            out.append((h[new], at[some][new], plain[some][new], literal[some][new]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def read(self, by_value: np.ndarray, n: int) -> np.ndarray:
         """Hashes of all windows of n tokens, the marked ones by value."""
         return rolling(np.where(by_value, self.word, self.hash), n, MULT[0]) ^ np.uint64(n)
 
-    def mixed(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """windows(n), and those with two words that open sentences also with either as a name."""
-        h, at, plain = self.windows(n)
-        turn, out = np.cumsum(self.opens) % 2, [(h, at, plain)]
-        for k in (0, 1):
-            own = self.read(self.opens & (turn == k), n)[at]
-            new = own != plain
-            out.append((own[new], at[new], plain[new]))
-        h, at, plain = (np.concatenate(x) for x in zip(*out))
-        _, once = np.unique(np.stack([h, at.astype(np.uint64)], 1), axis=0, return_index=True)
-        return h[once], at[once], plain[once]
+    def own_windows(self, window: int):
+        """n and (hash, place, plain) of the windows by which texts are looked for: of shorter texts the whole."""
+        for n in range(1, window + 1):
+            h, at, plain, _ = self.windows(n, mixed=True)
+            own = (self.count[self.doc[at]] >= window) if n == window else (self.count[self.doc[at]] == n)
+            if own.any():
+                yield n, h[own], at[own], plain[own]
 
 
 class Index:
@@ -144,15 +157,12 @@ class Index:
         self.ids = [i for i, _ in items]
         hashes, owners, places, plains = [], [], [], []
         self.sizes = set()
-        for n in range(1, window + 1):
-            h, at, plain = text.mixed(n)
-            own = (text.count[text.doc[at]] >= window) if n == window else (text.count[text.doc[at]] == n)
-            if own.any():
-                self.sizes.add(n)
-                hashes.append(h[own])
-                owners.append(text.doc[at[own]])
-                places.append(at[own] - text.begin[text.doc[at[own]]])
-                plains.append(plain[own])
+        for n, h, at, plain in text.own_windows(window):
+            self.sizes.add(n)
+            hashes.append(h)
+            owners.append(text.doc[at])
+            places.append(at - text.begin[text.doc[at]])
+            plains.append(plain)
         empty = np.zeros(0, np.int64)
         none = empty.astype(np.uint64)
         h, owner, place, plain = np.concatenate([*hashes, none]), np.concatenate([*owners, empty]), np.concatenate([*places, empty]), np.concatenate([*plains, none])
@@ -207,87 +217,156 @@ def _slots(index: Index, item: int, window: int, hits: list[tuple[int, int, int,
 
 
 def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int, int]], text: Text, words: Words, similar: float):
-    """hits: (place in the document's tokens, place in the item, plain hashes of both) of one item in one document, in order.
+    """hits: (place in the document's tokens, place in the item, the item's plain and the document's literal hash), in order.
 
     As a name may stand for several, a window of the document counts for one of the item's, whichever it equals.
+    Spans begin and end where hits leave the diagonals of those before them, so that what stands beside a copy
+    doesn't spoil it, and slots that are mixed up can't be cut off; and they begin at the first hit in reach.
     """
-    total, reach = index.total[item], int(index.length[item] * 3 // 2) + window
-    best, lo, sides = (0, 0, 0, 0.0), 0, (Counter(), Counter())
-    for hi, (p, *_) in enumerate(hits):
-        for inside, h in zip(sides, hits[hi][2:]):
-            inside[h] += 1
-        while p - hits[lo][0] > reach:
-            for inside, h in zip(sides, hits[lo][2:]):
-                inside[h] -= 1
-                if not inside[h]:
-                    del inside[h]
+    least, reach = similar * index.total[item], int(index.length[item] * 3 // 2) + window
+    first = [i for i in range(len(hits)) if not i or hits[i][0] != hits[i - 1][0]]  # of each place
+    diagonals = [{q - k for q, k, _, _ in hits[i:j]} for i, j in zip(first, [*first[1:], len(hits)])]
+    breaks = [i for i, a, b in zip(first[1:], diagonals, diagonals[1:]) if not a & b]
+    best, lo = (0, 0, 0, 0.0), 0
+    for end in [*breaks, len(hits)]:
+        while hits[end - 1][0] - hits[lo][0] > reach:
             lo += 1
-        if hi + 1 < len(hits) and hits[hi + 1][0] == p:
-            continue  # all hits of a place belong to a span
-        # the span with most windows decides; of such spans, a consistent one
-        n_windows = min(map(len, sides))
-        if n_windows >= max(similar * total, best[0]) and (n_windows > best[0] or best[3] < similar):
-            share, n = max((consistent(s), len(s)) for s in _slots(index, item, window, hits[lo : hi + 1], text, words))
-            best = (n_windows, hits[lo][0], n, share)
-    return best if best[3] >= similar else None
+        for begin in [lo, *(i for i in breaks if lo < i < end)]:
+            span = hits[begin:end]
+            n_windows = min(len({h[2] for h in span}), len({h[3] for h in span}))
+            if n_windows < least or n_windows <= best[0]:
+                break
+            share, n = max((consistent(s), len(s)) for s in _slots(index, item, window, span, text, words))
+            if share >= similar:
+                best = (n_windows, span[0][0], n, share)
+                break
+    return best if best[0] else None
+
+
+FOUND = "array<struct<item_id: long, n_windows: long, n_item_windows: long, word: long, n_slots: long, slot_share: double>>"
+FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_item_windows", pa.int64()), ("word", pa.int64()), ("n_slots", pa.int64()), ("slot_share", pa.float64())]))
+
+
+def found_in(docs: pa.Array, index: Index, words: Words, window: int, similar: float) -> list[list[dict]]:
+    """For each text what it holds of the index."""
+    text = Text(docs, words)
+    hits = defaultdict(list)
+    for n in sorted(index.sizes):
+        h, at, _, literal = text.windows(n)
+        maybe = np.flatnonzero(index.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        h, at, literal = h[maybe], at[maybe], literal[maybe]
+        a, b = np.searchsorted(index.hash, h), np.searchsorted(index.hash, h, "right")
+        for i in np.flatnonzero(b > a).tolist():
+            for k in range(a[i], b[i]):
+                hits[int(text.doc[at[i]]), int(index.owner[k])].append((int(at[i]), int(index.place[k]), int(index.plain[k]), int(literal[i])))
+    found = defaultdict(list)
+    for (doc, item), own in hits.items():
+        if len({h for _, _, h, _ in own}) >= similar * index.total[item]:
+            best = _judge(index, item, window, sorted(set(own)), text, words, similar)
+            if best:
+                found[doc].append({"item_id": index.ids[item], "n_windows": best[0], "n_item_windows": index.total[item], "word": best[1] - int(text.begin[doc]), "n_slots": best[2], "slot_share": best[3]})
+    return [found.get(k, []) for k in range(len(docs))]
 
 
 def _find(shared, window: int, similar: float, column: int):
     def run(batches):
         index, words = shared.value, Words()
-        types = pa.list_(pa.struct([("item_id", pa.int64()), ("n_windows", pa.int64()), ("n_item_windows", pa.int64()), ("word", pa.int64()), ("n_slots", pa.int64()), ("slot_share", pa.float64())]))
         for batch in batches:
             out = []
             for lo in range(0, batch.num_rows, 512):
                 if len(words) > CACHE_WORDS:
                     words = Words()
-                docs = batch.column(column).slice(lo, 512)
-                text = Text(docs, words)
-                hits = defaultdict(list)
-                for n in sorted(index.sizes):
-                    h, at, plain = text.windows(n)
-                    maybe = np.flatnonzero(index.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                    h, at, plain = h[maybe], at[maybe], plain[maybe]
-                    a, b = np.searchsorted(index.hash, h), np.searchsorted(index.hash, h, "right")
-                    for i in np.flatnonzero(b > a).tolist():
-                        for k in range(a[i], b[i]):
-                            hits[int(text.doc[at[i]]), int(index.owner[k])].append((int(at[i]), int(index.place[k]), int(index.plain[k]), int(plain[i])))
-                found = defaultdict(list)
-                for (doc, item), own in hits.items():
-                    if len({h for _, _, h, _ in own}) >= similar * index.total[item]:
-                        best = _judge(index, item, window, sorted(set(own)), text, words, similar)
-                        if best:
-                            found[doc].append({"item_id": index.ids[item], "n_windows": best[0], "n_item_windows": index.total[item], "word": best[1] - int(text.begin[doc]), "n_slots": best[2], "slot_share": best[3]})
-                out += [found.get(k, []) for k in range(len(docs))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, types)], [*batch.schema.names, "leaks_"])
+                out += found_in(batch.column(column).slice(lo, 512), index, words, window, similar)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, FOUND_TYPE)], [*batch.schema.names, "leaks_"])
 
     return run
 
 
-def _items(benchmark: DataFrame, window: int):
-    """The benchmark in blocks of at most BLOCK_WINDOWS windows."""
-    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")) + 1)).first()[0] or 0
-    n = words // BLOCK_WINDOWS + 1
-    for k in range(n):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        if own:
-            yield Index(sorted(((r.item_id, r.text) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), window)
+def _own(window: int):
+    """(item_id, text) → the hashes of the items' windows, and how many different ones an item has."""
+
+    def run(batches):
+        for batch in batches:
+            words = Words()
+            for lo in range(0, batch.num_rows, 512):
+                text = Text(batch.column(1).slice(lo, 512), words)
+                for n, h, at, plain in text.own_windows(window):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + text.doc[at])), batch.column(1).take(pa.array(lo + text.doc[at])), pa.array(h.view(np.int64)), pa.array(plain.view(np.int64)), pa.array(np.full(len(h), n), pa.int32())], ["item_id", "item", "h", "plain", "size"])
+
+    return run
+
+
+def _asked(sizes: list[int]):
+    """(t1, t2, text) → the different window hashes of each text."""
+
+    def run(batches):
+        for batch in batches:
+            words = Words()
+            for lo in range(0, batch.num_rows, 512):
+                if len(words) > CACHE_WORDS:
+                    words = Words()
+                part = batch.slice(lo, 512)
+                text = Text(part.column(2), words)
+                for n in sizes:
+                    h, at, _, _ = text.windows(n)
+                    if len(h):
+                        pairs = np.unique(np.stack([text.doc[at].astype(np.uint64), h], 1), axis=0)
+                        of = pa.array(pairs[:, 0].astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], ["t1", "t2", "h"])
+
+    return run
+
+
+def _judged(window: int, similar: float):
+    """(t1, t2, text, items) → what each text holds of its own items."""
+
+    def run(batches):
+        for batch in batches:
+            words, out = Words(), []
+            for text, items in zip(batch.column(2), batch.column(3)):
+                index = Index(sorted(((r["item_id"], r["item"]) for r in items.as_py()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), window)
+                out += found_in(pa.array([text.as_py()], pa.string()), index, words, window, similar)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, FOUND_TYPE)], ["t1", "t2", "leaks_"])
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, window: int, similar: float) -> DataFrame:
+    """leaks by a shuffled join of windows; texts are told apart by 128 bits of hash."""
+    own = written(items.mapInArrow(tidy(_own(window)), "item_id long, item string, h long, plain long, size int"), "windows")
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())
+    one = ["item_id", "item"]
+    common = own.groupBy("h").agg(F.count("*").alias("n_items"))
+    rare = own.join(common, "h").groupBy(*one, "plain").agg(F.max("n_items").alias("n_items"))
+    total = own.groupBy(*one).agg(F.count_distinct("plain").alias("total"))
+    order = Window.partitionBy(*one).orderBy("n_items", "plain")
+    rare = rare.withColumn("rank", F.row_number().over(order)).join(total.select(*(F.col(c).alias(f"{c}_") for c in one), "total"), F.col("item_id").eqNullSafe(F.col("item_id_")) & (F.col("item") == F.col("item_")))
+    rare = rare.filter(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * similar) + 1).select(F.col("item_id").alias("i"), F.col("item").alias("t"), F.col("plain").alias("p"))
+    keys = own.join(rare, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item") == F.col("t")) & (F.col("plain") == F.col("p"))).select("h", *one).distinct()
+    texts = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"), "text").filter("text IS NOT NULL")
+    asked = texts.mapInArrow(tidy(_asked(sizes)), "t1 long, t2 long, h long")
+    pairs = written(asked.join(keys, "h").select("t1", "t2", *one).distinct(), "pairs")
+    pairs = pairs.groupBy("t1", "t2").agg(F.collect_list(F.struct(*one)).alias("items"))
+    met = texts.join(pairs, ["t1", "t2"]).groupBy("t1", "t2").agg(F.min("text").alias("text"), F.min("items").alias("items"))
+    found = met.mapInArrow(tidy(_judged(window, similar)), f"t1 long, t2 long, leaks_ {FOUND}").filter(F.size("leaks_") > 0)
+    found = found.select(F.col("t1").alias("f1_"), F.col("t2").alias("f2_"), "leaks_")
+    names = docs.columns
+    docs = docs.join(found, (F.xxhash64("text") == F.col("f1_")) & (F.xxhash64(F.lit("text"), "text") == F.col("f2_")), "left")
+    return docs.select(*names, F.coalesce("leaks_", F.array().cast(FOUND)).alias("leaks_"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similar: float = SIMILAR) -> DataFrame:
     """docs with a column leaks_: an array of the items found in each text, empty for clean ones. Needs a column text."""
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")) + 1)).first()[0] or 0
+    if not words:
+        return docs.withColumn("leaks_", F.array().cast(FOUND))
+    if words > BLOCK_WINDOWS:
+        return _joined(docs, items, window, similar)
+    index = Index(sorted(((r.item_id, r.text) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), window)  # BLOCK_WINDOWS words at most
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    kind = "array<struct<item_id: long, n_windows: long, n_item_windows: long, word: long, n_slots: long, slot_share: double>>"
-    out, names = docs, docs.columns
-    found = []
-    for k, index in enumerate(_items(benchmark, window)):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        out = out.mapInArrow(tidy(_find(shared, window, similar, names.index("text"))), f"{fields}, leaks_ {kind}")
-        out = out.withColumnRenamed("leaks_", f"leaks_{k}_")
-        found.append(f"leaks_{k}_")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    return out.select(*names, (F.concat(*found) if found else F.array().cast(kind)).alias("leaks_"))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    return docs.mapInArrow(tidy(_find(shared, window, similar, docs.columns.index("text"))), f"{fields}, leaks_ {FOUND}")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
