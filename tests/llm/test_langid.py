@@ -39,3 +39,49 @@ def test_held_out(spark):
     assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {-1, -2, -3}
     assert langid.identify(docs, None).filter("lang_pred <> 'und'").count() == 0
     assert langid.query(docs.limit(0)).collect() == []
+
+
+def test_many_languages(spark):
+    # more labels than any cap that was there before; null labels and texts without letters teach nothing
+    docs = spark.createDataFrame([(i, f"word{i % 300} of its own " * 3, f"l{i % 300:03d}") for i in range(1500)] + [(9000, "12", "none"), (9001, "abc", None), (9002, None, "none")], "doc_id long, text string, lang string")
+    net = langid.fit(docs, per_label=3, steps=3)
+    assert net.languages == [f"l{i:03d}" for i in range(300)] and net.ahead.h == 48
+    assert langid.fit(docs.filter("lang = 'l001'")) == "l001" and langid.fit(docs.filter("lang = 'none'")) is None
+
+
+def test_predict_as_a_plain_loop():
+    rnd = np.random.default_rng(4)
+    net = langid.Network(["a", "b", "c"], h=3)
+    texts = ["".join(chr(rnd.choice([97, 98, 233, 32, 0x4E2D])) for _ in range(n)) for n in (1, 63, 64, 65, 500)] + ["", None, "12 %", "é"]
+
+    def unit(d, x):
+        state, out = np.zeros(d.h), []
+        sigmoid = lambda v: 1 / (1 + np.exp(-v))
+        for byte in x:
+            a, u = d.p["E"][byte].astype(float), state @ d.p["U"].astype(float)
+            z, r = sigmoid(a[: d.h] + u[: d.h]), sigmoid(a[d.h : 2 * d.h] + u[d.h : 2 * d.h])
+            n = np.tanh(a[2 * d.h :] + r * (u[2 * d.h :] + d.p["c"]))
+            state = n + z * (state - n)
+            out.append(state)
+        return out
+
+    for text, (lang, score) in zip(texts, langid.predict(net, texts)):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0)
+            continue
+        raw, total = text.encode(), np.zeros(3)
+        for lo in range(0, len(raw), langid.SPAN):
+            part = raw[lo : lo + langid.SPAN] + b"\0" * max(0, lo + langid.SPAN - len(raw))
+            ahead, back = unit(net.ahead, part), unit(net.back, part[::-1])[::-1]
+            for k in range(min(langid.SPAN, len(raw) - lo)):
+                p = np.exp(np.concatenate([ahead[k], back[k]]) @ net.out["W"] + net.out["b"])
+                total += p / p.sum()
+        assert lang == net.languages[int(total.argmax())] and abs(score - total.max() / len(raw)) < 1e-4
+
+
+def test_clashing_columns_repeats_and_long_texts(spark):
+    long = "the of and to in is " * 30_000
+    rows = [(1, long, "en", "x"), (1, long, "en", "x"), (3, "el la de que y los " * 9, "es", "y"), (4, None, "es", "z"), (5, long, "en", "q")] + [(10 + i, "le la des que est un " * 20, "fr", "w") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Text string")
+    got = langid.query(docs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (1, 5)} == {"en"}

@@ -3,6 +3,9 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from tests.llm.texts import frame, rows
 from textquarry.llm import toxicity
 
@@ -32,3 +35,27 @@ def test_held_out(spark):
     for own, want in ((labels.limit(0), {0}), (labels.filter("toxic = 1"), {1}), (labels.filter("toxic = 0"), {0})):
         assert {r.predicted for r in toxicity.query(docs, own).collect()} == want
     assert toxicity.query(docs.limit(0), labels).collect() == []
+
+
+def test_scorer_as_a_plain_average():
+    rnd = random.Random(5)
+    table = np.random.default_rng(5).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    texts = [" ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 9))) for _ in range(n)) for n in (1, 3, 40, 400)] + [None, "", " \n", "ONE one"]
+    got = toxicity.Scorer(table, 0.25)(pa.array(texts))
+    for text, score in zip(texts, got):
+        words = (text or "").lower().split()
+        each = []
+        for w in words:
+            own = f" {w} "
+            values = [table[toxicity.grams([w])[1]].mean()] if len(own) >= 3 else [0]
+            assert len(toxicity.grams([w])[1]) == sum(max(0, len(own) - n + 1) for n in toxicity.GRAMS)
+            each.append(values[0])
+        assert abs(score - 1 / (1 + np.exp(-((np.mean(each) if each else 0) + 0.25)))) < 1e-5
+
+
+def test_labels_of_long_texts_are_learned(spark):
+    # all toxic rows are longer than what is learned of one
+    data = [(i, ("vile scum " if i % 2 else "kind words ") * (4000 if i % 2 else 40)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, toxic int")
+    got = toxicity.query(frame(spark, data), labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)

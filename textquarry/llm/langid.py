@@ -3,7 +3,9 @@
 Each text is read as UTF-8 bytes in segments of ``SPAN``; a gated recurrent unit runs over a segment in either
 direction, and at every position a softmax over the two states labels the byte with a language. A document's
 probabilities are the mean of those of all its positions. The network is trained by backpropagation through
-time on a bounded sample of labelled documents; scoring covers every byte of every document.
+time, in one task, on a bounded sample: ``SEGMENTS`` segments of each of ``PER_LABEL`` documents of each language,
+cut where the documents are. Scoring covers every byte of every document. All languages are learned, however many;
+beyond 16 the network gets more units, and beyond 8 more steps.
 
 Contract: texts that are null or without any letter are ``und`` with score 0. With no labelled row all are
 ``und``, with one language only it is predicted with score 1. Of conflicting labels of one doc_id the greater
@@ -12,17 +14,20 @@ is used. Repeated rows are scored alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm._sample import remainder, sample
-from textquarry.llm._shared import pick
+from textquarry.llm._sample import remainder, sampled
+from textquarry.llm._shared import pick, tidy
 
 HIDDEN, SPAN = 10, 64
-#: The bounded sample: documents of each language, bytes of one document, segments of one document.
-PER_LABEL, MAX_BYTES, SEGMENTS = 400, 200_000, 8
+#: The bounded sample: documents of each language, segments of one document.
+PER_LABEL, SEGMENTS = 400, 8
 #: Segments that are scored at once.
 STEP = 4096
 
@@ -124,18 +129,16 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(padded, np.uint8).reshape(-1, SPAN), doc, size
 
 
-def train(rows: list[tuple[str, str]], steps: int = 500, batch: int = 192, rate: float = 0.02, seed: int = 3) -> Network:
-    """Learn from (language, text) by Adam over segments, languages drawn alike."""
-    languages = sorted({label for label, _ in rows})
-    net, rng = Network(languages, seed), np.random.default_rng(seed)
-    pools = []
-    for name in languages:
-        own = []
-        for _, text in (r for r in rows if r[0] == name and r[1]):
-            x, _, size = segments([text.encode("utf-8", "replace")])
-            x = x[size >= min(SPAN, size.max())]
-            own.append(x[rng.permutation(len(x))[:SEGMENTS]])
-        pools.append(np.concatenate(own) if own else np.zeros((1, SPAN), np.uint8))
+def units(n: int) -> int:
+    """Units a direction for n languages."""
+    return HIDDEN if n <= 16 else min(48, int(4 * np.sqrt(n)))
+
+
+def train(pools: dict[str, np.ndarray], steps: int | None = None, batch: int = 192, rate: float = 0.02, seed: int = 3) -> Network:
+    """Learn from the segments (n, SPAN) of each language by Adam, languages drawn alike."""
+    languages = sorted(pools)
+    net, rng = Network(languages, seed, units(len(languages))), np.random.default_rng(seed)
+    steps, pools = steps or min(2000, max(500, 60 * len(languages))), [pools[name] for name in languages]
     params = net.parameters()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
@@ -172,13 +175,37 @@ def predict(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def fit(docs: DataFrame, per_label: int = PER_LABEL) -> Network | str | None:
-    """Learn from text and lang of the documents, but those with crc32(doc_id) mod 4 = 2."""
+def cut(text: str) -> np.ndarray:
+    """At most SEGMENTS segments of a text, whole ones if there are any; which ones depends on the text alone."""
+    raw = text.encode("utf-8", "replace")
+    x, _, size = segments([raw])
+    x = x[size >= min(SPAN, size.max())]
+    return x[np.random.default_rng(xxhash.xxh64_intdigest(raw)).permutation(len(x))[:SEGMENTS]]
+
+
+def _cut(batches):
+    for batch in batches:
+        rows = [(label, cut(text)) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text and has_letter(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["label", "segments"])
+
+
+def fit(docs: DataFrame, per_label: int = PER_LABEL, steps: int | None = None) -> Network | str | None:
+    """Learn from text and lang of the documents, but those with crc32(doc_id) mod 4 = 2. The driver gets the weights."""
     rows = pick(docs, "doc_id", "text", "lang").filter(remainder("doc_id", 4) != 2).filter("lang IS NOT NULL AND text IS NOT NULL")
-    found = sample(rows.select("doc_id", F.col("lang").alias("label")), rows.select("doc_id", "text"), per_label, MAX_BYTES)
-    found = list(dict.fromkeys(r for r in found if has_letter(r[1])))
-    languages = {label for label, _ in found}
-    return train(found) if len(languages) > 1 else next(iter(languages), None)
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+    found = sampled(rows.select("doc_id", "label"), rows.select("doc_id", "text"), per_label)
+    found = found.select("label", "text").mapInArrow(tidy(_cut), "label string, segments binary").distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        pools: dict[str, list] = {}
+        for label, x in sorted(zip(table["label"].to_pylist(), table["segments"].to_pylist())):
+            pools.setdefault(label, []).append(np.frombuffer(x, np.uint8).reshape(-1, SPAN))
+        pools = {k: np.concatenate(v) for k, v in pools.items()}
+        model = train(pools, steps) if len(pools) > 1 else next(iter(pools))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    model = found.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "model binary").collect()
+    return pickle.loads(model[0].model) if model else None
 
 
 def identify(docs: DataFrame, model: Network | str | None) -> DataFrame:
@@ -197,7 +224,7 @@ def identify(docs: DataFrame, model: Network | str | None) -> DataFrame:
                     out += [(net, 1.0) if net and t and has_letter(t) else ("und", 0.0) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm._sample import remainder, sampled
+from textquarry.llm._sample import piece, remainder, sampled
 from textquarry.llm._shared import pick, release, tidy
 from textquarry.llm._words import split_words
 
 BUCKETS, GRAMS, DIM = 1 << 20, (3, 4, 5, 6), 4
-#: The bounded sample that is learned from: documents with label 0 and with label 1, and bytes of one document.
-CLEAN, TOXIC, MAX_BYTES = 6000, 3000, 50_000
+#: The bounded sample that is learned from: documents with label 0 and with label 1, and characters of one document (a
+#: longer one is learned from a part of it).
+CLEAN, TOXIC, MAX_CHARS = 6000, 3000, 20_000
 #: Distinct words kept in a task's memory, and words of a batch that are hashed at once.
 CACHE_WORDS, STEP = 1 << 18, 1 << 14
 
@@ -190,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOX
     """
     labels = pick(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("label"))
     most = F.when(F.col("label") == 1, toxic).otherwise(clean)
-    rows = sampled(labels.filter(remainder("doc_id", 5) != 0).filter("label IN (0, 1)"), pick(docs, "doc_id", "text"), most, MAX_BYTES)
+    rows = sampled(labels.filter(remainder("doc_id", 5) != 0).filter("label IN (0, 1)"), pick(docs, "doc_id", "text"), most)
+    text = piece(F.col("text"), F.col("doc_id"), MAX_CHARS)
+    rows = rows.filter("text IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("label", "n", text.alias("text"))).alias("r")).select("r.*", "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
         found = sorted(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist()))
@@ -200,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOX
         if len(seen) > 1:  # the sample's share of either label isn't that of all labelled documents
             chosen = sum(label for label, _ in found)
             bias += float(np.log(n[1] / n[0]) - np.log(chosen / (len(found) - chosen)))
+        del found, table
         release()
         return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias]})
 
