@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline as cp
-from tests.llm.test_simhash import classes, fingerprint
+from tests.llm.test_jaccard import shingles
 from textquarry.llm import decontam, lines, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -12,6 +12,7 @@ COLUMNS = list(cp.COLUMNS)
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own, long = [f"a text number {i} of its own under one doc_id" for i in range(2)], " ".join(f"word{i * 7919 % 100_003}" for i in range(60_000))
     odd = spark.createDataFrame([(None, "of the and", "en", "s", 10), (None, "of the and", "en", "s", 10), (None, None, None, None, None), (-7, "", "en", "s", 0)], docs.schema)
     docs = docs.unionAll(odd).cache()
     # toxicity
@@ -26,20 +27,36 @@ def test_stages(spark):
     want = sorted((r.doc_id or -9, r.kept_text) for r in lines.dedup_lines(kept).collect())
     assert sorted((r.doc_id or -9, r.text or "") for r in after.collect()) == want and sum(len(r.text or "") for r in after.collect()) < sum(len(r.text or "") for r in kept.collect())
     assert all(r.n_chars == len(r.text) for r in after.collect() if r.text is not None)
-    # near copies, over all pairs
+    # near copies, over all pairs that share a shingle: one row of each group, whatever doc_ids are repeated
+    after = after.unionAll(spark.createDataFrame([(-8, own[0], "en", "s", 0), (-8, own[1], "en", "s", 0), (-6, own[1], "en", "s", 0), (-9, long, "en", "s", 0)], docs.schema)).cache()
     rows = after.collect()
-    prints = [fingerprint(r.text) for r in rows]
-    root, groups = classes(set(prints), 4), defaultdict(list)
-    for r, f in zip(rows, prints):
-        groups[root[f]].append(r.doc_id)
+    sets, root, holders = [shingles(r.text) for r in rows], list(range(len(rows))), defaultdict(list)
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, mine in enumerate(sets):
+        near = {j for s in mine for j in holders[s]}
+        for j in near:
+            small, large = sorted((len(mine), len(sets[j])))
+            if small >= 0.8 * large and len(mine & sets[j]) >= 0.8 * len(mine | sets[j]):
+                root[top(i)] = top(j)
+        for s in mine or {None}:
+            holders[s].append(i)
+    empty = [i for i, mine in enumerate(sets) if not mine]
+    for i in empty:
+        root[top(i)] = top(empty[0])
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[top(i)].append(r)
     one = cp.drop_near_copies(spark, after, SF).cache()
-    want = [min((i for i in g if i is not None), default=None) for g in groups.values()]
-    key = lambda i: (i is None, i or 0)
-    assert one.columns == COLUMNS and sorted((r.doc_id for r in one.collect()), key=key) == sorted(want, key=key) and len(want) < len(rows)
-    texts = defaultdict(set)
-    for r in rows:
-        texts[r.doc_id].add(r.text)
-    assert all(r.text in texts[r.doc_id] for r in one.collect())
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
+    want = [min(g, key=order) for g in groups.values()]
+    assert one.columns == COLUMNS and sorted(map(row, one.collect())) == sorted(map(row, want)) and len(want) < len(rows) - 10
+    texts = {r.text for r in one.collect()}
+    assert {*own, long} <= texts
     # benchmark
     clean = cp.drop_leaks(spark, one, SF).cache()
     leaks = {r.doc_id for r in decontam.query(one, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
