@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.plans import corpus, evaluation, extraction, reviews
+from textquarry.plans import corpus, evaluation, extraction, reviews, templates
 
-MODULES = (corpus, extraction, evaluation, reviews)
+MODULES = (corpus, extraction, evaluation, reviews, templates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
