@@ -44,7 +44,8 @@ def heldout_duplicate_groups(spark, sf):
 
 
 def label_conflict_quarantine(spark, sf):
-    rows = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.lower(F.substring("text", 1, 4)).alias("key"), F.lit(None).cast("string").alias("split"))
+    """Groups of equal texts whose rows name different sources."""
+    rows = docs(spark, sf).select("doc_id", F.col("source").alias("label"), "key", F.lit(None).cast("string").alias("split"))
     facts = clean.group_facts(rows, line="doc_id")
     return facts.filter("conflict").select(F.lower(F.hex("_key")).alias("key"), "copies", F.col("first_line").alias("first_doc"))
 
@@ -70,8 +71,12 @@ def stratified_split(spark, sf):
 
 
 def split_manifest(spark, sf):
-    rows = clean.assign_splits(docs(spark, sf).withColumn("key", F.col("doc_id").cast("string")).withColumn("split", F.lit("")), 42)
-    return rows.groupBy("split", "label").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """The manifest's counts by split and label, and its reasons."""
+    rows = load(spark, sf, "documents").select("text", F.col("lang").alias("label"), F.lit(None).cast("string").alias("split"), F.col("doc_id").alias("source_line"))
+    found = clean.prepare(rows)
+    m = sinks.manifest(found.clean, found.rejected)
+    counts = m.select("input_rows", F.explode("counts").alias("part", "c")).select("input_rows", "part", F.explode("c").alias("label", "n"))
+    return counts.unionAll(m.select("input_rows", F.explode("reasons").alias("part", "n")).select("input_rows", "part", F.lit("").alias("label"), "n"))
 
 
 def split_fingerprints(spark, sf):
@@ -153,12 +158,19 @@ QUERIES = {
 SELECT doc_id, CASE WHEN c THEN 'conflicting_labels' ELSE 'normalized_duplicate' END AS reason FROM d JOIN g USING (k) WHERE c OR doc_id <> f"""),
     "heldout_duplicate_groups": (heldout_duplicate_groups, f"""SELECT sha256({KEY}) AS key, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids, array_to_string(list_sort(list_distinct(list(lang))), ',') AS labels, count(DISTINCT lang) > 1 AS conflicting
 FROM documents GROUP BY {KEY} HAVING count(*) > 1"""),
-    "label_conflict_quarantine": (label_conflict_quarantine, "SELECT sha256(lower(substr(text, 1, 4))) AS key, count(*)::BIGINT AS copies, min(doc_id) AS first_doc FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality)"),
+    "label_conflict_quarantine": (label_conflict_quarantine, f"SELECT sha256({KEY}) AS key, count(*)::BIGINT AS copies, min(doc_id) AS first_doc FROM documents GROUP BY {KEY} HAVING min(source) <> max(source)"),
     "audit_reasons": (audit_reasons, f"SELECT CASE WHEN {NORMAL} = '' THEN 'empty_text_or_label' WHEN length({NORMAL}) > 20000 THEN 'text_or_label_too_long' WHEN n_chars % 7 = 0 THEN 'unknown_split' ELSE 'accepted' END AS reason, count(*)::BIGINT AS n FROM documents GROUP BY 1"),
     "leakage_exact": (leakage_exact, f"SELECT doc_id, 'leak' AS reason FROM documents WHERE {KEY} IN (SELECT {KEY} FROM benchmark)"),
-    "leakage_contains": (leakage_contains, r"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) > 6"),
+    "leakage_contains": (leakage_contains, "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "stratified_split": (stratified_split, f"SELECT doc_id, lang AS label, {SPLIT_CASE} AS split FROM ({SPLIT_SQL.format(key=f'sha256({KEY}) || chr(45) || doc_id::VARCHAR')})"),
-    "split_manifest": (split_manifest, f"SELECT split, lang AS label, count(*)::BIGINT AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, lang, {SPLIT_CASE} AS split FROM ({BY_ID})) GROUP BY 1, 2"),
+    "split_manifest": (split_manifest, f"""WITH d AS (SELECT doc_id, lang, {KEY} AS k, length({NORMAL}) AS n FROM documents),
+ok AS (SELECT * FROM d WHERE n BETWEEN 1 AND 20000), g AS (SELECT k, min(doc_id) AS f, min(lang) <> max(lang) AS c FROM ok GROUP BY k),
+j AS (SELECT doc_id, lang, CASE WHEN c THEN 'conflicting_labels' WHEN doc_id <> f THEN 'normalized_duplicate' END AS reason FROM ok JOIN g USING (k)),
+t AS (SELECT lang, greatest(1, floor(count(*) * 0.2))::BIGINT AS h, count(*) AS c FROM j WHERE reason IS NULL GROUP BY lang),
+r AS (SELECT unnest(['test', 'validation', 'train']) AS part, lang AS label, unnest([h, h, c - 2 * h])::BIGINT AS n FROM t
+UNION ALL SELECT reason, '', count(*)::BIGINT FROM j WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT CASE WHEN n = 0 THEN 'empty_text_or_label' ELSE 'text_or_label_too_long' END, '', count(*)::BIGINT FROM d WHERE n NOT BETWEEN 1 AND 20000 GROUP BY 1)
+SELECT (SELECT count(*) FROM documents)::BIGINT AS input_rows, part, label, n FROM r"""),
     "split_fingerprints": (split_fingerprints, None),
     "prepared_manifest": (prepared_manifest, f"""WITH d AS (SELECT doc_id, lang, {KEY} AS k, length({NORMAL}) AS n FROM documents),
 ok AS (SELECT * FROM d WHERE n BETWEEN 1 AND 20000), g AS (SELECT k, min(doc_id) AS f, min(lang) <> max(lang) AS c FROM ok GROUP BY k),

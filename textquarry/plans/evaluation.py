@@ -50,9 +50,10 @@ def document_counts(spark, sf):
 
 
 def scored_vectors(spark, sf):
-    """embeddings as scores of four classes, and the class as truth."""
+    """embeddings as scores of four classes, each the sum of every fourth component, and the class as truth."""
     v = load(spark, sf, "embeddings")
-    scores = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 20)
+    own = lambda c: F.filter("embedding", lambda _, i: i % 4 == c)
+    scores = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.aggregate(own(c), F.lit(0.0), lambda a, x: a + x.cast("double")) * 20)
     return v.select("vec_id", scores.alias("scores"), F.pmod("label", F.lit(4)).cast("int").alias("truth"))
 
 
@@ -60,7 +61,7 @@ def predicted_vectors(spark, sf, temperature=1.0):
     return calibration.scaled(scored_vectors(spark, sf), temperature)
 
 
-V = "v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE * 20) AS sc, label % 4 AS truth FROM embeddings)"
+V = "v AS (SELECT vec_id, list_transform(range(4), lambda c: list_sum(list_transform(range(c + 1, len(embedding) + 1, 4), lambda i: embedding[i]::DOUBLE)) * 20) AS sc, label % 4 AS truth FROM embeddings)"
 
 
 def soft(t: str) -> str:
@@ -168,14 +169,14 @@ def release_gates(spark, sf):
 
 def order_triples(spark, sf):
     """Triples of orders: ends are lines by number, relations by part; predictions change some ends and relations."""
-    line = load(spark, sf, "lineitem").filter("l_linenumber < 7").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 2).alias("s_start"), (F.col("l_linenumber") * 2 + 1).alias("s_end"), F.lit("A").alias("s_type"), (F.col("l_partkey") % 4).cast("int").alias("rel"), (F.col("l_linenumber") * 2 + 1).alias("o_start"), (F.col("l_linenumber") * 2 + 2).alias("o_end"), F.lit("B").alias("o_type"), F.col("l_suppkey").alias("x"))
+    line = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 2).alias("s_start"), (F.col("l_linenumber") * 2 + 1).alias("s_end"), F.lit("A").alias("s_type"), (F.col("l_partkey") % 4).cast("int").alias("rel"), (F.col("l_linenumber") * 2 + 1).alias("o_start"), (F.col("l_linenumber") * 2 + 2).alias("o_end"), F.lit("B").alias("o_type"), F.col("l_suppkey").alias("x"))
     predicted = line.filter("x % 5 <> 0").withColumn("rel", F.when(F.col("x") % 3 == 0, (F.col("rel") + 1) % 4).otherwise(F.col("rel")))
     texts = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("0123456789abcdefghijklmnop").alias("text"))
     ents = line.filter("x % 2 = 0").select("doc_id", F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.col("s_type").alias("type")).unionAll(line.select("doc_id", "o_start", "o_end", "o_type"))
     return line.drop("x"), predicted.drop("x"), texts, ents
 
 
-T = """t AS (SELECT l_orderkey AS d, l_linenumber AS n, (l_partkey % 4)::INTEGER AS rel, l_suppkey AS x FROM lineitem WHERE l_linenumber < 7),
+T = """t AS (SELECT l_orderkey AS d, l_linenumber AS n, (l_partkey % 4)::INTEGER AS rel, l_suppkey AS x FROM lineitem),
 q AS (SELECT d, n, CASE WHEN x % 3 = 0 THEN (rel + 1) % 4 ELSE rel END AS rel, x FROM t WHERE x % 5 <> 0)"""
 
 

@@ -88,9 +88,9 @@ def threshold_decode(spark, sf):
 
 
 def dictionary_terms(spark, sf):
-    rows = load(spark, sf, "documents").select(F.inline(sp.text_spans(F.lower("text"), "[a-z]+")).alias("start", "end", "text"))
+    rows = load(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("text"))
     # the surface itself is the text, so that whole documents aren't repeated for each word
-    surfaces = rows.select("text", F.lit(0).alias("start"), (F.col("end") - F.col("start")).alias("end"))
+    surfaces = rows.select("text", F.lit(0).alias("start"), F.length("text").alias("end"))
     return relations.dictionary(surfaces.withColumn("type", F.when(F.col("end") > 6, "long").otherwise("short")), 20)
 
 
@@ -117,7 +117,7 @@ def schema_slots(spark, sf):
 
 
 def candidate_pairs_type_join(spark, sf):
-    top = words(spark, sf).filter("start < 60").withColumn("score", F.col("end").cast("double"))
+    top = words(spark, sf).withColumn("score", F.col("end").cast("double"))
     pairs = relations.candidate_pairs(top, schema(spark))
     return pairs.groupBy("doc_id", "rel").agg(F.count("*").alias("n"), F.max(F.least("s_score", "o_score")).alias("best"))
 
@@ -169,7 +169,7 @@ def html_articles(spark, sf):
     return parse_documents(raw).select("page_id", F.size("blocks").alias("blocks"), "sha256", "error")
 
 
-PAIRS_SQL = f"WITH {WORDS}, t AS (SELECT * FROM w WHERE \"start\" < 60), sch AS (SELECT * FROM (VALUES (0, 'long', 'short'), (1, 'long', 'long'), (2, 'short', 'short')) v(rel, s, o))"
+PAIRS_SQL = f"WITH {WORDS}, t AS (SELECT * FROM w), sch AS (SELECT * FROM (VALUES (0, 'long', 'short'), (1, 'long', 'long'), (2, 'short', 'short')) v(rel, s, o))"
 
 QUERIES = {
     "word_spans": (word_spans, f'WITH {WORDS} SELECT doc_id, "start", "end", type, text FROM w'),

@@ -12,13 +12,13 @@ def with_line_number(df: DataFrame, name: str, start: int = 1) -> DataFrame:
     """Number the rows of a file scan in order. The driver sees one count for each partition."""
     tagged = df.withColumn("_row", F.monotonically_increasing_id())
     sizes = tagged.groupBy((F.shiftright("_row", 33)).alias("p")).count().collect()
-    before, total = {}, start
+    before, total = [], start
     for r in sorted(sizes, key=lambda r: r["p"]):
-        before[r["p"]], total = total, total + r["count"]
-    if not before:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    bases = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    return tagged.withColumn(name, F.element_at(bases, F.shiftright("_row", 33)) + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_row")
+        before.append((r["p"], total))
+        total += r["count"]
+    bases = F.broadcast(df.sparkSession.createDataFrame(before, "_part long, _base long"))  # a row for each partition
+    numbered = tagged.join(bases, F.shiftright("_row", 33) == F.col("_part"))
+    return numbered.withColumn(name, F.col("_base") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_row", "_part", "_base")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
