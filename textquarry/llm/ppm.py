@@ -38,8 +38,8 @@ from textquarry.llm.substrings import MULT, _mix
 ORDER, NEAR = 6, 3
 #: UTF-8 has no byte 255: it ends each text, and stands before it.
 SPACE, END = 32, 255
-#: Raw bytes of a chunk, predicted bytes that are handled at once, raw bytes for each route, and routes at most.
-CHUNK_BYTES, STEP, ROUTE_BYTES, MOST_ROUTES = 16 << 20, 1 << 21, 64 << 20, 8192
+#: Raw bytes of a chunk, bytes that are handled at once, raw bytes for each route, and routes at most.
+CHUNK_BYTES, STEP, ROUTE_BYTES, MOST_ROUTES = 12 << 20, 1 << 20, 64 << 20, 8192
 #: Senders whose keys meet in one task.
 FAN = 256
 WORDS, GRAMS, LOW = range(3)
@@ -109,67 +109,60 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> Counts:
 
 
 class Stream:
-    """The bytes of a chunk's texts as they are predicted, and the words in them."""
+    """The bytes of a chunk's texts as they are predicted: words closed by spaces, and ORDER ends before and after each text."""
 
     def __init__(self, chunk: Chunk):
         pad = b" " + bytes([END]) * ORDER
-        raw = np.frombuffer(bytes([END]) * ORDER + b"".join(body.replace(b"\xff", b"\xfe") + pad for body in chunk.docs()), np.uint8)
-        ends = ORDER + np.cumsum(chunk.lens + len(pad)) - ORDER
-        text = _LOWER[raw]
+        text = _LOWER[np.frombuffer(b"".join([pad[1:], *(body.replace(b"\xff", b"\xfe") + pad for body in chunk.docs())]), np.uint8)]
         keep = text != SPACE
         keep[1:] |= keep[:-1] & (text[:-1] != END)  # the first space after a word
+        ends = np.cumsum(chunk.lens + len(pad))
+        #: Where the first end after each text is, which is predicted as well.
+        self.ends = ends - np.searchsorted(np.flatnonzero(~keep), ends)
         self.text = text[keep]
-        predicted = self.text != END
-        if len(ends):
-            gone = np.cumsum(~keep)
-            predicted[ends - gone[ends]] = True
-        self.at = np.flatnonzero(predicted)
-        held = np.array([is_held_out(chunk.doc_id(i)) for i in range(len(chunk))], bool)
-        #: For each predicted byte its document.
-        is_end = self.text[self.at] == END
-        self.doc = np.cumsum(is_end) - is_end
-        self.held, self.n_docs = held, len(chunk)
-
-    def steps(self) -> Iterator[tuple[int, int]]:
-        """Ranges of predicted bytes; none cuts a word."""
-        lo = 0
-        while lo < len(self.at):
-            hi = min(lo + STEP, len(self.at))
-            if hi < len(self.at):
-                closed = np.flatnonzero(self.text[self.at[lo:hi]] == SPACE)
-                if len(closed):
-                    hi = lo + int(closed[-1]) + 1
-                else:  # a word of more than a step
-                    while hi < len(self.at) and self.text[self.at[hi - 1]] != SPACE:
-                        hi += 1
-            yield lo, hi
+        self.held = np.array([is_held_out(chunk.doc_id(i)) for i in range(len(chunk))], bool)
+
+    def steps(self) -> Iterator[Step]:
+        lo = ORDER
+        while lo < len(self.text):
+            hi = min(lo + STEP, len(self.text))
+            if hi < len(self.text):
+                closed = self.closed(self.text[lo:hi])
+                # a word of more than a step ends with the first space after it
+                hi = lo + int(closed[-1]) + 1 if len(closed) else next((at + int(found[0]) + 1 for at in range(hi, len(self.text), STEP) if len(found := self.closed(self.text[at : at + STEP]))), len(self.text))
+            yield Step(self, lo, hi)
             lo = hi
 
-    def keys(self, lo: int, hi: int) -> np.ndarray:
-        """The key of each predicted byte: nearest byte << 48 | ... | farthest << 8 | byte."""
-        first = int(self.at[lo]) - ORDER
-        x = self.text[first : int(self.at[hi - 1]) + 1].astype(np.uint64)
-        at = self.at[lo:hi] - first
-        m = len(x) - ORDER
-        key = x[ORDER:].copy()
-        for k in range(1, ORDER + 1):
-            key |= x[ORDER - k : ORDER - k + m] << np.uint64(8 * (ORDER + 1 - k))
-        return key if len(at) == m else key[at - ORDER]
-
-    def words(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, document) of each word that ends in a range of predicted bytes."""
-        x = self.text[self.at[lo:hi]]
+    @staticmethod
+    def closed(x: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((x == SPACE) | (x == END))
+
+
+class Step:
+    """A range of the stream that cuts no word: the key and the document of each predicted byte, and of each word."""
+
+    def __init__(self, stream: Stream, lo: int, hi: int):
+        x = stream.text[lo:hi]
+        first, last = np.searchsorted(stream.ends, (lo, hi))
+        end = np.zeros(hi - lo, bool)
+        end[stream.ends[first:last] - lo] = True
+        doc = first + np.cumsum(end) - end
+        use = (x != END) | end
+        wide = stream.text[lo - ORDER : hi].astype(np.uint64)
+        key = wide[ORDER:].copy()
+        for k in range(1, ORDER + 1):  # nearest byte << 48 | ... | farthest << 8 | byte
+            key |= wide[ORDER - k : len(wide) - k] << np.uint64(8 * (ORDER + 1 - k))
+        self.key, self.doc = key[use], doc[use]
         space = np.flatnonzero(x == SPACE)
-        if not len(space):
-            return np.zeros(0, np.uint64), space
-        up, down = _powers(len(x))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(x) + 1, np.uint64)
-            np.cumsum((x.astype(np.uint64) + np.uint64(1)) * down, out=sums[1:])
-            stop = (x == SPACE) | (x == END)
-            stops = np.flatnonzero(stop)
+        self.word, self.word_doc = np.zeros(0, np.uint64), doc[space]
+        if len(space):
+            up, down = _powers(len(x))
+            stops = Stream.closed(x)
             begin = np.concatenate([[0], stops + 1])[np.searchsorted(stops, space)]
-            return _mix((sums[space] - sums[begin]) * up[space]), self.doc[lo + space]
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(x) + 1, np.uint64)
+                np.cumsum((wide[ORDER:] + np.uint64(1)) * down, out=sums[1:])
+                self.word = _mix((sums[space] - sums[begin]) * up[space])
 
 
 _POWERS = [np.zeros(0, np.uint64)] * 2
@@ -207,11 +200,12 @@ def _send(n_routes: int):
     def run(batches):
         for chunk in each_chunk(batches):
             stream, grams, words = Stream(chunk), Counts(), Counts()
-            for lo, hi in stream.steps():
-                for count, key, doc in ((grams, stream.keys(lo, hi), stream.doc[lo:hi]), (words, *stream.words(lo, hi))):
+            for step in stream.steps():
+                for count, key, doc in ((grams, step.key, step.doc), (words, step.word, step.word_doc)):
                     held = stream.held[doc]
                     count.add(key[~held], True)
                     count.add(key[held], False)
+            del stream, step
             rows = [(kind, r, chunk.name, _zip(c.key[at]), _zip(c.n[at])) for kind, c in ((WORDS, words), (GRAMS, grams)) for r, at in _routes(c.key, kind, n_routes)]
             low = Counts()
             seen = grams.n > 0
@@ -408,16 +402,15 @@ def _score(tokens: int, kinds: int, train_docs: int):
         words, grams = tables
         for chunk in each_chunk([left]):
             s = Stream(chunk)
-            n, total = s.n_docs, tokens + 0.1 * (kinds + 1)
+            n, total = len(chunk), tokens + 0.1 * (kinds + 1)
             size, known, base, logs = np.ones(n, np.int64), np.full(n, int(train_docs > 0)), np.full(n, np.log10((train_docs + 0.1) / total)), np.zeros(n)
-            for lo, hi in s.steps():
-                logs += np.bincount(s.doc[lo:hi], grams(s.keys(lo, hi)), n)
-                h, doc = s.words(lo, hi)
-                if len(h):
-                    count = words(h)
-                    size += np.bincount(doc, minlength=n)
-                    known += np.bincount(doc[count > 0], minlength=n)
-                    base += np.bincount(doc, np.log10((count + 0.1) / total), n)
+            for step in s.steps():
+                logs += np.bincount(step.doc, grams(step.key), n)
+                if len(step.word):
+                    count = words(step.word)
+                    size += np.bincount(step.word_doc, minlength=n)
+                    known += np.bincount(step.word_doc[count > 0], minlength=n)
+                    base += np.bincount(step.word_doc, np.log10((count + 0.1) / total), n)
             return pa.table({
                 "doc_id": chunk.id_column(), "held_out": pa.array(s.held), "n_tokens": pa.array(size), "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": pa.array(base), "score": pa.array(logs),
