@@ -35,8 +35,8 @@ from textquarry.llm.substrings import MULT, _mix, rolling
 
 #: Ends each segment in a suffix array; UTF-8 has no such byte.
 END = 0xFF
-#: Keys and bytes that one bucket is to hold.
-BUCKET_KEYS, BUCKET_BYTES = 1 << 20, 2 << 20
+#: Keys and bytes that one bucket is to hold, and buckets that a task sorts, whatever their compressed size.
+BUCKET_KEYS, BUCKET_BYTES, TASK_BUCKETS = 1 << 20, 1 << 19, 4
 UNIQUE, REPEATED, SEND, SEND_REPEATED, HOT, HOT_REPEATED = range(6)
 
 
@@ -355,7 +355,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int | None = None,
     sent = codes.agg(F.sum("sent")).first()[0] or 0
     n_send = max(least, sent * (2 * length - gram) // BUCKET_BYTES + 1)
     asked = table.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_send(length, gram, n_send, n), "kind int, bucket int, chunk string, x binary, y binary, z binary")
-    answers = asked.groupBy("kind", "bucket").applyInArrow(_answer(length), "kind int, bucket int, chunk string, mask binary")
+    dealt = asked.repartition(max(least, n_send // TASK_BUCKETS + 1), "kind", "bucket")
+    answers = dealt.groupBy("kind", "bucket").applyInArrow(_answer(length), "kind int, bucket int, chunk string, mask binary")
     marks = codes.select(F.lit(0).alias("kind"), "bucket", "chunk", "mask").unionAll(answers)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return table.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_remove(length, gram, n_send, with_text), schema)
