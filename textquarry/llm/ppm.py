@@ -39,7 +39,7 @@ ORDER, NEAR = 6, 3
 #: UTF-8 has no byte 255: it ends each text, and stands before it.
 SPACE, END = 32, 255
 #: Raw bytes of a chunk, bytes that are handled at once, raw bytes for each route, and routes at most.
-CHUNK_BYTES, STEP, ROUTE_BYTES, MOST_ROUTES = 12 << 20, 1 << 20, 64 << 20, 8192
+CHUNK_BYTES, STEP, ROUTE_BYTES, MOST_ROUTES = 14 << 20, 1 << 20, 64 << 20, 8192
 #: Senders whose keys meet in one task.
 FAN = 256
 WORDS, GRAMS, LOW = range(3)
@@ -196,16 +196,21 @@ def _rows(rows: list[tuple], names: list[str], types: tuple) -> dict:
     return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))}
 
 
+def _counted(chunk: Chunk) -> tuple[Stream, Counts, Counts]:
+    """The different words and keys of a chunk, with their counts in its training texts."""
+    stream, grams, words = Stream(chunk), Counts(), Counts()
+    for step in stream.steps():
+        for count, key, doc in ((grams, step.key, step.doc), (words, step.word, step.word_doc)):
+            held = stream.held[doc]
+            count.add(key[~held], True)
+            count.add(key[held], False)
+    return stream, words, grams
+
+
 def _send(n_routes: int):
     def run(batches):
         for chunk in each_chunk(batches):
-            stream, grams, words = Stream(chunk), Counts(), Counts()
-            for step in stream.steps():
-                for count, key, doc in ((grams, step.key, step.doc), (words, step.word, step.word_doc)):
-                    held = stream.held[doc]
-                    count.add(key[~held], True)
-                    count.add(key[held], False)
-            del stream, step
+            _, words, grams = _counted(chunk)
             rows = [(kind, r, chunk.name, _zip(c.key[at]), _zip(c.n[at])) for kind, c in ((WORDS, words), (GRAMS, grams)) for r, at in _routes(c.key, kind, n_routes)]
             low = Counts()
             seen = grams.n > 0
@@ -298,8 +303,17 @@ def log10(key: np.ndarray, weight: np.ndarray, low: list[Level]) -> np.ndarray:
     return out
 
 
-ANSWER = "kind int, route int, sender string, keys binary, answers binary"
-ANSWER_NAMES = ["kind", "route", "sender", "keys", "answers"]
+ANSWER = "kind int, route int, sender string, answers binary"
+ANSWER_NAMES, ANSWER_TYPES = ["kind", "route", "sender", "answers"], (pa.int32(), pa.int32(), pa.string(), pa.binary())
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the first bytes of all before their second ones, which is easier to compress."""
+    return _zip(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T))
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(_unzip(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _read(table: pa.Table) -> tuple[list[dict], list[np.ndarray], Counts]:
@@ -314,26 +328,25 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 
 def _answer(shared):
-    """Each sender's keys with their answers: logarithms as float32, or the words' counts."""
+    """For each sender the answers in the order of its keys: logarithms as float32, or the words' counts."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, keys, sums = _read(table)
         words = rows[0]["kind"] == WORDS
         found = sums.n if words else log10(sums.key, sums.n, shared.value).astype(np.float32)
-        out = [(r["kind"], r["route"], r["sender"], r["keys"], _zip(found[np.searchsorted(sums.key, k)])) for r, k in zip(rows, keys)]
+        out = [(r["kind"], r["route"], r["sender"], _pack(found[np.searchsorted(sums.key, k)])) for r, k in zip(rows, keys)]
         totals = [(int(sums.n.sum()), int((sums.n > 0).sum())) if words else (0, 0)] + [(0, 0)] * (len(rows) - 1)
-        return pa.table(_rows(out, ANSWER_NAMES, SENT_TYPES) | {"tokens": pa.array([t for t, _ in totals], pa.int64()), "kinds": pa.array([k for _, k in totals], pa.int64())})
+        return pa.table(_rows(out, ANSWER_NAMES, ANSWER_TYPES) | {"tokens": pa.array([t for t, _ in totals], pa.int64()), "kinds": pa.array([k for _, k in totals], pa.int64())})
 
     return run
 
 
 def _hand_down(left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: what the senders of one group sent; right: the group's answer."""
+    """left: what the senders of one group sent; right: the group's keys and answers."""
     above = right.to_pylist()[0]
-    kind = np.int64 if above["kind"] == WORDS else np.float32
-    key, found = _unzip(above["keys"], np.uint64), _unzip(above["answers"], kind)
-    out = [(r["kind"], r["route"], r["sender"], r["keys"], _zip(found[np.searchsorted(key, _unzip(r["keys"], np.uint64))])) for r in left.to_pylist()]
-    return pa.table(_rows(out, ANSWER_NAMES, SENT_TYPES))
+    key, found = _unzip(above["keys"], np.uint64), _unpack(above["answers"], np.int64 if above["kind"] == WORDS else np.float32)
+    out = [(r["kind"], r["route"], r["sender"], _pack(found[np.searchsorted(key, _unzip(r["keys"], np.uint64))])) for r in left.to_pylist()]
+    return pa.table(_rows(out, ANSWER_NAMES, ANSWER_TYPES))
 
 
 def _levels(sent: DataFrame, senders: int) -> list[DataFrame]:
@@ -347,10 +360,10 @@ def _levels(sent: DataFrame, senders: int) -> list[DataFrame]:
 
 
 def _down(levels: list[DataFrame], answers: DataFrame) -> DataFrame:
-    for below in reversed(levels[:-1]):
-        answers = answers.select(*ANSWER_NAMES)
+    for below, above in zip(levels[-2::-1], levels[:0:-1]):
+        answers = answers.join(above.select("kind", "route", "sender", "keys"), ["kind", "route", "sender"])
         answers = below.groupBy("kind", "route", "parent").cogroup(answers.groupBy("kind", "route", "sender")).applyInArrow(_hand_down, ANSWER)
-    return answers.select(*ANSWER_NAMES)
+    return answers
 
 
 class Lookup:
@@ -391,17 +404,19 @@ class Lookup:
         return self.answer[at]
 
 
-def _score(tokens: int, kinds: int, train_docs: int):
+def _score(tokens: int, kinds: int, train_docs: int, n_routes: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        tables = []
-        for kind, kept in ((WORDS, np.int64), (GRAMS, np.float32)):
-            own = [r for r in rows if r["kind"] == kind]
-            tables.append(Lookup(*(np.concatenate([np.zeros(0, t), *(_unzip(r[c], t) for r in own)]) for c, t in (("keys", np.uint64), ("answers", kept)))))
-        del rows
-        words, grams = tables
         for chunk in each_chunk([left]):
-            s = Stream(chunk)
+            s, *counted = _counted(chunk)
+            tables = []
+            for kind, own, c in ((WORDS, np.int64, counted[0]), (GRAMS, np.float32, counted[1])):
+                answers, found = {r["route"]: r["answers"] for r in rows if r["kind"] == kind}, np.zeros(len(c.key), own)
+                for r, at in _routes(c.key, kind, n_routes):
+                    found[at] = _unpack(answers[r], own)
+                tables.append(Lookup(c.key, found))
+            words, grams = tables
+            del rows, counted
             n, total = len(chunk), tokens + 0.1 * (kinds + 1)
             size, known, base, logs = np.ones(n, np.int64), np.full(n, int(train_docs > 0)), np.full(n, np.log10((train_docs + 0.1) / total)), np.zeros(n)
             for step in s.steps():
@@ -444,7 +459,7 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, kinds = tokens + train_docs, kinds + int(train_docs > 0)
     answers = _down(levels, words.select(*ANSWER_NAMES).unionAll(ask(GRAMS).select(*ANSWER_NAMES)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return table.groupBy("chunk").cogroup(answers.groupBy("sender")).applyInArrow(_score(tokens, kinds, train_docs), schema)
+    return table.groupBy("chunk").cogroup(answers.groupBy("sender")).applyInArrow(_score(tokens, kinds, train_docs, n), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
