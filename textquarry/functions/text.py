@@ -75,8 +75,8 @@ def thinned(text: Column, seed: int | str, key: Column, share: float = 0.05) ->
     k = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * share).cast("int")))
     places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.lit(str(seed)), key, i).alias("h"), i.alias("i")))
     gone = F.transform(F.slice(F.array_sort(places), F.lit(1), k), lambda p: p["i"])
-    kept = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(gone, i))
-    return F.when(n < 3, text).otherwise(F.array_join(F.transform(kept, lambda i: F.substring(text, i + 1, F.lit(1))), ""))
+    kept, characters = F.array_except(F.sequence(F.lit(0), n - 1), gone), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(n < 3, text).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(characters, i + 1)), ""))
 
 
 def perturbed(text: Column, mode: str, seed: int | str = 2027, key: Column | None = None) -> Column:

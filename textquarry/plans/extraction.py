@@ -67,7 +67,7 @@ def span_containment(spark, sf):
     ents = words(spark, sf).filter("type = 'long'").withColumn("id", F.concat_ws("-", "start", "end"))
     flat = docs.select("doc_id", F.inline("blocks")).select("doc_id", "id", "start", "end")
     held = evidence.mentions_in(flat, ents)
-    return held.select(F.col("_k").alias("doc_id"), F.col("_a").alias("start"), F.size("mentions").cast("long").alias("n"))
+    return held.select(F.col("_k").alias("doc_id"), F.col("_a").alias("start"), F.size("mentions").alias("n"))
 
 
 def span_overlap(spark, sf):
@@ -199,7 +199,8 @@ g AS (SELECT doc_id, s, e, type, max(score) AS score FROM e GROUP BY ALL)
 SELECT doc_id, 'e' || (row_number() OVER (PARTITION BY doc_id ORDER BY s, e, type) - 1) AS id, s AS "start", e AS "end", type, score FROM g"""),
     "concept_ids": (concept_ids, "SELECT 'local:' || substr(sha256(p_brand || chr(0) || p_type), 1, 16) AS id, p_type AS canonical, p_brand AS type, count(*)::BIGINT AS mentions FROM part GROUP BY p_brand, p_type"),
     "relation_groups": (relation_groups, "SELECT p_brand AS subject_text, l_returnflag AS predicate, l_linestatus AS slot, (l_suppkey % 5)::VARCHAR AS object_text, max(l_discount) AS confidence, count(*)::BIGINT AS links FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4"),
-    "token_windows": (token_windows, None),
+    "token_windows": (token_windows, r"""WITH p AS (SELECT item_id, list_filter(range(0, length(text)), lambda i: NOT regexp_matches(substr(text, i + 1, 1), '\s')) AS pos FROM benchmark)
+SELECT item_id, pos[k * 40 + 1]::INTEGER AS "start", (pos[least(k * 40 + 60, len(pos))] + 1)::INTEGER AS "end" FROM (SELECT item_id, pos, unnest(range(0, 1 + greatest(ceil((len(pos) - 60) / 40.0), 0)::BIGINT)) AS k FROM p WHERE len(pos) > 0)"""),
     "ambiguous_mentions": (ambiguity, "SELECT item_id, ((length(text) - length(replace(text, f, ''))) // length(f))::BIGINT AS n, (strpos(text, f) - 1)::BIGINT AS at, len(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(f)) = f))::BIGINT AS overlapping FROM (SELECT item_id, text, regexp_extract(text, '[a-zA-Z]+') AS f FROM benchmark)"),
     "evidence_records": (evidence_records, None),
     "html_articles": (html_articles, None),
