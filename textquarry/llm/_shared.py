@@ -43,14 +43,27 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textquarry/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again, so that its lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it again, so that its lineage ends there.
+
+    Results are read from such tables lazily, so they stay until ``clear`` is called.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textquarry/{uuid.uuid4().hex}/{name}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators have written; call it when their results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
