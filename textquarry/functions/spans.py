@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 
 def regex_spans(text: Column, pattern: str, base: Column | int = 0) -> Column:
@@ -78,15 +81,35 @@ def substring_of(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start.cast("int") + 1, (end - start).cast("int"))
 
 
-def without_crossings(spans: Column) -> Column:
-    """Greedy choice by score: a span goes if it crosses one that was chosen. Nested, equal and adjacent ones stay.
+SCORED = "array<struct<start:int,end:int,type:string,score:double>>"
 
-    spans: array<struct<start, end, type, score>>; the result is sorted by start, end, type.
+
+def nested(spans: list[dict]) -> list[dict]:
+    """Greedy choice by score: a span goes if it crosses one that was chosen. Chosen ones that begin, or end, inside it are looked up by bisection."""
+    starts, ends, kept = [], [], []
+    for s in sorted(spans, key=lambda s: (-s["score"], s["start"], s["end"], s["type"])):
+        a, b = s["start"], s["end"]
+        begun = starts[bisect_right(starts, (a, math.inf)) : bisect_left(starts, (b, -math.inf))]
+        ended = ends[bisect_right(ends, (a, math.inf)) : bisect_left(ends, (b, -math.inf))]
+        if any(end > b for _, end in begun) or any(start < a for _, start in ended):
+            continue
+        insort(starts, (a, b))
+        insort(ends, (b, a))
+        kept.append(s)
+    return sorted(kept, key=lambda s: (s["start"], s["end"], s["type"], s["score"]))
+
+
+def without_crossings(spans: Column, kind: str = SCORED) -> Column:
+    """Spans of a document (``kind``, by default ``SCORED``) but those that cross better ones. Nested, equal and adjacent ones stay.
+
+    The result is sorted by start, end, type. It runs over Arrow batches: as an aggregate over arrays it would copy what it has for each span.
     """
-    ranked = F.array_sort(spans, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).when(x["end"] < y["end"], -1).when(x["end"] > y["end"], 1).when(x["type"] < y["type"], -1).when(x["type"] > y["type"], 1).otherwise(0))
-    none = F.filter(spans, lambda s: F.lit(False))
-    kept = F.aggregate(ranked, none, lambda k, s: F.when(F.exists(k, lambda o: crosses(s["start"], s["end"], o["start"], o["end"])), k).otherwise(F.concat(k, F.array(s))))
-    return F.array_sort(kept)
+
+    @arrow_udf(kind)
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else nested(x) for x in lists.to_pylist()], lists.type)
+
+    return run(spans)
 
 
 def token_windows(offsets: Column, length: int, stride: int) -> Column:

@@ -6,6 +6,7 @@ rel, o_start, o_end, o_type, score). Scores come in as tables; models run elsewh
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -276,19 +277,40 @@ def dictionary(rows: DataFrame, support: int = 3) -> DataFrame:
     return rows.groupBy(term.alias("term"), "type").agg(F.count("*").alias("support")).filter((F.col("support") >= support) & (F.length("term") >= 2))
 
 
+def _grams(lengths: list[int], terms):
+    """(doc_id, text) → (doc_id, start, end, term) of the substrings of these lengths, or of those that are terms."""
+
+    def run(batches):
+        known = terms.value if terms is not None else None
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                one = batch.slice(lo, 1)
+                text = one.column(1)[0].as_py() or ""
+                for n in lengths:
+                    grams = (text[i : i + n] for i in range(len(text) - n + 1))
+                    hits = list(enumerate(grams)) if known is None else [(i, g) for i, g in enumerate(grams) if g in known]
+                    if hits:
+                        start = [i for i, _ in hits]
+                        columns = [one.column(0).take(pa.array([0] * len(hits))), pa.array(start, pa.int32()), pa.array([i + n for i in start], pa.int32()), pa.array([g for _, g in hits], pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "term"])
+
+    return run
+
+
 def dictionary_matches(texts: DataFrame, lexicon: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
     """All occurrences, overlapping ones too, of lexicon terms: (doc_id, start, end, type), score 0.
 
-    Texts are keyed by their windows of the terms' lengths: a term of n characters meets the n-grams of a text by an
-    equi-join, which needs no comparison of every text with every term and no bound on the lexicon.
+    A text is cut into substrings of the terms' lengths in one pass for each length. Up to ``most_broadcast`` terms are
+    looked up where the text is; of a larger lexicon the substrings meet the terms in a shuffled equi-join.
     """
-    lengths = sorted(r.n for r in lexicon.select(F.length("term").alias("n")).distinct().limit(most_broadcast).collect())
+    lengths = sorted(r.n for r in lexicon.select(F.length("term").alias("n")).distinct().collect())  # as many as a term's longest length
     if not lengths:
         return texts.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("type"), F.lit(0.0).alias("score")).limit(0)
-    sizes = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("text"))
-    rows = texts.select("doc_id", "text", F.explode(sizes).alias("n"))
-    grams = rows.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), F.length("text") - F.col("n"))).alias("start")).select("doc_id", "start", "n", F.substring("text", F.col("start") + 1, F.col("n")).alias("term"))
-    return grams.join(lexicon.select("term", "type"), "term").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "type", F.lit(0.0).alias("score")).distinct()
+    small = lexicon.select("term").distinct().limit(most_broadcast + 1).collect()
+    terms = texts.sparkSession.sparkContext.broadcast(frozenset(r.term for r in small)) if len(small) <= most_broadcast else None
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    grams = texts.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_grams(lengths, terms), f"doc_id {kind}, start int, end int, term string")
+    return grams.join(lexicon.select("term", "type").distinct(), "term").select("doc_id", "start", "end", "type", F.lit(0.0).alias("score")).distinct()
 
 
 def shifted(triples: Column, shift: int) -> Column:

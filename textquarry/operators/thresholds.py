@@ -27,7 +27,7 @@ def decode(spans: DataFrame, thresholds: dict[str, float], policy: str = "raw")
     if policy == "raw":
         return above
     rows = above.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "score")).alias("s"))
-    return rows.select("doc_id", F.inline(without_crossings(F.col("s"))))
+    return rows.select("doc_id", F.inline(without_crossings(F.col("s"), rows.schema["s"].dataType.simpleString())))
 
 
 def grid_counts(gold: DataFrame, spans: DataFrame, grid: list[float]) -> DataFrame:
