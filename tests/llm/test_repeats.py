@@ -66,7 +66,7 @@ def test_words_of_odd_rows(spark):
         dedup_substrings(frame(spark, []), 20, 8)
 
 
-@pytest.mark.parametrize("length,hot", [(200, 512), (50, 512), (50, 1), (8, 1)])
+@pytest.mark.parametrize("length,hot", [(200, 512), (200, 1), (50, 512), (50, 1), (8, 1)])
 def test_bytes(spark, length, hot):
     data = rows(n=30)
     got = remove_repeats(frame(spark, data).repartition(3), length, hot=hot).collect()

@@ -12,7 +12,9 @@ their anchor. So the segments of one anchor can be sorted apart from all others:
    and all windows of a segment that occurs twice as a whole are known to be repeated;
 2. anchors with several different segments send each different segment once to a suffix array;
 3. an anchor with more than ``hot`` different segments (a common phrase in ever new surroundings) would
-   gather too much in one task; the windows of its segments are compared one by one, by 96 bits of hash.
+   gather too much in one task. Its windows are parted by where the anchor lies in them, in ``CLASSES`` ways; the
+   windows of a class share a larger gram around the anchor, and these grams deal the parts of segments out to
+   suffix arrays of their own.
 
 Contract: null text is empty; texts shorter than ``length`` lose nothing; null doc_ids and repeated rows
 are kept as rows of their own; a repeated row is a repeated text. An empty table gives an empty result.
@@ -37,6 +39,8 @@ from textquarry.llm.substrings import MULT, _mix, rolling
 END = 0xFF
 #: Keys and bytes that one bucket is to hold, and buckets that a task sorts, whatever their compressed size.
 BUCKET_KEYS, BUCKET_BYTES, TASK_BUCKETS = 1 << 20, 1 << 19, 4
+#: Ways to part the windows of a frequent anchor.
+CLASSES = 8
 UNIQUE, REPEATED, SEND, SEND_REPEATED, HOT, HOT_REPEATED = range(6)
 
 
@@ -118,13 +122,13 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, length: int) -> np.nd
 
 
 class Segments:
-    """The segments of a chunk: ``a``, ``b`` (end) and their anchors' hashes."""
+    """The segments of a chunk: ``a``, ``b`` (end), where their anchors are and the anchors' hashes."""
 
     def __init__(self, chunk: Chunk, length: int, gram: int):
-        self.chunk, self.length = chunk, length
+        self.chunk, self.length, self.gram = chunk, length, gram
         self.text = np.frombuffer(chunk.body, np.uint8)
         n, span = len(self.text), length - gram + 1
-        self.a = self.b = np.zeros(0, np.int64)
+        self.a = self.b = self.place = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, np.uint64)
         if n >= length:
             with np.errstate(over="ignore"):
@@ -146,6 +150,7 @@ class Segments:
                 new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(starts)) - 1
+                self.place = anchor[first]
                 with np.errstate(over="ignore"):
                     self.a, self.b, self.anchor = starts[first], starts[last] + length, _mix(h[anchor[first]])  # as these are small ones, mixed anew
         body = chunk.body
@@ -204,8 +209,8 @@ def _decide(hot: int):
         back = np.empty(len(order), np.uint8)
         back[order] = code
         masks = np.split(back, np.cumsum(lens)[:-1])
-        sent = [int(((m == SEND) | (m == SEND_REPEATED)).sum()) for m in masks]
-        return pa.table({"bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "chunk": [r["chunk"] for r in rows], "mask": pa.array([m.tobytes() for m in masks], pa.binary()), "sent": pa.array(sent, pa.int64())})
+        sent, parted = ([int(((m == x) | (m == y)).sum()) for m in masks] for x, y in ((SEND, SEND_REPEATED), (HOT, HOT_REPEATED)))
+        return pa.table({"bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "chunk": [r["chunk"] for r in rows], "mask": pa.array([m.tobytes() for m in masks], pa.binary()), "sent": pa.array(sent, pa.int64()), "parted": pa.array(parted, pa.int64())})
 
     return run
 
@@ -217,26 +222,33 @@ def _sent(s: Segments, codes: np.ndarray, n_buckets: int):
         yield b, which[i:j]
 
 
-def _hot(s: Segments, codes: np.ndarray):
-    """Window starts of the hot segments, sorted by hash and the first of each sort only, and hashes."""
+def _parts(s: Segments, codes: np.ndarray, n_buckets: int):
+    """(bucket, begins, ends, which await an answer) of the parts of segments with frequent anchors, dealt out by larger grams."""
     which = np.flatnonzero((codes == HOT) | (codes == HOT_REPEATED))
-    starts = s.windows(s.one[which])
-    if not len(starts):
-        return starts, starts.astype(np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool), starts, starts
-    known = np.repeat(s.twice[which] | (codes[which] == HOT_REPEATED), s.b[s.one[which]] - s.a[s.one[which]] - s.length + 1)
-    with np.errstate(over="ignore"):
-        text = s.text.astype(np.uint64) + np.uint64(1)
-        key, check = rolling(text, s.length, MULT[0])[starts], (rolling(text, s.length, MULT[1])[starts] >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((check, key))
-    key, check, known, starts = key[order], check[order], known[order], starts[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    number = np.cumsum(new) - 1
-    twice = (np.bincount(number) > 1) | np.bincount(number, weights=known).astype(bool)
-    return starts, key[new], check[new], twice, number, new
-
-
-def _send(length: int, gram: int, n_send: int, n_hot: int):
+    if not len(which):
+        return
+    one, places = s.one[which], s.length - s.gram + 1
+    edges = np.arange(min(CLASSES, places) + 1) * places // min(CLASSES, places)
+    found = []
+    for c, (near, far) in enumerate(zip(edges.tolist(), (edges[1:] - 1).tolist())):  # the anchor lies so far from a window's begin
+        lo, hi = np.maximum(s.a[one], s.place[one] - far), np.minimum(s.b[one] - s.length, s.place[one] - near)
+        some = lo <= hi
+        x, y = s.place[one][some] - near, s.place[one][some] - far + s.length  # what all windows of the class hold
+        route = np.fromiter((xxhash.xxh3_64_intdigest(s.chunk.body[i:j], c) for i, j in zip(x.tolist(), y.tolist())), np.uint64, len(x))
+        found.append((route, lo[some], hi[some] + s.length, codes[which][some] == HOT))
+    route, lo, hi, asked = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(route, kind="stable")
+    for b, i, j in cut(route[order], n_buckets):
+        own = order[i:j]
+        yield b, lo[own], hi[own], asked[own]
+
+
+def _row(kind: int, bucket: int, chunk: Chunk, a: np.ndarray, b: np.ndarray, asked: np.ndarray, length: int) -> tuple:
+    body = b"".join(chunk.body[i:j] for i, j in zip(a.tolist(), b.tolist()))
+    return kind, bucket, chunk.name, zstandard.ZstdCompressor(level=1).compress(body), (b - a).astype(np.uint16 if length < 30000 else np.uint32).tobytes(), asked.astype(np.uint8).tobytes()
+
+
+def _send(length: int, gram: int, n_send: int, n_parted: int):
     def run(left: pa.Table, right: pa.Table):
         rows = []
         for chunk in each_chunk([left]):
@@ -244,11 +256,8 @@ def _send(length: int, gram: int, n_send: int, n_hot: int):
             codes = joined_mask(right.to_pylist())
             for b, which in _sent(s, codes, n_send):
                 one = s.one[which]
-                body = b"".join(chunk.body[i:j] for i, j in zip(s.a[one].tolist(), s.b[one].tolist()))
-                rows.append((1, b, chunk.name, zstandard.ZstdCompressor(level=1).compress(body), (s.b[one] - s.a[one]).astype(np.uint16 if length < 30000 else np.uint32).tobytes(), (codes[which] == SEND).astype(np.uint8).tobytes()))
-            _, key, check, twice, _, _ = _hot(s, codes)
-            for b, i, j in cut(key, n_hot):
-                rows.append((2, b, chunk.name, key[i:j].tobytes(), check[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()))
+                rows.append(_row(1, b, chunk, s.a[one], s.b[one], codes[which] == SEND, length))
+            rows += [_row(2, bucket, chunk, a, b, asked, length) for bucket, a, b, asked in _parts(s, codes, n_parted)]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 3))], ["kind", "bucket", "chunk", "x", "y", "z"])
 
     return run
@@ -274,33 +283,19 @@ def _sort(rows: list[dict], length: int) -> list[bytes]:
     return [x.astype(np.uint8).tobytes() for x in np.split(found[wanted], np.cumsum(sizes)[:-1])]
 
 
-def _again(rows: list[dict]) -> list[bytes]:
-    keys = [np.frombuffer(r["x"], np.uint64) for r in rows]
-    key, check = np.concatenate(keys), np.concatenate([np.frombuffer(r["y"], np.uint32) for r in rows])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r["z"], np.uint8), count=len(k)) for r, k in zip(rows, keys)])
-    order = np.lexsort((check, key))
-    key, check = key[order], check[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    number = np.cumsum(new) - 1
-    out = np.empty(len(key), np.uint8)
-    out[order] = ((np.bincount(number) > 1) | np.bincount(number, weights=twice[order]).astype(bool))[number]
-    return [m.tobytes() for m in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
-
-
 def _answer(length: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        masks = _sort(rows, length) if rows[0]["kind"] == 1 else _again(rows)
+        masks = _sort(rows, length)
         return pa.table({"kind": pa.array([r["kind"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "chunk": [r["chunk"] for r in rows], "mask": pa.array(masks, pa.binary())})
 
     return run
 
 
-def _remove(length: int, gram: int, n_send: int, with_text: bool):
+def _remove(length: int, gram: int, n_send: int, n_parted: int, with_text: bool):
     def run(left: pa.Table, right: pa.Table):
         rows = right.to_pylist()
-        codes, answers, hot = ([r for r in rows if r["kind"] == k] for k in range(3))
+        codes, answers, parted = ([r for r in rows if r["kind"] == k] for k in range(3))
         for chunk in each_chunk([left]):
             s = Segments(chunk, length, gram)
             code = joined_mask(codes)
@@ -311,9 +306,10 @@ def _remove(length: int, gram: int, n_send: int, with_text: bool):
             for r, (_, which) in zip(sorted(answers, key=lambda r: r["bucket"]), _sent(s, code, n_send)):
                 starts = s.windows(s.one[which[code[which] == SEND]])
                 found.append(starts[np.frombuffer(r["mask"], np.uint8).astype(bool)])
-            starts, _, _, _, number, _ = _hot(s, code)
-            if len(starts):
-                found.append(starts[joined_mask(hot).astype(bool)[number]])
+            for r, (_, a, b, asked) in zip(sorted(parted, key=lambda r: r["bucket"]), _parts(s, code, n_parted)):
+                count = (b - a - length + 1)[asked]
+                starts = np.repeat(a[asked] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                found.append(starts[np.frombuffer(r["mask"], np.uint8).astype(bool)])
             step = np.zeros(len(s.text) + 1, np.int64)
             np.add.at(step, s.a[whole], 1)
             np.add.at(step, s.b[whole], -1)
@@ -351,12 +347,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int | None = None,
     least = partitions(docs.sparkSession)
     n = max(least, size * 2 // (length - gram + 2) // BUCKET_KEYS + 1)
     report = table.mapInArrow(_report(length, gram, n), "bucket int, chunk string, anchors binary, segs binary, checks binary, twice binary")
-    codes = written(report.groupBy("bucket").applyInArrow(_decide(hot), "bucket int, chunk string, mask binary, sent long"), "codes")
-    sent = codes.agg(F.sum("sent")).first()[0] or 0
+    codes = written(report.groupBy("bucket").applyInArrow(_decide(hot), "bucket int, chunk string, mask binary, sent long, parted long"), "codes")
+    sent, parted = (x or 0 for x in codes.agg(F.sum("sent"), F.sum("parted")).first())
     n_send = max(least, sent * (2 * length - gram) // BUCKET_BYTES + 1)
-    asked = table.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_send(length, gram, n_send, n), "kind int, bucket int, chunk string, x binary, y binary, z binary")
-    dealt = asked.repartition(max(least, n_send // TASK_BUCKETS + 1), "kind", "bucket")
+    n_parted = max(least, parted * CLASSES * (length + length // CLASSES) // BUCKET_BYTES + 1)
+    asked = table.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_send(length, gram, n_send, n_parted), "kind int, bucket int, chunk string, x binary, y binary, z binary")
+    dealt = asked.repartition(max(least, (n_send + (n_parted if parted else 0)) // TASK_BUCKETS + 1), "kind", "bucket")
     answers = dealt.groupBy("kind", "bucket").applyInArrow(_answer(length), "kind int, bucket int, chunk string, mask binary")
     marks = codes.select(F.lit(0).alias("kind"), "bucket", "chunk", "mask").unionAll(answers)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return table.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_remove(length, gram, n_send, with_text), schema)
+    return table.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_remove(length, gram, n_send, n_parted, with_text), schema)
