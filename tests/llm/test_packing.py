@@ -68,3 +68,13 @@ def test_pieces(spark, length):
         assert at == length or at < length and at & (at - 1) == 0
     assert sorted(seqs) == list(range(len(seqs))) and sum(sizes) == sum(map(len, want))
     assert packing.pack(frame(spark, []), PATH, length).collect() == []
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(12)
+    text = " ".join("".join(rnd.choice("aeiounstré") for _ in range(rnd.randint(1, 9))) for _ in range(200_000))
+    found = packing.pack(frame(spark, [(1, text), (2, "short"), (3, None)]), PATH, 2048, with_ids=True).collect()
+    own = sorted((r for r in found if r.doc_id == 1), key=lambda r: r.start)
+    ids = np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist()
+    assert ids == [*tokenizers.Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 1]
+    assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and {r.doc_id for r in found} == {1, 2, 3}
