@@ -47,3 +47,14 @@ def extraction_counters(records: DataFrame, entities: DataFrame, key: str = "doc
     )
     e = entities.groupBy(key).agg(F.count("*").alias("entities"), F.count_if(F.size("context.modifiers") > 0).alias("modified"), F.count_if(F.size("context.blocked_modifiers") > 0).alias("blocked"))
     return r.join(e, key, "full_outer").na.fill(0)
+
+
+def recomputed(stored: DataFrame, details: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Stored metrics (run, metric, value) beside those of the saved predictions (run, truth, prediction): run, metric,
+    value, recomputed, agrees. Metrics are samples, errors and accuracy; one that either side lacks doesn't agree."""
+    wrong = (~F.col("truth").eqNullSafe(F.col("prediction"))).cast("int")
+    found = details.groupBy("run").agg(F.count("*").cast("double").alias("samples"), F.sum(wrong).cast("double").alias("errors"), (1 - F.avg(wrong)).alias("accuracy"))
+    names = ("samples", "errors", "accuracy")
+    found = found.select("run", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("recomputed")) for n in names))))
+    both = stored.join(found, ["run", "metric"], "full_outer")
+    return both.select("run", "metric", "value", "recomputed", F.coalesce(F.abs(F.col("value") - F.col("recomputed")) <= tolerance, F.lit(False)).alias("agrees"))

@@ -128,6 +128,19 @@ def compared_runs(spark, sf):
     return selection.compare(runs.withColumn("status", F.lit("completed"))).select("run", "macro_f1")
 
 
+def recomputed_report(spark, sf):
+    """Stored metrics of four runs, one of them changed and one left out, against the saved predictions."""
+    path = f"{scratch(spark)}/evaluation"
+    details = load(spark, sf, "part").select((F.col("p_partkey") % 4).alias("run"), (F.col("p_size") % 3).alias("truth"), (F.col("p_partkey") % 3).cast("int").alias("prediction"))
+    right = (F.col("truth") == F.col("prediction")).cast("int")
+    one = details.groupBy("run").agg(F.count("*").cast("double").alias("samples"), F.sum(1 - right).cast("double").alias("errors"), F.avg(right).alias("accuracy"))
+    stored = one.select("run", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("samples", "errors", "accuracy")))))
+    stored = stored.filter("run <> 3").withColumn("value", F.when((F.col("run") == 2) & (F.col("metric") == "errors"), F.col("value") + 1).otherwise(F.col("value")))
+    sinks.save_evaluation(details.withColumn("correct", right == 1), stored, path)
+    read = spark.read.parquet(f"{path}/predictions")
+    return selection.recomputed(spark.read.parquet(f"{path}/metrics"), read).select("run", "metric", F.round("recomputed", 9).alias("recomputed"), "agrees")
+
+
 def guards(spark, sf):
     """Checks that stop a run: which of the cases they refuse."""
     rows = _split_rows(spark, sf)
@@ -194,6 +207,8 @@ QUERIES = {
     "saved_errors": (saved_errors, "SELECT p_partkey, p_size % 3 AS truth, (p_partkey % 3)::INTEGER AS prediction, (SELECT round(avg((p_size % 3 = p_partkey % 3)::INTEGER), 9) FROM part) AS accuracy FROM part WHERE p_size % 3 <> p_partkey % 3"),
     "stress_modes": (stress_modes, f"WITH {TAKEN} " + " UNION ALL ".join(f"SELECT label, source_line, '{m}' AS mode, {x} AS digest, sha256(text) AS original FROM d" for m, x in MODES.items())),
     "compared_runs": (compared_runs, "SELECT event_type AS run, round(avg(value), 6) AS macro_f1 FROM events GROUP BY 1"),
+    "recomputed_report": (recomputed_report, """WITH d AS (SELECT p_partkey % 4 AS run, (p_size % 3 <> p_partkey % 3)::INTEGER AS w FROM part), m AS (SELECT run, count(*)::DOUBLE AS samples, sum(w)::DOUBLE AS errors, 1 - avg(w) AS accuracy FROM d GROUP BY run)
+SELECT run, metric, round(value, 9) AS recomputed, NOT (run = 3 OR (run = 2 AND metric = 'errors')) AS agrees FROM (SELECT run, unnest(['samples', 'errors', 'accuracy']) AS metric, unnest([samples, errors, accuracy]) AS value FROM m)"""),
     "guards": (guards, "SELECT * FROM (VALUES " + ", ".join([f"('{n}', false)" for n in sorted(ALLOWED)] + [f"('{n}', true)" for n in REFUSED]) + ") v(name, refused)"),
     "safe_names": (safe_names, "SELECT regexp_full_match(n, '[A-Za-z0-9_-]+') AS safe, count(*)::BIGINT AS n FROM (SELECT unnest([p_name, p_brand, p_type, p_type || '_' || p_size]) AS n FROM part) GROUP BY 1"),
     "score_functions": (score_functions, f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
