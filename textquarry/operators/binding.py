@@ -9,6 +9,7 @@ batches, a sentence at a time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from itertools import pairwise
 
 import pandas as pd
@@ -32,7 +33,7 @@ NAMES = {"OS": "OS", "总生存期": "OS", "PFS": "PFS", "无进展生存期": "
 SURVIVAL, OUTCOMES = {"OS", "PFS"}, {"OS", "PFS", "ORR"}
 EXPANSION = re.compile(r"[（(][A-Za-z ,\-]+[)）]")
 ARM = re.compile(r"[一-鿿A-Za-z0-9-]{1,24}?组")
-BEFORE_ARM = re.compile(r"(?:而|其中|在|结果显示|研究发现|发现|匹配前|匹配后|接受)+")
+ARM_LEAD = re.compile(r"(?:而|其中|在|结果显示|研究发现|发现|匹配前|匹配后|接受)*[和与及]*")
 NO_ARMS = {"两组", "二组", "各组", "亚组", "分组"}
 CLAUSE = re.compile(r"[，,；;。]")
 
@@ -61,25 +62,20 @@ class Sentence:
 
     def __init__(self, text: str, base: int):
         self.text, self.base = text, base
+        self.clauses = [0, *(m.end() for m in CLAUSE.finditer(text))]  # where each begins
 
     def ref(self, start: int, end: int) -> dict:
         return {"text": self.text[start:end], "start": self.base + start, "end": self.base + end}
 
     def endpoints(self) -> list[re.Match]:
-        """Those that are not inside an expansion in parentheses."""
-        closed = [m.span() for m in EXPANSION.finditer(self.text)]
-        return [m for m in ENDPOINT.finditer(self.text) if not any(a < m.start() < b for a, b in closed)]
+        """Those of the text in which expansions in parentheses are blank."""
+        return list(ENDPOINT.finditer(EXPANSION.sub(lambda m: f"{m.group()[0]}{' ' * (len(m.group()) - 2)}{m.group()[-1]}", self.text)))
 
     def arms(self, before: int) -> list[dict]:
-        """Arms named in the clause that leads to a position."""
-        start = max((m.end() for m in CLAUSE.finditer(self.text, 0, before)), default=0)
-        found = []
-        for m in ARM.finditer(self.text, start, before):
-            lead = BEFORE_ARM.match(m.group())
-            name = m.group()[lead.end() if lead else 0 :].lstrip("和与及")
-            if name not in NO_ARMS:
-                found.append(self.ref(m.end() - len(name), m.end()))
-        return found
+        """Arms named in the clause that leads to a position, without the words that lead to their names."""
+        clause = self.clauses[bisect_right(self.clauses, before) - 1]
+        named = ((m, ARM_LEAD.match(m.group()).end()) for m in ARM.finditer(self.text, clause, before))
+        return [self.ref(m.start() + lead, m.end()) for m, lead in named if m.group()[lead:] not in NO_ARMS]
 
     @staticmethod
     def refusal(name: str, tail: re.Match | None) -> str | None:
