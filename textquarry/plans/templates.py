@@ -557,6 +557,7 @@ SELECT doc_id, s_start + base AS s_start, s_end + base AS s_end, s_type, rel, o_
 SELECT DISTINCT d AS doc_id, x * 10 AS "start", x * 10 + 5 AS "end", 'thing' AS type FROM t UNION ALL SELECT DISTINCT d, y * 10, y * 10 + 5, 'brand' FROM t"""),
     "shifted_triples": (shifted_triples, f"WITH j AS ({JOINT_SQL}) SELECT doc_id, s_start + 7 AS s_start, s_end + 7 AS s_end, s_type, rel, o_start + 7 AS o_start, o_end + 7 AS o_end, o_type FROM j WHERE tail"),
     "ner_conversion": (ner_conversion, NER_SQL),
+    "ner_window_tasks": (ner_window_tasks, None),
     "predicted_spans": (predicted_spans, """SELECT p_partkey AS doc_id, 0 AS "start", length(p_name)::INTEGER AS "end", CASE WHEN length(p_name) > 9 THEN 'long' ELSE 'short' END AS type, p_size * 2.0::DOUBLE AS score FROM part WHERE p_size * 2 > CASE WHEN length(p_name) > 9 THEN 40 ELSE 60 END"""),
     "nested_spans": (nested_spans, NESTED_SQL),
 }
