@@ -6,8 +6,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts that hold about ``most`` bytes together; a longer text is a run of its own."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    block = np.cumsum(size) // most
+    at = np.flatnonzero(np.diff(block, prepend=-1)) if len(size) else np.zeros(0, np.int64)
+    yield from zip(at.tolist(), [*at[1:].tolist(), len(size)])
+
+
 def tidy(run):
     """A function over Arrow batches that gives its memory back at the end: workers live on for other stages."""
 

@@ -73,6 +73,24 @@ def op10_decontamination(spark, sf_dir):
     return decontam.query(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    from textquarry.llm import variants
+
+    return variants.query(_documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark, sf_dir):
+    from textquarry.llm import audit
+
+    return audit.query(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark, sf_dir):
+    from textquarry.llm import tokens
+
+    return tokens.query(_documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -85,10 +103,13 @@ def queries():
         "op8_packing": op8_packing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from textquarry.llm import lines, topk
+    from textquarry.llm import audit, lines, topk
 
-    return {"op1_exact_topk": topk.ORACLE_SQL, "op5_line_dedup": lines.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op5_line_dedup": lines.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL}
