@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.spans import contains, regex_spans
+from textquarry.operators.intervals import first_holding
 
 # Cues, directions, types and reach must be these for the same results.
 RULES = [
@@ -47,10 +48,8 @@ def modifiers(text: Column) -> Column:
 
 def sentence_of(entities: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each entity with the first sentence that holds it: _s (start, end, text), null if none does."""
-    s = sentences.select(F.col(key).alias("_k"), F.struct("start", "end", "text").alias("_s"))
-    held = entities.select(key, "id", "start", "end").join(s, (F.col(key) == F.col("_k")) & contains(F.col("_s.start"), F.col("_s.end"), F.col("start"), F.col("end")))
-    first = held.groupBy(F.col(key).alias("_k"), F.col("id").alias("_i")).agg(F.min("_s").alias("_s"))
-    return entities.join(first, (F.col(key) == F.col("_k")) & (F.col("id") == F.col("_i")), "left").drop("_k", "_i")
+    found = first_holding(entities, sentences.select(key, "start", "end", "text"), key, name="_s")
+    return found.withColumn("_s", F.when(F.col("_s").isNotNull(), F.struct("_s.start", "_s.end", "_s.text")))
 
 
 def entity_context(entities: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.spans import contains, regex_spans
+from textquarry.functions.spans import regex_spans
+from textquarry.operators.intervals import first_holding, holding
 
 # The cues, qualifiers, units and study cues must be these for the same results.
 CUES = {
@@ -96,10 +97,10 @@ def numbers(text: Column, base: Column | int = 0) -> Column:
 
 
 def mentions_in(sentences: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start) of each sentence that holds entities, and their ids: an equi-join on the document, then the range."""
-    s = sentences.select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    held = s.join(entities, (F.col("_k") == F.col(key)) & contains(F.col("_a"), F.col("_b"), F.col("start"), F.col("end")))
-    return held.groupBy("_k", "_a", "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "type", "id"))), lambda e: e["id"]).alias("mentions"))
+    """(_k, _a, _b, mentions) of each sentence that holds entities: its key, start and end, and their ids in order."""
+    pairs = holding(sentences.select(key, "start", "end"), entities.select(key, "id", "start", "end", "type"), key)
+    held = F.array_sort(F.collect_list(F.struct("right.start", "right.end", "right.type", "right.id")))
+    return pairs.groupBy(F.col(f"left.{key}").alias("_k"), F.col("left.start").alias("_a"), F.col("left.end").alias("_b")).agg(F.transform(held, lambda e: e["id"]).alias("mentions"))
 
 
 def candidates(sentences: DataFrame, entities: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -132,12 +133,10 @@ def relation_scopes(relations: DataFrame, sentences: DataFrame, blocks: DataFram
     is the greater end.
     """
     hull = relations.withColumn("_lo", F.least("s_start", "o_start")).withColumn("_hi", F.greatest("s_end", "o_end"))
-    s = sentences.select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    held = hull.join(s, (F.col(key) == F.col("_k")) & contains(F.col("_a"), F.col("_b"), F.col("_lo"), F.col("_hi")))
-    first = held.groupBy(F.col(key).alias("_k"), F.col("relation_id").alias("_r")).agg(F.min(F.struct("_a", "_b")).alias("s"))
+    hull = first_holding(hull, sentences.select(key, "start", "end"), key, ("_lo", "_hi"), name="s")
     b = blocks.select(F.col(key).alias("_bk"), F.col("id").alias("_bid"), F.col("start").alias("_ba"), F.col("end").alias("_bb"))
-    rows = hull.join(first, (F.col(key) == F.col("_k")) & (F.col("relation_id") == F.col("_r")), "left").join(b, (F.col(key) == F.col("_bk")) & (F.col("block") == F.col("_bid")))
-    rows = rows.withColumn("scope_start", F.coalesce("s._a", "_ba")).withColumn("scope_end", F.coalesce("s._b", "_bb")).drop("s", "_k", "_r", "_bk", "_bid", "_ba", "_bb", "_lo", "_hi")
+    rows = hull.join(b, (F.col(key) == F.col("_bk")) & (F.col("block") == F.col("_bid")))
+    rows = rows.withColumn("scope_start", F.coalesce("s.start", "_ba")).withColumn("scope_end", F.coalesce("s.end", "_bb")).drop("s", "_bk", "_bid", "_ba", "_bb", "_lo", "_hi")
     rows = rows.join(texts.select(F.col(key).alias("_t"), F.col("text").alias("_text")), F.col(key) == F.col("_t"))
     rows = rows.withColumn("scope_text", F.substring("_text", F.col("scope_start") + 1, F.col("scope_end") - F.col("scope_start"))).drop("_t", "_text")
     return rows.withColumn("scope_flags", scope_flags(F.col("scope_text")))

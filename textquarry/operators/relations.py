@@ -6,7 +6,6 @@ rel, o_start, o_end, o_type, score). Scores come in as tables; models run elsewh
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -277,40 +276,28 @@ def dictionary(rows: DataFrame, support: int = 3) -> DataFrame:
     return rows.groupBy(term.alias("term"), "type").agg(F.count("*").alias("support")).filter((F.col("support") >= support) & (F.length("term") >= 2))
 
 
-def _grams(lengths: list[int], terms):
-    """(doc_id, text) → (doc_id, start, end, term) of the substrings of these lengths, or of those that are terms."""
+def dictionary_matches(texts: DataFrame, lexicon: DataFrame, part_bytes: int = 1 << 18) -> DataFrame:
+    """All occurrences, overlapping ones too, of lexicon terms: (doc_id, start, end, type), score 0, for each row of texts.
 
-    def run(batches):
-        known = terms.value if terms is not None else None
-        for batch in batches:
-            for lo in range(batch.num_rows):
-                one = batch.slice(lo, 1)
-                text = one.column(1)[0].as_py() or ""
-                for n in lengths:
-                    grams = (text[i : i + n] for i in range(len(text) - n + 1))
-                    hits = list(enumerate(grams)) if known is None else [(i, g) for i, g in enumerate(grams) if g in known]
-                    if hits:
-                        start = [i for i, _ in hits]
-                        columns = [one.column(0).take(pa.array([0] * len(hits))), pa.array(start, pa.int32()), pa.array([i + n for i in start], pa.int32()), pa.array([g for _, g in hits], pa.string())]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "term"])
-
-    return run
-
-
-def dictionary_matches(texts: DataFrame, lexicon: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
-    """All occurrences, overlapping ones too, of lexicon terms: (doc_id, start, end, type), score 0.
-
-    A text is cut into substrings of the terms' lengths in one pass for each length. Up to ``most_broadcast`` terms are
-    looked up where the text is; of a larger lexicon the substrings meet the terms in a shuffled equi-join.
+    An automaton over UTF-8 reads each text once, whatever the terms' lengths; nothing is shuffled. A lexicon of more than
+    ``part_bytes`` is dealt out by its terms' first two characters, and each part has an automaton and a pass of its own:
+    the driver holds the terms of one part at a time, and an executor some tens of megabytes.
     """
-    lengths = sorted(r.n for r in lexicon.select(F.length("term").alias("n")).distinct().collect())  # as many as a term's longest length
-    if not lengths:
-        return texts.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("type"), F.lit(0.0).alias("score")).limit(0)
-    small = lexicon.select("term").distinct().limit(most_broadcast + 1).collect()
-    terms = texts.sparkSession.sparkContext.broadcast(frozenset(r.term for r in small)) if len(small) <= most_broadcast else None
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    grams = texts.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_grams(lengths, terms), f"doc_id {kind}, start int, end int, term string")
-    return grams.join(lexicon.select("term", "type").distinct(), "term").select("doc_id", "start", "end", "type", F.lit(0.0).alias("score")).distinct()
+    from textquarry.operators.automaton import Automaton
+
+    spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+    lexicon = lexicon.filter("term <> ''").select(F.col("term").cast("string"), F.col("type").cast("string")).distinct()
+    texts = texts.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = lexicon.agg(F.sum(F.octet_length("term")).alias("n")).first().n or 0
+    parts = -(-size // part_bytes)
+    found = texts.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("type")).limit(0)
+    for p in range(parts):
+        own = lexicon.filter(F.pmod(F.xxhash64(F.substring("term", 1, 2)), F.lit(parts)) == p).collect()
+        if own:
+            machine = spark.sparkContext.broadcast(Automaton([(r.term, r.type) for r in own]))
+            one = texts.mapInArrow(lambda batches, m=machine: m.value.over(batches), f"doc_id {kind}, start int, end int, type string")
+            found = one if p == 0 or parts == 1 else found.unionAll(one)
+    return found.withColumn("score", F.lit(0.0))
 
 
 def shifted(triples: Column, shift: int) -> Column:

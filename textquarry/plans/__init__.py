@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.plans import corpus, evaluation, extraction, reviews, storage, templates
+from textquarry.plans import corpus, evaluation, extraction, places, reviews, storage, templates
 
-MODULES = (corpus, extraction, evaluation, reviews, storage, templates)
+MODULES = (corpus, extraction, places, evaluation, reviews, storage, templates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -62,21 +62,6 @@ def number_atoms(spark, sf):
     return rows.groupBy("kind", "unit").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def span_containment(spark, sf):
-    docs = documents_as_blocks(spark, sf)
-    ents = words(spark, sf).filter("type = 'long'").withColumn("id", F.concat_ws("-", "start", "end"))
-    flat = docs.select("doc_id", F.inline("blocks")).select("doc_id", "id", "start", "end")
-    held = evidence.mentions_in(flat, ents)
-    return held.select(F.col("_k").alias("doc_id"), F.col("_a").alias("start"), F.size("mentions").alias("n"))
-
-
-def span_overlap(spark, sf):
-    a = words(spark, sf).withColumn("end", F.col("end") + 3)
-    b = a.select(F.col("doc_id").alias("d"), F.col("start").alias("c"), F.col("end").alias("e"))
-    pairs = a.join(b, (F.col("doc_id") == F.col("d")) & sp.overlaps(F.col("start"), F.col("end"), F.col("c"), F.col("e")) & (F.col("start") < F.col("c")))
-    return pairs.groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 def nested_decode(spark, sf):
     s = words(spark, sf, "documents", "doc_id").filter("type = 'long'").withColumn("end", F.col("end") + F.pmod(F.col("start"), F.lit(11))).withColumn("score", F.pmod(F.hash("text"), F.lit(100)) / 10.0)
     return thresholds.decode(s.select("doc_id", "start", "end", "type", "score"), {"long": 3.0, "short": 3.0}, "nested")
@@ -94,12 +79,6 @@ def dictionary_terms(spark, sf):
     return relations.dictionary(surfaces.withColumn("type", F.when(F.col("end") > 6, "long").otherwise("short")), 20)
 
 
-def dictionary_matches(spark, sf):
-    lexicon = relations.dictionary(words(spark, sf).join(load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("whole")), "doc_id").select(F.col("whole").alias("text"), "start", "end", "type"), 5)
-    texts = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return relations.dictionary_matches(texts, lexicon).select("doc_id", "start", "end", "type")
-
-
 def topk_candidates_capped(spark, sf):
     line = load(spark, sf, "lineitem")
     scores = line.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("type_id"), F.pmod("l_partkey", F.lit(90)).cast("int").alias("first"), F.pmod(F.col("l_partkey") + F.col("l_linenumber") * 20, F.lit(90)).cast("int").alias("last"), (F.col("l_quantity") - 20).alias("logit"), F.col("l_orderkey"))
@@ -177,14 +156,9 @@ QUERIES = {
     "cue_classification": (cue_classification, " UNION ALL ".join(f"SELECT '{n}' AS category, count(*)::BIGINT AS n FROM documents WHERE regexp_matches(text, '{p}', 'i') HAVING count(*) > 0" for n, p in CUES.items())),
     "qualifier_spans": (qualifier_spans, " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, len(regexp_extract_all(text, '{p}', 0, 'i'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '{p}', 'i')" for n, p in CUES.items())),
     "number_atoms": (number_atoms, None),
-    "span_containment": (span_containment, None),
-    "span_overlap": (span_overlap, f'WITH {WORDS} SELECT a.doc_id, count(*)::BIGINT AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a."start" < b."start" AND greatest(a."start", b."start") < least(a."end" + 3, b."end" + 3) GROUP BY 1'),
     "nested_decode": (nested_decode, None),
     "threshold_decode": (threshold_decode, f"WITH {WORDS} SELECT doc_id, \"start\", \"end\", type FROM w WHERE \"start\" % 10 > CASE type WHEN 'long' THEN 4 ELSE 6 END"),
     "dictionary_terms": (dictionary_terms, "SELECT t AS term, CASE WHEN length(t) > 6 THEN 'long' ELSE 'short' END AS type, count(*)::BIGINT AS support FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents) WHERE length(t) >= 2 GROUP BY t HAVING count(*) >= 20"),
-    "dictionary_matches": (dictionary_matches, f"""WITH {WORDS}, lex AS (SELECT text AS term, type FROM w WHERE length(text) >= 2 GROUP BY 1, 2 HAVING count(*) >= 5),
-p AS (SELECT item_id, text, unnest(range(0, length(text))) AS s FROM benchmark)
-SELECT item_id AS doc_id, s::INTEGER AS "start", (s + length(term))::INTEGER AS "end", type FROM p JOIN lex ON substr(p.text, s + 1, length(term)) = term"""),
     "topk_candidates_capped": (topk_candidates_capped, """WITH s AS (SELECT l_suppkey AS doc_id, l_linenumber % 3 AS type_id, (l_partkey % 90)::INTEGER AS "first", ((l_partkey + l_linenumber * 20) % 90)::INTEGER AS "last", max(l_quantity - 20) AS logit FROM lineitem GROUP BY 1, 2, 3, 4),
 f AS (SELECT * FROM s WHERE logit > 0 AND "first" <= "last" AND "last" - "first" < 64 AND "first" % 13 <> 0 AND "last" % 13 <> 0)
 SELECT doc_id, type_id, "first", "last", logit, c > 64 AS capped FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY logit DESC, "first", "last", type_id) AS r FROM f) WHERE r <= 64"""),

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.operators import alias, clean, context, evidence, metrics, review, selection
+from textquarry.operators import alias, clean, context, evidence, index, metrics, review, selection
 from textquarry.sources import readers, sinks
 from textquarry.sources.documents import parse_documents, sentences
 
@@ -121,8 +121,13 @@ class Workspace:
         for c in ("arm", "endpoint", "normalized_value"):
             records = records.withColumn(c, F.lit(None).cast("string"))
         records.write.parquet(self._at("extractions", name, "records"))
+        self._index(name, self.table("extractions", name, "records").select("extraction_id", F.col("id").alias("record_id"), "text"))
         return self.records(name)
 
+    def _index(self, name: str, records: DataFrame) -> None:
+        path = self._at("extractions", name, "search")
+        index.append(records, path, max(index.segments(self.spark, path), default=-1) + 1)
+
     def reviews(self) -> DataFrame:
         return self.table("reviews", schema=review.REVIEWS)
 
@@ -159,12 +164,16 @@ class Workspace:
             raise Conflict(f"revision is {refused.current}, not {expected_revision}") if refused.reason == "revision_changed" else ValueError("a review needs a status and a reviewer")
         rows = self.spark.createDataFrame(new.collect(), review.REVIEWS)  # one row
         rows.write.mode("append").parquet(self._at("reviews"))
+        if "evidence" in correction:
+            self._index(name, self.spark.createDataFrame([(extraction_id, record_id, correction["evidence"]["text"])], "extraction_id string, record_id string, text string"))
 
     def history(self, extraction_id: str, record_id: str) -> DataFrame:
         return review.history(self.reviews(), extraction_id, record_id)
 
     def search(self, name: str, query: str) -> DataFrame:
-        return review.search(self.records(name), query)
+        """Records whose evidence, as the last review left it, holds every term: from the extraction's index."""
+        self.table("extractions", name, "records")
+        return index.search(self.spark, self._at("extractions", name, "search"), query)
 
     def export(self, name: str, mode: str = "approved") -> dict[str, DataFrame]:
         """Frames of an export: approved records with what they cite, or everything with its history."""
