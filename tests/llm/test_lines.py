@@ -1,6 +1,7 @@
 """Line deduplication against brute force."""
 
 import hashlib
+import time
 
 from tests.llm.texts import frame, rows
 from textquarry.llm.lines import dedup_lines, query
@@ -32,3 +33,15 @@ def test_lines(spark):
     assert dedup_lines(frame(spark, [])).collect() == []
     plan = query(frame(spark, data))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_lost_lines(spark):
+    """Six copies of some thousands of lines lose them in time in proportion."""
+    seconds = {}
+    for n in (2_000, 2_000, 32_000):
+        text = "\n".join(f"line {i} that is long enough to count as one of them" for i in range(n))
+        began = time.perf_counter()
+        got = query(frame(spark, [(i, text) for i in range(6)])).collect()
+        seconds[n] = time.perf_counter() - began
+        assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got) == [(i, n, n if i < 5 else 0) for i in range(6)]
+    assert seconds[32_000] < 16 * seconds[2_000]

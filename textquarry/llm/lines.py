@@ -40,7 +40,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: t
     docs = pick(docs, "doc_id", "text", *names)
     docs = docs.select(*(F.col(n).alias(f"keep_{n}") for n in names), F.col("text").isNull().alias("no_text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     row = ["doc_id", "t1", "t2"]
-    lines = docs.select("doc_id", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))), F.split("text", "\n").alias("every"))
+    lines = lines.select(*row, F.posexplode("every").alias("pos", "line"))  # beside an explosion the text would be hashed for each line
     lines = lines.filter(F.length("line") >= min_chars).withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= min_chars)
     lines = written(lines.select(*row, "pos", *(c.alias(n) for c, n in zip(_digest(F.col("line")), ("k1", "k2")))), "lines")
     frequent = (
@@ -52,17 +53,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: t
     frequent = written(frequent, "frequent")  # so that the join sees its size, and can split a frequent key
     lost = lines.join(frequent, ["k1", "k2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
     lost = lost.groupBy(*row).agg(F.collect_set("pos").alias("lost"))
-    docs = docs.select("*", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))))
+    # lines are a column of the join, so that they are split once and looked up by position
+    docs = docs.select("*", *(c.alias(n) for c, n in zip(_digest(F.col("text")), ("t1", "t2"))), F.split("text", "\n").alias("every")).drop("text")
     same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.t1") == F.col("l.t1")) & (F.col("d.t2") == F.col("l.t2"))
-    joined = docs.alias("d").join(lost.alias("l"), same, "left").select("d.doc_id", "d.text", "d.no_text", "l.lost", *(f"d.keep_{n}" for n in names))
-    every = F.split("text", "\n")
-    kept = F.filter(every, lambda line, pos: ~F.array_contains("lost", pos))
-    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = docs.alias("d").join(lost.alias("l"), same, "left").select("d.doc_id", "d.every", "d.no_text", "l.lost", *(f"d.keep_{n}" for n in names))
+    left = F.array_except(F.sequence(F.lit(0), F.size("every") - 1), "lost")  # by a hash set
+    text = F.when(F.col("lost").isNull(), F.array_join("every", "\n")).otherwise(F.array_join(F.transform(left, lambda pos: F.get("every", pos)), "\n"))
     if keep:
         return joined.select(*(F.when(~F.col("no_text"), text).alias(n) if n == "text" else F.col(n if n == "doc_id" else f"keep_{n}").alias(n) for n in keep))
     return joined.select(
         "doc_id",
-        F.size(every).cast("long").alias("n_lines"),
+        F.size("every").cast("long").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
         text.alias("kept_text"),
     )
