@@ -174,3 +174,38 @@ def test_brute_force(spark):
     found = {(r.doc_id, r.item_id) for r in got}
     want = {(i, k) for i, t in data for k, item in enumerate(items) if holds(t, item)}
     assert len(want) > 60 and found == want
+
+
+def test_copies_among_more_of_the_same(spark):
+    """Literal and re-parameterised copies with more values of the same template before, after and on both sides."""
+    rnd = random.Random(11)
+    pairs = lambda n: " , ".join(f"{rnd.randrange(100)} + {rnd.randrange(100)}" for _ in range(n))
+    numbers = lambda n: " , ".join(str(rnd.randrange(5000)) for _ in range(n))
+    sums = "Compute 3 + 5 , 17 + 29 , 11 + 13 , 41 + 2 , 8 + 19 , 23 + 31 , 7 + 44"
+    series = "Continue the sequence : " + " , ".join(str(2**k) for k in range(1, 11))
+    plain = numbers(20)
+    items, more = [sums, series, plain], [pairs, numbers, numbers]
+    changed = ["Compute " + pairs(7), "Continue the sequence : " + " , ".join(str(3000 + 7 * k) for k in range(10))]
+    data, want = [], set()
+    for k, (item, noise) in enumerate(zip(items, more)):
+        for text in (item, changed[k] if k < 2 else item):
+            for form in (f"{text} , {noise(60)}", f"{noise(60)} , {text}", f"{noise(60)} , {text} , {noise(60)}", f"so it is {text} and that is all"):
+                want.add((len(data), k))
+                data.append((len(data), form))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in query(frame(spark, data), bench).collect()}
+    assert want <= got
+
+
+def test_long_lists_in_bounded_time():
+    """A page of numbers against a long list: no consistent copy, many windows alike."""
+    import time
+
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    numbers = lambda n: " , ".join(str(rnd.randrange(50)) for _ in range(n))
+    index = decontam.Index([(0, "List all of these : " + numbers(60))], 5)
+    began = time.perf_counter()
+    decontam.found_in(pa.array(["List all of these : " + numbers(400)]), index, decontam.Words(), 5, 0.8)
+    assert time.perf_counter() - began < 20

@@ -216,12 +216,89 @@ def _slots(index: Index, item: int, window: int, hits: list[tuple[int, int, int,
     return out
 
 
+class Slots:
+    """Pairs of values with the share that is replaced one for one, kept up as pairs are added."""
+
+    def __init__(self):
+        self.n, self.counts, self.most, self.sums = 0, (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+
+    def add(self, a: str, b: str) -> None:
+        self.n += 1
+        for way, (x, y) in enumerate(((a, b), (b, a))):
+            self.counts[way][x, y] += 1
+            if self.counts[way][x, y] > self.most[way][x]:
+                self.most[way][x] += 1
+                self.sums[way] += 1
+
+    def share(self) -> float:
+        return min(self.sums) / self.n if self.n else 1.0
+
+
+def _along(index: Index, item: int, window: int, hits: list[tuple[int, int, int, int]], text: Text, words: Words, similar: float, best: tuple) -> tuple:
+    """The best of all spans that are read along one alignment: it begins at the first hit of any diagonal, each document
+    place is held against the item's place on the diagonal at hand, or the nearest one, and it may end wherever the
+    diagonal at hand has its last hit in reach.
+
+    So values beside a copy don't matter, on either side, whatever windows they share with the item, and slots that are
+    mixed up can't be cut off, as a diagonal is taken whole. Counts are kept up from place to place; a span's slots are
+    judged whole only where it would be the best.
+    """
+    kinds, values, opens = index.kinds[item], index.values[item], index.opens[item]
+    least, reach, width = similar * index.total[item], int(index.length[item] * 3 // 2) + window, min(window, int(index.length[item]))
+    at, opened, closed = defaultdict(list), {}, {}
+    for hit in hits:
+        at[hit[0]].append(hit)
+        opened.setdefault(hit[0] - hit[1], hit[0])
+        closed[hit[0] - hit[1]] = hit[0]
+    places = sorted(at)
+    held, to, bounds = Counter(), 0, []  # how many of the item's windows lie in reach of each place
+    for q in places:
+        while to < len(places) and places[to] - q <= reach:
+            held.update({h[2] for h in at[places[to]]})
+            to += 1
+        bounds.append(len(held))
+        for h in {h[2] for h in at[q]}:
+            held[h] -= 1
+            if not held[h]:
+                del held[h]
+    for i, (q0, bound) in enumerate(zip(places, bounds)):
+        for _, k0, _, _ in at[q0] if bound >= least else ():
+            if bound <= best[0]:
+                break
+            if opened[q0 - k0] != q0:
+                continue
+            diagonal, plains, literals, taken = q0 - k0, set(), set(), {}
+            sure, all_ = Slots(), Slots()
+            for q in places[i:]:
+                if q - q0 > reach:
+                    break
+                plains.update(h[2] for h in at[q])
+                literals.update(h[3] for h in at[q])
+                _, k, _, _ = min(at[q], key=lambda h: (abs(h[0] - h[1] - diagonal), h[1]))
+                diagonal = q - k
+                for d in range(width):
+                    if q + d not in taken and kinds[k + d] != PLAIN:
+                        a, b = values[k + d], words.raw[text.ids[q + d]]
+                        taken[q + d] = a, b, bool(opens[k + d] and text.opens[q + d])
+                        all_.add(a, b)
+                        if a != b or not taken[q + d][2]:
+                            sure.add(a, b)
+                n_windows = min(len(plains), len(literals))
+                if closed[diagonal] == q and n_windows >= least and n_windows > best[0] and max(sure.share(), all_.share()) >= similar:
+                    named = {v for a, b, o in taken.values() if not o or a != b for v in (a, b)}
+                    pairs = [(a, b) for a, b, o in taken.values() if not o or a != b or a in named]
+                    if consistent(pairs) >= similar:
+                        best = n_windows, q0, len(pairs), consistent(pairs)
+    return best
+
+
 def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int, int]], text: Text, words: Words, similar: float):
     """hits: (place in the document's tokens, place in the item, the item's plain and the document's literal hash), in order.
 
     As a name may stand for several, a window of the document counts for one of the item's, whichever it equals.
     Spans begin and end where hits leave the diagonals of those before them, so that what stands beside a copy
-    doesn't spoil it, and slots that are mixed up can't be cut off; and they begin at the first hit in reach.
+    doesn't spoil it, and slots that are mixed up can't be cut off; and they begin at the first hit in reach. Where such
+    a span has not all of the item, all others are looked at along one alignment each.
     """
     least, reach = similar * index.total[item], int(index.length[item] * 3 // 2) + window
     first = [i for i in range(len(hits)) if not i or hits[i][0] != hits[i - 1][0]]  # of each place
@@ -240,6 +317,8 @@ def _judge(index: Index, item: int, window: int, hits: list[tuple[int, int, int,
             if share >= similar:
                 best = (n_windows, span[0][0], n, share)
                 break
+    if best[0] < index.total[item]:
+        best = _along(index, item, window, hits, text, words, similar, best)
     return best if best[0] else None
 
 
