@@ -17,7 +17,7 @@ from textquarry.functions.stats import argmax, distance_bucket, log_softmax, sym
 from textquarry.operators import clean, ner, relations, selection
 from textquarry.plans import templates
 from textquarry.session import load
-from textquarry.sources import readers, sinks
+from textquarry.sources import archives, readers, sinks
 
 
 def scratch(spark: SparkSession) -> str:
@@ -33,24 +33,31 @@ def _one_file(rows: DataFrame, order: str) -> DataFrame:
     return rows.coalesce(1).sortWithinPartitions(order)
 
 
+def _files(rows: DataFrame, order: str) -> DataFrame:
+    """Four files, each in order; lines are numbered in each file."""
+    part = F.pmod(F.col(order), F.lit(4)).cast("int")
+    return rows.withColumn("part", part).repartition(4, "part").sortWithinPartitions("part", order)
+
+
 def csv_records(spark, sf):
     path = f"{scratch(spark)}/rows.csv"
-    rows = _one_file(load(spark, sf, "customer"), "c_custkey")
-    rows.select(F.concat(F.lit('say "'), "c_name", F.lit('",\ntwice')).alias("text"), F.col("c_mktsegment").alias("label"), F.when(F.col("c_custkey") % 3 == 0, "train").alias("split")).write.csv(path, header=True, escape='"')
+    rows = _files(load(spark, sf, "customer"), "c_custkey")
+    rows.select("part", F.concat(F.lit('say "'), "c_name", F.lit('",\ntwice')).alias("text"), F.col("c_mktsegment").alias("label"), F.when(F.col("c_custkey") % 3 == 0, "train").alias("split")).write.partitionBy("part").csv(path, header=True, escape='"')
     return readers.read_records(spark, path)
 
 
 def jsonl_records(spark, sf):
     path, k = f"{scratch(spark)}/rows.jsonl", F.col("c_custkey") % 4
-    rows = _one_file(load(spark, sf, "customer"), "c_custkey")
+    rows = _files(load(spark, sf, "customer"), "c_custkey")
     line = F.concat(F.lit('{"text":'), F.when(k == 0, F.lit("7")).otherwise(F.concat(F.lit('"'), "c_name", F.lit('"'))), F.lit(',"label":"'), "c_mktsegment", F.when(k == 1, '","split":3}').when(k == 2, '","split":"test"}').otherwise('"}'))
-    rows.select(line).write.text(path)
+    rows.select("part", line.alias("value")).write.partitionBy("part").text(path)
     return readers.read_records(spark, path)
 
 
 def tsv_labels(spark, sf):
     path = f"{scratch(spark)}/rows"
-    _one_file(load(spark, sf, "customer"), "c_custkey").select(F.concat("c_name", F.lit("\tof\t"), (F.col("c_custkey") % 3).cast("string"))).write.text(path)
+    line = F.concat("c_name", F.lit("\tof\t"), (F.col("c_custkey") % 3).cast("string"))
+    _files(load(spark, sf, "customer"), "c_custkey").select("part", line.alias("value")).write.partitionBy("part").text(path)
     return readers.read_tsv_labels(spark, path, ["a", "b", "c"])
 
 
@@ -74,6 +81,50 @@ def run_descriptions(spark, sf):
     return readers.read_runs(spark, f"{path}/*/*.txt", "status string, seed int").select("run", "status", "seed")
 
 
+def zip_archives(spark, sf):
+    """Archives of parts by brand against a manifest that leaves some out, has others wrong, and names one that isn't there."""
+    rows = load(spark, sf, "part").select("p_brand", F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("member"), "p_name", "p_partkey")
+
+    def packed(key, held):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, text in zip(held.member, held.p_name):
+                z.writestr(member, text)
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    made = rows.groupBy("p_brand").applyInPandas(packed, "path string, content binary")
+    size = F.octet_length("p_name") + F.when(F.col("p_partkey") % 11 == 0, 1).otherwise(0)
+    manifest = rows.filter("p_partkey % 7 <> 0").select("member", size.cast("long").alias("size"), F.sha2(F.when(F.col("p_partkey") % 13 == 0, F.lit("x")).otherwise(F.col("p_name")), 256).alias("sha256"))
+    manifest = manifest.unionAll(spark.range(1).select(F.lit("gone").alias("member"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("sha256")))
+    found = archives.listed_members(made, manifest)
+    return found.select("path", "member", F.col("content").cast("string").alias("text"), "reason")
+
+
+def npz_scores(spark, sf):
+    """Score matrices in NPZ files, read as rows: the largest component's place and the sum of each."""
+    rows = load(spark, sf, "embeddings").select((F.col("vec_id") % 8).cast("string").alias("file"), "vec_id", "embedding")
+
+    def packed(key, held):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        held, out = held.sort_values("vec_id"), io.BytesIO()
+        np.savez_compressed(out, ids=held.vec_id.to_numpy(), scores=np.stack(held.embedding.to_numpy()))
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    held = archives.npz_arrays(rows.groupBy("file").applyInPandas(packed, "path string, content binary"))
+    ids = held.filter("name = 'ids'").select("path", "row", F.get("values", F.lit(0)).cast("long").alias("vec_id"))
+    scores = held.filter("name = 'scores'").select("path", "row", argmax(F.col("values")).alias("largest"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return ids.join(scores, ["path", "row"]).select("vec_id", "row", "largest", F.round(F.col("total") + 0.0, 6).alias("total"))
+
+
 def _split_rows(spark, sf):
     rows = load(spark, sf, "part").select(F.concat(F.lit("item "), F.col("p_partkey").cast("string")).alias("text"), F.col("p_brand").alias("label"), F.col("p_partkey").alias("source_line"))
     return rows.withColumn("split", F.when(F.col("source_line") % 10 == 0, "test").when(F.col("source_line") % 10 == 1, "validation").otherwise("train"))
@@ -194,7 +245,7 @@ def score_functions(spark, sf):
     return rows.select("vec_id", argmax(F.col("x")).alias("largest"), (F.round(symmetric_kl(p, q), 6) + F.lit(0.0)).alias("divergence"), distance_bucket(F.pmod("vec_id", F.lit(161)) - 80, relations.DISTANCE_EDGES).alias("bucket"))
 
 
-LINE = "row_number() OVER (ORDER BY c_custkey)"
+LINE = "row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey)"
 QUERIES = {
     "csv_records": (csv_records, f"SELECT 'say \"' || c_name || '\",' || chr(10) || 'twice' AS text, c_mktsegment AS label, CASE WHEN c_custkey % 3 = 0 THEN 'train' END AS split, ({LINE} + 1)::BIGINT AS source_line FROM customer"),
     "jsonl_records": (jsonl_records, f"SELECT CASE WHEN c_custkey % 4 > 0 THEN c_name END AS text, c_mktsegment AS label, CASE c_custkey % 4 WHEN 1 THEN '?' WHEN 2 THEN 'test' END AS split, {LINE}::BIGINT AS source_line FROM customer"),
@@ -202,6 +253,8 @@ QUERIES = {
     "json_arrays_and_lines": (json_arrays_and_lines, "SELECT read, n_regionkey, count(*)::BIGINT AS n, min(n_name) AS first_name FROM nation, (VALUES ('lines'), ('array')) v(read) GROUP BY 1, 2"),
     "file_digests": (file_digests, "SELECT strlen(t)::BIGINT AS size, sha256(t) AS sha256, sha1(encode('blob ' || strlen(t)::VARCHAR) || '\\x00'::BLOB || encode(t)) AS git_sha1 FROM (SELECT string_agg(r_name || chr(10), '' ORDER BY r_regionkey) AS t FROM region)"),
     "run_descriptions": (run_descriptions, "SELECT 'run=' || n_name AS run, 'completed' AS status, n_nationkey AS seed FROM nation"),
+    "zip_archives": (zip_archives, "SELECT p_brand AS path, p_brand || '/' || p_partkey AS member, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 THEN p_name END AS text, CASE WHEN p_partkey % 7 = 0 THEN 'not_listed' WHEN p_partkey % 11 = 0 THEN 'wrong_size' WHEN p_partkey % 13 = 0 THEN 'wrong_sha256' END AS reason FROM part UNION ALL SELECT NULL, 'gone', NULL, 'missing'"),
+    "npz_scores": (npz_scores, "SELECT vec_id, row_number() OVER (PARTITION BY vec_id % 8 ORDER BY vec_id) - 1 AS row, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS largest, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + 0.0, 6) AS total FROM embeddings"),
     "stored_splits": (stored_splits, "SELECT CASE p_partkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, p_brand AS label, count(*)::BIGINT AS n, sum(p_partkey)::BIGINT AS lines FROM part GROUP BY 1, 2"),
     "stored_documents": (stored_documents, "SELECT DISTINCT sha256(p_name) AS sha256, substr(sha256('document:' || sha256(p_name)), 1, 32) AS id, p_name AS text FROM part"),
     "saved_errors": (saved_errors, "SELECT p_partkey, p_size % 3 AS truth, (p_partkey % 3)::INTEGER AS prediction, (SELECT round(avg((p_size % 3 = p_partkey % 3)::INTEGER), 9) FROM part) AS accuracy FROM part WHERE p_size % 3 <> p_partkey % 3"),

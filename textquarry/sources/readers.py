@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOM = "﻿"
 
 
 def with_line_number(df: DataFrame, name: str, start: int = 1) -> DataFrame:
-    """Number the rows of a file scan in order. The driver sees one count for each partition."""
-    tagged = df.withColumn("_row", F.monotonically_increasing_id())
-    sizes = tagged.groupBy((F.shiftright("_row", 33)).alias("p")).count().collect()
-    before, total = [], start
-    for r in sorted(sizes, key=lambda r: r["p"]):
-        before.append((r["p"], total))
-        total += r["count"]
-    bases = F.broadcast(df.sparkSession.createDataFrame(before, "_part long, _base long"))  # a row for each partition
-    numbered = tagged.join(bases, F.shiftright("_row", 33) == F.col("_part"))
-    return numbered.withColumn(name, F.col("_base") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_row", "_part", "_base")
+    """Number the rows of a scan of files, each file from ``start``, whatever blocks it is read in.
+
+    It is part of the query, not a job before it: one pass counts the rows of each block of a file, and the sums of the
+    blocks before, a row for each block, are broadcast to the other.
+    """
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    tagged = df.select("*", *block, F.monotonically_increasing_id().alias("_row"))
+    sizes = tagged.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_file", "_block", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    numbered = tagged.join(F.broadcast(bases), ["_file", "_block"])
+    return numbered.withColumn(name, F.col("_base") + F.col("_row") - F.col("_first") + start).drop("_file", "_block", "_row", "_first", "_base")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -28,8 +30,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     if not {"text", "label"} <= set(columns):
         raise ValueError("the CSV needs the columns text and label")
     rows = spark.read.csv(path, header=True, multiLine=True, schema=", ".join(f"`{c}` string" for c in columns), enforceSchema=True, escape='"')
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("label", F.lit("")).alias("label"), (F.col("split") if "split" in columns else F.lit(None).cast("string")).alias("split"))
-    return with_line_number(rows, "source_line", 2)
+    rows = with_line_number(rows, "source_line", 2)
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("label", F.lit("")).alias("label"), (F.col("split") if "split" in columns else F.lit(None).cast("string")).alias("split"), "source_line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
