@@ -176,3 +176,16 @@ def test_selection(spark):
     assert math.isclose(stats_["fgm"].validation_std, np.std([0.9, 0.8], ddof=1)) and metrics.mean_std(rows.limit(1), ["variant"], "test").first().test_std is None
     gates = spark.createDataFrame([(0.5, 0.51, 0.6, 0.6), (0.5, 0.51, 0.6, 0.59), (0.5, 0.504, 0.6, 0.7)], "baseline_validation double, candidate_validation double, baseline_test double, candidate_test double")
     assert [r.enabled for r in selection.release(gates).collect()] == [True, False, False]
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    rnd = random.Random(3)
+    monkeypatch.setattr(calibration, "BINS", 8)  # many passes
+    for values in ([rnd.random() for _ in range(300)], [0.25] * 90 + [0.5] * 10, [-1e300, 1e300, 0.0, 5e-324, 1e-323], [1.0]):
+        frame = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "c double")
+        for share in (0.0, 0.2, 1.0):
+            at = share * (len(values) - 1)
+            low, own = int(at), sorted(values)
+            want = own[low] if low == at else (low + 1 - at) * own[low] + (at - low) * own[low + 1]
+            assert calibration.quantile(frame, "c", share) == want
+    assert calibration.quantile(frame.limit(0), "c", 0.5) is None
