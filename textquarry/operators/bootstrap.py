@@ -1,12 +1,22 @@
 """Paired bootstrap by hashed resampling: the same draws for any partitioning.
 
-Each replicate draws as many rows of a class as it has, with replacement. How often a row is drawn is settled by
-giving every slot of a class a hashed row number. Rows are numbered once; draws are counted before they meet
-predictions, so what is shuffled are counts.
+Each replicate draws as many rows of a class as it has, with replacement. How often a row is drawn is settled in one of
+two ways:
+
+- ``slots``: every slot of a class gets a hashed row number. Any SQL engine can repeat it, but a draw is a row of a shuffle;
+- ``split``: rows are numbered by hash; a class of n rows has n draws, which are parted between the halves of its numbers by
+  a binomial draw, again and again, down to blocks of ``LEAF`` rows, and within a block by a multinomial draw. The generator
+  of a node is seeded by (seed, class, node), so each task walks down to its own rows without asking the others, all
+  replicates at once. Only sums are shuffled. Draws are those of numpy's generator and may differ between its versions.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +46,86 @@ def draws(rows: DataFrame, id_: str, replicates: int, seed: int, group: list[str
     return drawn.join(numbered, [*keys, "_d"]).select(id_, *by, "replicate", "times")
 
 
+#: Rows of a class that share one multinomial draw.
+LEAF = 64
+
+
+def split_times(numbers: np.ndarray, size: int, replicates: int, key: tuple[int, ...]) -> np.ndarray:
+    """How often the rows with these sorted numbers (from 0) are drawn, out of ``size``: a row for each, a column for each replicate."""
+    out = np.zeros((len(numbers), replicates), np.int64)
+    nodes = [(0, size, 0, len(numbers), np.full(replicates, size, np.int64))] if len(numbers) else []
+    while nodes:
+        lo, hi, i, j, left = nodes.pop()
+        generator = np.random.default_rng([*key, lo, hi])
+        if hi - lo <= LEAF:
+            out[i:j] = generator.multinomial(left, np.full(hi - lo, 1 / (hi - lo)))[:, numbers[i:j] - lo].T
+            continue
+        mid = (lo + hi) // 2
+        first, k = generator.binomial(left, (mid - lo) / (hi - lo)), i + int(np.searchsorted(numbers[i:j], mid))
+        nodes += [n for n in ((lo, mid, i, k, first), (mid, hi, k, j, left - first)) if n[2] < n[3]]
+    return out
+
+
+def _sums(replicates: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            group, number, size = (np.array(batch.column(k).to_pylist(), object if k == 0 else np.int64) for k in range(3))
+            times = np.zeros((batch.num_rows, replicates), np.int64)
+            for g in set(group.tolist()):
+                own = np.flatnonzero(group == g)
+                own = own[np.argsort(number[own])]
+                times[own] = split_times(number[own], int(size[own[0]]), replicates, (seed, zlib.crc32(g.encode())))
+            lists = batch.column(3)
+            cells = lists.flatten().dictionary_encode()
+            code, names = cells.indices.to_numpy(zero_copy_only=False), cells.dictionary.to_pylist()
+            amount = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            row = pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            for c, name in enumerate(names):
+                own = code == c
+                sums = amount[own] @ times[row[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * replicates), pa.array(np.arange(replicates), pa.int32()), pa.array(sums, pa.int64())], ["cell", "replicate", "total"])
+
+    return run
+
+
+def split_sums(rows: DataFrame, id_: str, cells: Column, amounts: Column, replicates: int, seed: int, group: list[str] | None = None) -> DataFrame:
+    """(cell, replicate, total): amounts times how often their rows are drawn, for rows with lists of cells (names) and amounts (long).
+
+    ``id_`` tells the rows of a group apart and must not be null in more than one of them. An empty table has no sums.
+    """
+    kept = rows.select(F.to_json(F.array(*(group or [F.lit(0)]))).alias("g"), F.col(id_).cast("string").alias("i"), cells.alias("c"), amounts.cast("array<bigint>").alias("a"))
+    ranked = hash_rank(kept, ["g"], F.sha2(F.coalesce("i", F.lit("")), 256), "i")
+    found = ranked.select("g", F.col("rank") - 1, "group_size", "c", "a").mapInArrow(_sums(replicates, seed), "cell string, replicate int, total long")
+    return found.groupBy("cell", "replicate").agg(F.sum("total").alias("total"))
+
+
 def interval(deltas: DataFrame, observed: DataFrame, column: str = "delta") -> DataFrame:
     """observed, lower, upper (95 %, linear between ranks), replicates."""
     ci = deltas.agg(F.percentile(column, F.lit(0.025)).alias("lower"), F.percentile(column, F.lit(0.975)).alias("upper"), F.count("*").alias("replicates"))
     return observed.crossJoin(ci)  # two single rows
 
 
-def paired_documents(counts: DataFrame, replicates: int = 600, seed: int = 31415, key: str = "doc_id") -> DataFrame:
+def _known(method: str) -> bool:
+    if method not in ("split", "slots"):
+        raise ValueError("methods are split and slots")
+    return method == "split"
+
+
+def paired_documents(counts: DataFrame, replicates: int = 600, seed: int = 31415, key: str = "doc_id", method: str = "split") -> DataFrame:
     """Micro F1 of a candidate minus a reference, over documents. counts: (key, correct_r, predicted_r, gold_r, correct_c, ...)."""
     columns = [f"{c}_{s}" for s in "rc" for c in ("correct", "predicted", "gold")]
     delta = lambda: f1(F.col("correct_c"), F.col("predicted_c"), F.col("gold_c")) - f1(F.col("correct_r"), F.col("predicted_r"), F.col("gold_r"))
     observed = counts.agg(*(F.sum(c).alias(c) for c in columns)).select(delta().alias("observed"))
+    if _known(method):
+        totals = split_sums(counts, key, F.array(*map(F.lit, columns)), F.array(*columns), replicates, seed)
+        sums = totals.groupBy("replicate").agg(*(F.sum(F.when(F.col("cell") == c, F.col("total"))).alias(c) for c in columns))
+        return interval(sums.select(delta().alias("delta")), observed)
     sampled = draws(counts, key, replicates, seed).join(counts, key)
     sums = sampled.groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in columns))
     return interval(sums.select(delta().alias("delta")), observed)
 
 
-def paired_runs(rows: DataFrame, classes: int, replicates: int = 400, seed: int = 31415, key: str = "doc_id") -> DataFrame:
+def paired_runs(rows: DataFrame, classes: int, replicates: int = 400, seed: int = 31415, key: str = "doc_id", method: str = "split") -> DataFrame:
     """Macro F1 of a candidate minus a reference, averaged over seeds, resampled within true classes.
 
     rows: (key, seed, truth, reference, candidate), the same keys for every seed. Otherwise the run stops.
@@ -68,6 +141,14 @@ def paired_runs(rows: DataFrame, classes: int, replicates: int = 400, seed: int
         return scores.groupBy(*by).agg((F.sum(sign) / F.count_distinct("seed")).alias("delta"))
 
     observed = deltas(long.groupBy("seed", "side", "truth", "prediction").agg(F.count("*").alias("n"))).select(F.col("delta").alias("observed"))
+    if _known(method):
+        # a row of each key with its cells, as many as there are runs times two
+        name = F.to_json(F.struct("seed", "side", "truth", "prediction"))
+        own = long.groupBy(key, "truth").agg(F.collect_list(name).alias("_cells"))
+        totals = split_sums(own, key, F.col("_cells"), F.transform("_cells", lambda _: F.lit(1)), replicates, seed, ["truth"])
+        shape = ", ".join(f"{c} {long.schema[c].dataType.simpleString()}" for c in ("seed", "side", "truth", "prediction"))
+        cells = totals.filter("total > 0").select("replicate", F.from_json("cell", shape).alias("x"), F.col("total").alias("n")).select("replicate", "x.*", "n")
+        return interval(deltas(cells, "replicate"), observed)
     one = rows.select(key, "truth").distinct()
     sampled = draws(one, key, replicates, seed, ["truth"]).join(long.drop("truth"), key)
     cells = sampled.groupBy("replicate", "seed", "side", "truth", "prediction").agg(F.sum("times").alias("n"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.plans import corpus, evaluation, extraction, places, reviews, storage, streams, templates
+from textquarry.plans import corpus, evaluation, extraction, models, places, reviews, storage, streams, templates
 
-MODULES = (corpus, extraction, places, evaluation, reviews, storage, streams, templates)
+MODULES = (corpus, extraction, places, evaluation, models, reviews, storage, streams, templates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

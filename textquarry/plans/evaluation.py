@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textquarry.functions.stats import argmax
 from textquarry.operators import analysis, bootstrap, calibration, metrics, selection, thresholds
 from textquarry.session import load
 
@@ -110,6 +111,13 @@ def fitted_temperature(spark, sf):
     return spark.createDataFrame([(round(t, 3),)], "temperature double")
 
 
+def fitted_temperature_inside(spark, sf):
+    """As fitted_temperature, with two thirds of the rows predicted right, so that the best temperature lies inside its bounds."""
+    rows = scored_vectors(spark, sf)
+    rows = rows.withColumn("truth", F.when(F.col("vec_id") % 3 == 0, F.col("truth")).otherwise(argmax(F.col("scores"))))
+    return spark.createDataFrame([(round(calibration.fit_temperature(rows), 3),)], "temperature double")
+
+
 def macro_f1_by_run(spark, sf):
     rows = predicted_vectors(spark, sf).select("truth", "prediction", F.pmod("vec_id", F.lit(3)).alias("run"))
     return rounded(metrics.macro_f1(metrics.confusion(rows, "truth", "prediction", "run"), 4, "run"), "macro_f1")
@@ -125,18 +133,38 @@ def bootstrap_draws(spark, sf):
     return drawn.select("doc_id", "replicate", "times")
 
 
-def bootstrap_documents(spark, sf):
+def document_pairs(spark, sf):
     gold, predicted = order_spans(spark, sf)
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
     one = metrics.document_counts(gold, predicted, orders, columns=metrics.ENTITY)
     two = metrics.document_counts(gold, predicted.filter("score > 20"), orders, columns=metrics.ENTITY)
     named = lambda df, s: df.select("doc_id", *(F.col(c).alias(f"{c}_{s}") for c in ("correct", "predicted", "gold")))
-    return rounded(bootstrap.paired_documents(named(two, "r").join(named(one, "c"), "doc_id"), 50), "observed", "lower", "upper")
+    return named(two, "r").join(named(one, "c"), "doc_id")
+
+
+def bootstrap_documents(spark, sf):
+    return rounded(bootstrap.paired_documents(document_pairs(spark, sf), 50, method="slots"), "observed", "lower", "upper")
 
 
 def bootstrap_runs(spark, sf):
     rows = predicted_vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "truth", F.col("prediction").alias("candidate"), F.lit(0).alias("reference"))
-    return rounded(bootstrap.paired_runs(rows.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2)))), 4, 40), "observed", "lower", "upper")
+    return rounded(bootstrap.paired_runs(rows.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2)))), 4, 40, method="slots"), "observed", "lower", "upper")
+
+
+def bootstrap_split_totals(spark, sf):
+    """Draws of each replicate and label by splitting: as many as the label has rows, and their count of drawn doc_ids."""
+    rows = load(spark, sf, "labels").select("doc_id", F.col("toxic").cast("string").alias("label"))
+    cells = F.array(F.concat(F.lit("rows:"), F.coalesce("label", F.lit("null"))))
+    return bootstrap.split_sums(rows, "doc_id", cells, F.array(F.lit(1)), 20, 31415, ["label"])
+
+
+def bootstrap_split_interval(spark, sf):
+    """The observed difference of `bootstrap_documents`, and whether the interval by splitting, of 200 replicates, holds it and is narrow."""
+    rows = document_pairs(spark, sf)
+    n = rows.count()
+    found = bootstrap.paired_documents(rows, 200)
+    near = (F.col("lower") <= F.col("observed")) & (F.col("observed") <= F.col("upper")) & (F.col("upper") - F.col("lower") < 4 / n**0.5)
+    return rounded(found.select("observed", "replicates", near.alias("near")), "observed")
 
 
 def threshold_grid_counts(spark, sf):
@@ -219,6 +247,13 @@ def subgroup_sizes(spark, sf):
     return analysis.subgroups(texts, gold, texts, gold.filter("doc_id % 3 = 0")).groupBy("slice").agg(F.count("*").alias("n"))
 
 
+def subgroup_members(spark, sf):
+    """Orders in their subgroups, with spans that overlap and surfaces that the part for training lacks."""
+    line = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 2).alias("s_start"), (F.col("l_linenumber") * 2 + 1 + F.col("l_suppkey") % 4).cast("int").alias("s_end"), F.lit("A").alias("s_type"), (F.col("l_partkey") % 4).cast("int").alias("rel"), (F.col("l_linenumber") * 2 + 1).alias("o_start"), (F.col("l_linenumber") * 2 + 2).alias("o_end"), F.lit("B").alias("o_type"))
+    texts = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.md5(F.col("o_orderkey").cast("string")).alias("text"))
+    return analysis.subgroups(texts, line, texts, line.filter("doc_id % 50 = 0")).groupBy("slice").agg(F.count("*").alias("n"))
+
+
 def support_bands(spark, sf):
     gold, predicted, texts, _ = order_triples(spark, sf)
     slots = spark.createDataFrame([(i, f"p{i}", "@value", f"p{i}") for i in range(5)], "id int, predicate string, slot string, label string")
@@ -244,6 +279,17 @@ BINS = f"{CONF}, b AS (SELECT least(floor(conf * 15), 14)::INTEGER AS bin, count
 GRID = f"{G}, {P}, b AS (SELECT doc_id, s, e, type, max(score) AS score FROM p0 GROUP BY ALL), th AS (SELECT unnest([16.0, 20.0, 30.0, 45.0])::DOUBLE AS threshold), gc AS (SELECT b.type, threshold, count(g.doc_id)::BIGINT AS tp, count(*)::BIGINT AS predicted FROM b JOIN th ON b.score > threshold LEFT JOIN g USING (doc_id, s, e, type) GROUP BY 1, 2)"
 REL = f"WITH {T}, mm AS (SELECT d, n, rel, coalesce(ig, 0) AS ig, coalesce(ip, 0) AS ip FROM (SELECT DISTINCT d, n, rel, 1 AS ig FROM t) FULL JOIN (SELECT DISTINCT d, n, rel, 1 AS ip FROM q) USING (d, n, rel)), k AS (SELECT unnest(range(5))::INTEGER AS id), rs AS (SELECT id, coalesce(sum(ig * ip), 0)::BIGINT AS correct, coalesce(sum(ip), 0)::BIGINT AS predicted, coalesce(sum(ig), 0)::BIGINT AS gold FROM k LEFT JOIN mm ON rel = id GROUP BY id)"
 
+P2 = "p2 AS (SELECT DISTINCT doc_id, s, e, type FROM p0 WHERE score > 20), m2 AS (SELECT doc_id, coalesce(ig, 0) AS ig, coalesce(ip, 0) AS ip FROM (SELECT *, 1 AS ig FROM g) FULL JOIN (SELECT *, 1 AS ip FROM p2) USING (doc_id, s, e, type))"
+PAIRS = f"{M}, {P2}, dc AS (SELECT doc_id AS d, {SUMS} FROM m GROUP BY 1), dr AS (SELECT doc_id AS d, {SUMS} FROM m2 GROUP BY 1), k AS (SELECT o_orderkey AS d, coalesce(dr.correct, 0) AS rc, coalesce(dr.predicted, 0) + coalesce(dr.gold, 0) AS ra, coalesce(dc.correct, 0) AS cc, coalesce(dc.predicted, 0) + coalesce(dc.gold, 0) AS ca FROM orders LEFT JOIN dc ON dc.d = o_orderkey LEFT JOIN dr ON dr.d = o_orderkey), ob AS (SELECT 2 * sum(cc) / sum(ca)::DOUBLE - 2 * sum(rc) / sum(ra)::DOUBLE AS observed FROM k)"
+PICK = "(('0x' || substr(sha256('31415:' || replicate || ':' || {slot}), 1, 12))::BIGINT % n)"
+CI = "round(quantile_cont(delta, 0.025), 6) AS lower, round(quantile_cont(delta, 0.975), 6) AS upper, count(*)::BIGINT AS replicates"
+STEPS = "".join(f", t{i} AS (SELECT {lo} AS lo, {hi} AS hi{of}), x{i} AS (SELECT k, lo + (hi - lo) * k / 100.0::DOUBLE AS lt, (hi - lo) / 100.0::DOUBLE AS w FROM t{i}, (SELECT unnest(range(101)) AS k)), y{i} AS (SELECT lt, w, avg(ln(list_sum(list_transform(sc, lambda s: exp((s - list_max(sc)) / exp(lt))))) - (sc[truth + 1] - list_max(sc)) / exp(lt)) AS nll FROM v, x{i} GROUP BY 1, 2)" for i, (lo, hi, of) in enumerate([("ln(0.1::DOUBLE)", "ln(100.0::DOUBLE)", "")] + [("greatest(arg_min(lt, nll) - max(w), ln(0.1::DOUBLE))", "least(arg_min(lt, nll) + max(w), ln(100.0::DOUBLE))", f" FROM y{i}") for i in range(3)]))
+SUBGROUPS = """WITH t AS (SELECT DISTINCT l_orderkey AS d, l_linenumber * 2 AS s, l_linenumber * 2 + 1 + l_suppkey % 4 AS e, l_partkey % 4 AS rel, l_linenumber * 2 + 1 AS os, l_linenumber * 2 + 2 AS oe FROM lineitem),
+en AS (SELECT d, s, e, 'A' AS ty FROM t UNION SELECT d, os, oe, 'B' FROM t), w AS (SELECT en.*, substr(md5(d::VARCHAR), (s + 1)::BIGINT, (e - s)::BIGINT) AS term FROM en), kn AS (SELECT DISTINCT term, ty, 1 AS known FROM w WHERE d % 50 = 0),
+se AS (SELECT d, bool_and(known IS NOT NULL) AS seen FROM w LEFT JOIN kn USING (term, ty) GROUP BY d), sl AS (SELECT d, count(*) AS slots FROM t GROUP BY d), ne AS (SELECT DISTINCT a.d, true AS nested FROM en a JOIN en b ON a.d = b.d AND (a.s <> b.s OR a.e <> b.e) AND a.s < b.e AND b.s < a.e),
+z AS (SELECT coalesce(slots = 1, false) AS one, coalesce(nested, false) AS nested, coalesce(seen, true) AS seen FROM orders LEFT JOIN sl ON sl.d = o_orderkey LEFT JOIN ne ON ne.d = o_orderkey LEFT JOIN se ON se.d = o_orderkey)
+SELECT CASE WHEN one THEN 'one_gold_slot' ELSE 'multiple_gold_slots' END AS slice, count(*)::BIGINT AS n FROM z GROUP BY 1 UNION ALL SELECT CASE WHEN nested THEN 'distinct_overlapping_spans' ELSE 'non_overlapping_spans' END, count(*)::BIGINT FROM z GROUP BY 1 UNION ALL SELECT CASE WHEN seen THEN 'all_typed_surfaces_seen_in_train' ELSE 'some_typed_surface_unseen' END, count(*)::BIGINT FROM z GROUP BY 1"""
+
 QUERIES = {
     "prf_micro_per_type": (prf_micro_per_type, f"WITH {M}, x AS (SELECT type, {SUMS} FROM m GROUP BY GROUPING SETS ((type), ())) SELECT type, {PRF} FROM x"),
     "missing_and_extra": (missing_and_extra, f"WITH {M} SELECT CASE WHEN ig = 1 THEN 'missing' ELSE 'extra' END AS kind, type, count(*)::BIGINT AS n FROM m WHERE ig <> ip GROUP BY 1, 2"),
@@ -256,16 +302,27 @@ QUERIES = {
     "brier_nll": (brier_nll, f"{CONF} SELECT round(avg(list_sum(list_transform(p, lambda x, i: pow(x - (i = truth + 1)::INT, 2)))), 6) AS brier_score, round(avg(-ln(least(greatest(p[truth + 1], 1e-15), 1.0))), 6) AS nll FROM c"),
     "selective_prediction": (selective_prediction, f"{CONF}, t AS (SELECT quantile_cont(conf, 0.2) AS threshold FROM c WHERE vec_id % 2 = 0) SELECT round(max(threshold), 6) AS threshold, round(avg((conf >= threshold)::INT), 6) AS coverage, count(*) FILTER (WHERE conf >= threshold)::BIGINT AS accepted, round(avg((pred = truth)::INT) FILTER (WHERE conf >= threshold), 6) AS accuracy FROM c, t WHERE vec_id % 2 = 1"),
     "temperature_grid": (temperature_grid, " UNION ALL ".join(f"(WITH {soft(str(t))} SELECT {t}::DOUBLE AS temperature, round(avg(-ln(p[truth + 1])), 6) AS nll FROM c)" for t in (0.5, 1.0, 2.0, 4.0, 8.0))),
-    "fitted_temperature": (fitted_temperature, None),
+    "fitted_temperature": (fitted_temperature, f"WITH {V}{STEPS} SELECT round(exp(arg_min(lt, nll)), 3) AS temperature FROM y3"),
+    "fitted_temperature_inside": (fitted_temperature_inside, f"WITH {V.replace('v AS', 'w AS', 1)}, v AS (SELECT sc, CASE WHEN vec_id % 3 = 0 THEN truth ELSE list_position(sc, list_max(sc)) - 1 END AS truth FROM w){STEPS} SELECT round(exp(arg_min(lt, nll)), 3) AS temperature FROM y3"),
     "macro_f1_by_run": (macro_f1_by_run, f"{CONF}, k AS (SELECT unnest(range(4)) AS id), r AS (SELECT vec_id % 3 AS run, id, count(*) FILTER (WHERE truth = id AND pred = id) AS correct, count(*) FILTER (WHERE pred = id) AS predicted, count(*) FILTER (WHERE truth = id) AS gold FROM k CROSS JOIN c GROUP BY 1, 2) SELECT run, round(avg({F1}), 6) AS macro_f1 FROM r GROUP BY run"),
     "mean_confusion": (mean_confusion, f"{CONF}, x AS (SELECT truth, pred::INTEGER AS prediction, count(*) / 2.0::DOUBLE AS mean_n FROM c GROUP BY 1, 2), w AS (SELECT truth, first(prediction ORDER BY mean_n DESC, prediction) AS main_confusion FROM x WHERE truth <> prediction GROUP BY truth) SELECT truth, prediction, mean_n, main_confusion FROM x LEFT JOIN w USING (truth)"),
     "bootstrap_draws": (bootstrap_draws, """WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR), doc_id) - 1 AS slot, count(*) OVER () AS n FROM labels), r AS (SELECT unnest(range(5)) AS replicate),
 d AS (SELECT replicate, (('0x' || substr(sha256('31415:' || replicate || ':' || slot), 1, 12))::BIGINT % n) AS pick, count(*)::BIGINT AS times FROM i CROSS JOIN r GROUP BY 1, 2) SELECT doc_id, replicate::INTEGER AS replicate, times FROM d JOIN i ON slot = pick"""),
-    "bootstrap_documents": (bootstrap_documents, None),
-    "bootstrap_runs": (bootstrap_runs, None),
+    "bootstrap_documents": (bootstrap_documents, f"""WITH {PAIRS}, i AS (SELECT o_orderkey AS d, row_number() OVER (ORDER BY sha256(o_orderkey::VARCHAR), o_orderkey) - 1 AS slot, count(*) OVER () AS n FROM orders), r AS (SELECT unnest(range(50)) AS replicate),
+dd AS (SELECT replicate, {PICK.format(slot='slot')} AS pick, count(*) AS times FROM i CROSS JOIN r GROUP BY 1, 2), z AS (SELECT replicate, 2 * sum(times * cc) / sum(times * ca)::DOUBLE - 2 * sum(times * rc) / sum(times * ra)::DOUBLE AS delta FROM dd JOIN i ON slot = pick JOIN k USING (d) GROUP BY 1) SELECT round(max(observed), 6) AS observed, {CI} FROM z, ob"""),
+    "bootstrap_split_totals": (bootstrap_split_totals, "SELECT 'rows:' || coalesce(toxic::VARCHAR, 'null') AS cell, replicate::INTEGER AS replicate, count(*)::BIGINT AS total FROM labels CROSS JOIN (SELECT unnest(range(20)) AS replicate) GROUP BY 1, 2"),
+    "bootstrap_split_interval": (bootstrap_split_interval, f"WITH {PAIRS} SELECT round(observed, 6) AS observed, 200::BIGINT AS replicates, true AS near FROM ob"),
+    "bootstrap_runs": (bootstrap_runs, f"""{CONF}, i AS (SELECT truth, pred, row_number() OVER (PARTITION BY truth ORDER BY sha256(vec_id::VARCHAR), vec_id) - 1 AS slot, count(*) OVER (PARTITION BY truth) AS n FROM c), r AS (SELECT unnest(range(40)) AS replicate),
+dd AS (SELECT truth, replicate, {PICK.format(slot="truth || ':' || slot")} AS pick, count(*) AS times FROM i CROSS JOIN r GROUP BY ALL), s AS (SELECT replicate, i.truth, i.pred, sum(times) AS m FROM dd JOIN i ON i.truth = dd.truth AND slot = pick GROUP BY ALL UNION ALL SELECT -1, truth, pred, count(*) FROM c GROUP BY ALL), k AS (SELECT unnest(range(4)) AS id),
+f AS (SELECT replicate, id, sum(m) FILTER (WHERE truth = id AND pred = id) AS hit, sum(m) FILTER (WHERE truth = id) AS tr, sum(m) FILTER (WHERE pred = id) AS pr, sum(m) AS al FROM s CROSS JOIN k GROUP BY ALL),
+z AS (SELECT replicate, sum(coalesce(2 * hit, 0) / greatest(coalesce(tr, 0) + coalesce(pr, 0), 1)::DOUBLE) / 4 - sum(CASE WHEN id = 0 THEN 2 * coalesce(tr, 0) / (coalesce(tr, 0) + al)::DOUBLE ELSE 0 END) / 4 AS delta FROM f GROUP BY 1)
+SELECT round((SELECT delta FROM z WHERE replicate = -1), 6) AS observed, {CI} FROM z WHERE replicate >= 0"""),
     "threshold_grid_counts": (threshold_grid_counts, f"WITH {GRID} SELECT * FROM gc"),
     "threshold_grid_best": (threshold_grid_best, f"WITH {GRID}, z AS (SELECT threshold, 2 * sum(tp) / (sum(predicted) + (SELECT count(*) FROM g))::DOUBLE AS f1 FROM gc GROUP BY 1) SELECT threshold, round(f1, 6) AS f1 FROM z ORDER BY f1 DESC, threshold LIMIT 1"),
-    "dinkelbach_thresholds": (dinkelbach_thresholds, None),
+    "dinkelbach_thresholds": (dinkelbach_thresholds, f"""WITH {GRID}, ty AS (SELECT unnest(['A', 'N', 'R', 'X']) AS type), su AS (SELECT type, count(g.doc_id) AS support FROM ty LEFT JOIN g USING (type) GROUP BY 1),
+ch AS (SELECT su.type, support, th.threshold, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM su CROSS JOIN th LEFT JOIN gc ON gc.type = su.type AND gc.threshold = th.threshold WHERE support >= 50 OR th.threshold = 20),
+al AS (SELECT a.threshold AS a, n.threshold AS n, r.threshold AS r, x.threshold AS x, 2 * (a.tp + n.tp + r.tp + x.tp) / (a.predicted + n.predicted + r.predicted + x.predicted + a.support + n.support + r.support + x.support)::DOUBLE AS f1 FROM ch a, ch n, ch r, ch x WHERE a.type = 'A' AND n.type = 'N' AND r.type = 'R' AND x.type = 'X'),
+bb AS (SELECT * FROM al ORDER BY f1 DESC LIMIT 1), o AS (SELECT unnest(['A', 'N', 'R', 'X']) AS type, unnest([a, n, r, x]) AS threshold FROM bb) SELECT type, threshold, support::BIGINT AS support FROM o JOIN su USING (type)"""),
     "seed_mean_std": (seed_mean_std, "SELECT event_type, count(*)::BIGINT AS n, round(avg(v), 6) AS v_mean, round(stddev_samp(v), 6) AS v_std FROM (SELECT event_type, user_id % 3 AS seed, avg(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1"),
     "variant_choice": (variant_choice, "SELECT variant, round(avg(v), 6) AS mean, count(*)::BIGINT AS runs FROM (SELECT event_type AS variant, user_id % 3 AS seed, avg(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1 ORDER BY avg(v) DESC, variant LIMIT 1"),
     "release_gates": (release_gates, "SELECT s_suppkey AS id, (0.5::DOUBLE + (s_suppkey % 20) / 1000::DOUBLE) - 0.5::DOUBLE >= 0.005::DOUBLE AS validation_gate_passed, 0.6::DOUBLE + (s_suppkey % 7 - 3) / 100::DOUBLE >= 0.6::DOUBLE AS holdout_audit_passed, ((0.5::DOUBLE + (s_suppkey % 20) / 1000::DOUBLE) - 0.5::DOUBLE >= 0.005::DOUBLE) AND (0.6::DOUBLE + (s_suppkey % 7 - 3) / 100::DOUBLE >= 0.6::DOUBLE) AS enabled FROM supplier"),
@@ -283,7 +340,9 @@ z AS (SELECT mm.*, g, e, es.d IS NOT NULL AS two FROM mm JOIN pr USING (d, n) LE
 u AS (SELECT CASE WHEN two THEN 'missing_despite_both_typed_surfaces_detected' ELSE 'missing_with_participant_surface_or_type_absent' END AS category FROM z WHERE ig = 1
 UNION ALL SELECT 'missing_with_wrong_role_on_same_typed_pair' FROM z WHERE ig = 1 AND e = 1 UNION ALL SELECT CASE WHEN g = 1 THEN 'extra_wrong_role_on_gold_typed_pair' ELSE 'extra_other_pair_or_type' END FROM z WHERE ig = 0)
 SELECT category, count(*)::BIGINT AS n FROM u GROUP BY 1"""),
-    "subgroup_sizes": (subgroup_sizes, None),
+    "subgroup_sizes": (subgroup_sizes, f"""WITH {T}, kn AS (SELECT DISTINCT n FROM t WHERE d % 3 = 0), z AS (SELECT o_orderkey, count(DISTINCT (n, rel)) AS c, coalesce(bool_and(n IN (SELECT n FROM kn)), true) AS seen FROM orders LEFT JOIN t ON d = o_orderkey GROUP BY 1)
+SELECT CASE WHEN c = 1 AND o_orderkey IN (SELECT d FROM t) THEN 'one_gold_slot' ELSE 'multiple_gold_slots' END AS slice, count(*)::BIGINT AS n FROM z GROUP BY 1 UNION ALL SELECT 'non_overlapping_spans', count(*)::BIGINT FROM z UNION ALL SELECT CASE WHEN seen THEN 'all_typed_surfaces_seen_in_train' ELSE 'some_typed_surface_unseen' END, count(*)::BIGINT FROM z GROUP BY 1"""),
+    "subgroup_members": (subgroup_members, SUBGROUPS),
     "support_bands": (support_bands, f"""{REL}, sp AS (SELECT rel AS id, count(*) AS c FROM t WHERE d % 100 = 0 GROUP BY 1),
 z AS (SELECT CASE WHEN coalesce(c, 0) < 50 THEN 'train_support_1_49' WHEN c < 200 THEN 'train_support_50_199' ELSE 'train_support_200_plus' END AS band, count(*)::BIGINT AS slots, sum(correct)::BIGINT AS correct, sum(predicted)::BIGINT AS predicted, sum(gold)::BIGINT AS gold FROM rs LEFT JOIN sp USING (id) GROUP BY 1) SELECT band, slots, {PRF} FROM z"""),
     "char_tfidf": (char_tfidf, None),
