@@ -14,7 +14,9 @@ their anchor. So the segments of one anchor can be sorted apart from all others:
 3. an anchor with more than ``hot`` different segments (a common phrase in ever new surroundings) would
    gather too much in one task. Its windows are parted by where the anchor lies in them, in ``CLASSES`` ways; the
    windows of a class share a larger gram around the anchor, and these grams deal the parts of segments out to
-   suffix arrays of their own.
+   suffix arrays of their own. These grams can be one phrase again, so the classes are narrower for anchors with more
+   segments (``LEVELS``), down to single windows. A chunk sends equal parts once. So whatever a bucket
+   gets for one gram is bounded by the segments of the level, or is equal windows of different chunks.
 
 Contract: null text is empty; texts shorter than ``length`` lose nothing; null doc_ids and repeated rows
 are kept as rows of their own; a repeated row is a repeated text. An empty table gives an empty result.
@@ -41,7 +43,17 @@ END = 0xFF
 BUCKET_KEYS, BUCKET_BYTES, TASK_BUCKETS = 1 << 20, 1 << 19, 4
 #: Ways to part the windows of a frequent anchor.
 CLASSES = 8
-UNIQUE, REPEATED, SEND, SEND_REPEATED, HOT, HOT_REPEATED = range(6)
+#: Anchors with more than so many times ``hot`` segments: classes as above, of four places, of one place.
+LEVELS = (1, 2, 4)
+#: Odd codes: all windows of the segment are repeated. From HOT on two codes for each level.
+UNIQUE, REPEATED, SEND, SEND_REPEATED, HOT = range(5)
+
+
+def class_edges(level: int, length: int, gram: int) -> np.ndarray:
+    """Where the classes of a level begin, and the end of the last, among the places of an anchor in a window."""
+    places = length - gram + 1
+    n = min(places, (CLASSES, -(-places // 4), places)[level])
+    return np.arange(n + 1) * places // n
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -185,7 +197,9 @@ def _report(length: int, gram: int, n_buckets: int):
     return run
 
 
-def _decide(hot: int):
+def _decide(hot: int, length: int, gram: int):
+    sizes = [int((length - 1 + np.diff(class_edges(level, length, gram))).sum()) for level in range(len(LEVELS))]
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         lens = [len(r["anchors"]) // 8 for r in rows]
@@ -204,12 +218,14 @@ def _decide(hot: int):
         code = np.where(again, REPEATED, UNIQUE).astype(np.uint8)
         code[(sorts > 1) & ~again] = SEND
         code[(sorts > 1) & again & new] = SEND_REPEATED
-        code[(sorts > hot) & ~again] = HOT
-        code[(sorts > hot) & again & new] = HOT_REPEATED
+        for level, times in enumerate(LEVELS):
+            code[(sorts > hot * times) & ~again] = HOT + 2 * level
+            code[(sorts > hot * times) & again & new] = HOT + 2 * level + 1
         back = np.empty(len(order), np.uint8)
         back[order] = code
         masks = np.split(back, np.cumsum(lens)[:-1])
-        sent, parted = ([int(((m == x) | (m == y)).sum()) for m in masks] for x, y in ((SEND, SEND_REPEATED), (HOT, HOT_REPEATED)))
+        sent = [int((m >> 1 == SEND >> 1).sum()) for m in masks]
+        parted = [sum(size * int((m >> 1 == (HOT >> 1) + level).sum()) for level, size in enumerate(sizes)) for m in masks]
         return pa.table({"bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "chunk": [r["chunk"] for r in rows], "mask": pa.array([m.tobytes() for m in masks], pa.binary()), "sent": pa.array(sent, pa.int64()), "parted": pa.array(parted, pa.int64())})
 
     return run
@@ -222,25 +238,41 @@ def _sent(s: Segments, codes: np.ndarray, n_buckets: int):
         yield b, which[i:j]
 
 
-def _parts(s: Segments, codes: np.ndarray, n_buckets: int):
-    """(bucket, begins, ends, which await an answer) of the parts of segments with frequent anchors, dealt out by larger grams."""
-    which = np.flatnonzero((codes == HOT) | (codes == HOT_REPEATED))
-    if not len(which):
-        return
-    one, places = s.one[which], s.length - s.gram + 1
-    edges = np.arange(min(CLASSES, places) + 1) * places // min(CLASSES, places)
-    found = []
-    for c, (near, far) in enumerate(zip(edges.tolist(), (edges[1:] - 1).tolist())):  # the anchor lies so far from a window's begin
-        lo, hi = np.maximum(s.a[one], s.place[one] - far), np.minimum(s.b[one] - s.length, s.place[one] - near)
-        some = lo <= hi
-        x, y = s.place[one][some] - near, s.place[one][some] - far + s.length  # what all windows of the class hold
-        route = np.fromiter((xxhash.xxh3_64_intdigest(s.chunk.body[i:j], c) for i, j in zip(x.tolist(), y.tolist())), np.uint64, len(x))
-        found.append((route, lo[some], hi[some] + s.length, codes[which][some] == HOT))
+def _parts(s: Segments, codes: np.ndarray, n_buckets: int) -> tuple[list[tuple], np.ndarray]:
+    """The parts of segments with frequent anchors, dealt out by larger grams, and the starts of windows found repeated here.
+
+    Parts: (bucket, begins, ends, which await an answer).
+    """
+    found, again = [], [np.zeros(0, np.int64)]
+    for level in range(len(LEVELS)):
+        which = np.flatnonzero(codes >> 1 == (HOT >> 1) + level)
+        if not len(which):
+            continue
+        one = s.one[which]
+        edges = class_edges(level, s.length, s.gram)
+        for c, (near, far) in enumerate(zip(edges.tolist(), (edges[1:] - 1).tolist())):  # the anchor lies so far from a window's begin
+            lo, hi = np.maximum(s.a[one], s.place[one] - far), np.minimum(s.b[one] - s.length, s.place[one] - near)
+            some = lo <= hi
+            x, y = s.place[one][some] - near, s.place[one][some] - far + s.length  # what all windows of the class hold
+            route = np.fromiter((xxhash.xxh3_64_intdigest(s.chunk.body[i:j], c) for i, j in zip(x.tolist(), y.tolist())), np.uint64, len(x))
+            lo, hi, asked = lo[some], hi[some] + s.length, codes[which][some] % 2 == 0
+            order = np.argsort(route, kind="stable")
+            route, lo, hi, asked = route[order], lo[order], hi[order], asked[order]
+            bodies = [s.chunk.body[i:j] for i, j in zip(lo.tolist(), hi.tolist())]
+            first: dict[bytes, int] = {}
+            kind = np.fromiter((first.setdefault(x, k) for k, x in enumerate(bodies)), np.int64, len(bodies))
+            more = np.bincount(kind, minlength=len(kind))[kind] > 1
+            count = (hi - lo - s.length + 1)[more]
+            again.append(np.repeat(lo[more] - np.cumsum(count) + count, count) + np.arange(int(count.sum())))
+            one_each = kind == np.arange(len(kind))  # a part is sent once, and needs no answer if it is here twice
+            route, lo, hi, asked = (v[one_each] for v in (route, lo, hi, asked & ~more))
+            found.append((route, lo, hi, asked))
+    if not found:
+        return [], again[0]
     route, lo, hi, asked = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(route, kind="stable")
-    for b, i, j in cut(route[order], n_buckets):
-        own = order[i:j]
-        yield b, lo[own], hi[own], asked[own]
+    dealt = [(b, order[i:j]) for b, i, j in cut(route[order], n_buckets)]
+    return [(b, lo[own], hi[own], asked[own]) for b, own in dealt], np.concatenate(again)
 
 
 def _row(kind: int, bucket: int, chunk: Chunk, a: np.ndarray, b: np.ndarray, asked: np.ndarray, length: int) -> tuple:
@@ -257,7 +289,7 @@ def _send(length: int, gram: int, n_send: int, n_parted: int):
             for b, which in _sent(s, codes, n_send):
                 one = s.one[which]
                 rows.append(_row(1, b, chunk, s.a[one], s.b[one], codes[which] == SEND, length))
-            rows += [_row(2, bucket, chunk, a, b, asked, length) for bucket, a, b, asked in _parts(s, codes, n_parted)]
+            rows += [_row(2, bucket, chunk, a, b, asked, length) for bucket, a, b, asked in _parts(s, codes, n_parted)[0]]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 3))], ["kind", "bucket", "chunk", "x", "y", "z"])
 
     return run
@@ -300,13 +332,15 @@ def _remove(length: int, gram: int, n_send: int, n_parted: int, with_text: bool)
             s = Segments(chunk, length, gram)
             code = joined_mask(codes)
             number = s.number
-            whole = np.flatnonzero(np.isin(code, (REPEATED, SEND_REPEATED, HOT_REPEATED))[number] | s.twice[number]) if len(code) else number
+            whole = np.flatnonzero((code % 2 == 1)[number] | s.twice[number]) if len(code) else number
             found = []
             # the sent ones, of which each sort occurs once here
             for r, (_, which) in zip(sorted(answers, key=lambda r: r["bucket"]), _sent(s, code, n_send)):
                 starts = s.windows(s.one[which[code[which] == SEND]])
                 found.append(starts[np.frombuffer(r["mask"], np.uint8).astype(bool)])
-            for r, (_, a, b, asked) in zip(sorted(parted, key=lambda r: r["bucket"]), _parts(s, code, n_parted)):
+            parts, again = _parts(s, code, n_parted)
+            found.append(again)
+            for r, (_, a, b, asked) in zip(sorted(parted, key=lambda r: r["bucket"]), parts):
                 count = (b - a - length + 1)[asked]
                 starts = np.repeat(a[asked] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
                 found.append(starts[np.frombuffer(r["mask"], np.uint8).astype(bool)])
@@ -347,10 +381,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int | None = None,
     least = partitions(docs.sparkSession)
     n = max(least, size * 2 // (length - gram + 2) // BUCKET_KEYS + 1)
     report = table.mapInArrow(_report(length, gram, n), "bucket int, chunk string, anchors binary, segs binary, checks binary, twice binary")
-    codes = written(report.groupBy("bucket").applyInArrow(_decide(hot), "bucket int, chunk string, mask binary, sent long, parted long"), "codes")
+    codes = written(report.groupBy("bucket").applyInArrow(_decide(hot, length, gram), "bucket int, chunk string, mask binary, sent long, parted long"), "codes")
     sent, parted = (x or 0 for x in codes.agg(F.sum("sent"), F.sum("parted")).first())
     n_send = max(least, sent * (2 * length - gram) // BUCKET_BYTES + 1)
-    n_parted = max(least, parted * CLASSES * (length + length // CLASSES) // BUCKET_BYTES + 1)
+    n_parted = max(least, parted // BUCKET_BYTES + 1)
     asked = table.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_send(length, gram, n_send, n_parted), "kind int, bucket int, chunk string, x binary, y binary, z binary")
     dealt = asked.repartition(max(least, (n_send + (n_parted if parted else 0)) // TASK_BUCKETS + 1), "kind", "bucket")
     answers = dealt.groupBy("kind", "bucket").applyInArrow(_answer(length), "kind int, bucket int, chunk string, mask binary")
