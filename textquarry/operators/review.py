@@ -159,10 +159,14 @@ def approved_export(records: DataFrame, entities: DataFrame) -> tuple[DataFrame,
     approved = records.filter("status = 'approved'")
     cited = approved.select("extraction_id", F.explode("mentions").alias("id")).distinct().withColumn("_cited", F.lit(True))
     kept = entities.join(cited, ["extraction_id", "id"], "left").filter("(status = 'approved' OR _cited) AND status <> 'rejected'").drop("_cited")
-    alive = kept.groupBy("extraction_id").agg(F.collect_set("id").alias("_alive"))
-    rows = approved.join(alive, "extraction_id", "left").withColumn("_alive", F.coalesce("_alive", F.array().cast("array<string>")))
-    pruned = F.filter("mentions", lambda m: F.array_contains(F.col("_alive"), m))
-    rows = rows.withColumn("omitted_rejected_mentions", F.size("mentions") - F.size(pruned)).withColumn("mentions", pruned).drop("_alive")
+    # each different list of mentions once, its ids looked up one by one
+    alive = kept.select("extraction_id", "id").distinct()
+    each = approved.select("extraction_id", F.col("mentions").alias("_m")).distinct().select("extraction_id", "_m", F.posexplode("_m").alias("_p", "id")).join(alive, ["extraction_id", "id"])
+    lists = each.groupBy(F.col("extraction_id").alias("_e"), "_m").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "id"))), lambda x: x["id"]).alias("_pruned"))
+    rows = approved.join(lists, (F.col("extraction_id") == F.col("_e")) & (F.col("mentions") == F.col("_m")), "left")
+    pruned = F.when(F.col("mentions").isNotNull(), F.coalesce("_pruned", F.array().cast("array<string>")))
+    rows = rows.withColumn("_kept", pruned).withColumn("omitted_rejected_mentions", F.size("mentions") - F.size("_kept"))
+    rows = rows.withColumn("mentions", F.col("_kept")).drop("_kept", "_pruned", "_e", "_m")
     return rows, kept, concepts(kept, "extraction_id")
 
 
