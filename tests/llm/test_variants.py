@@ -90,3 +90,9 @@ def test_one_alphabet(spark):
     frame_ = spark.createDataFrame(list(count.items()), "word string, n long")
     got = variants(frame_).select("word", "form", "root", "n", "n_near", "form_n").collect()
     assert sorted(map(tuple, got)) == brute(count)
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    """A vocabulary grows with the corpus; compressed it looks small enough to be gathered on the driver."""
+    found = query(frame(spark, [(i, f"abcdef abcdeg abcdefg bcdefg word{chr(97 + i)}x") for i in range(9)]), 2, 1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,9 @@ All of these are contributions (word, number, best), which one combined aggregat
 best near word if that is frequent enough; roots are found by pointer doubling over the written table of forms, in as
 many rounds as the logarithm of the longest chain (counts at least double along a chain, so it is short).
 
+Joins are sorted ones: a compressed table of words looks small enough to be broadcast, but is many times larger in the
+driver's memory, and grows with the vocabulary.
+
 Contract: null texts have no words; a null doc_id counts as the empty text where words are altered. Rows are read as
 they are, repeated ones too. Other columns are ignored; an empty table gives an empty result.
 """
@@ -135,7 +138,7 @@ def indels(words: DataFrame) -> DataFrame:
     cut = F.array_distinct(F.transform(at, lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substr(F.col("word"), i + 1))))
     cuts = words.select("word", "n", F.explode(cut).alias("cut"))
     shorter = words.select(F.col("word").alias("cut"), F.col("n").alias("cut_n"))
-    met = cuts.join(shorter, "cut")
+    met = cuts.join(shorter.hint("merge"), "cut")
     down = met.select("word", F.lit(1).cast("long").alias("near"), _best("cut_n", "cut").alias("best"))
     up = met.groupBy(F.col("cut")).agg(F.count("*").alias("near"), F.min(_best("n", "word")).alias("best")).withColumnRenamed("cut", "word")
     return down.unionByName(up)
@@ -146,7 +149,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("onward"))
-        then = written(now.join(onward, "root", "left").select("word", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
+        then = written(now.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
         now = then.select("word", "root")
         if then.filter("moved").isEmpty():
             return now
@@ -155,9 +158,9 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(words: DataFrame, factor: int = 2) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of words (word, n), which are different and hold no ``*``."""
     near = replacements(words).unionByName(indels(words)).groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
-    found = words.join(near, "word", "left").withColumn("formed", F.coalesce(-F.col("best.neg") >= F.col("n") * factor, F.lit(False)))
+    found = words.join(near.hint("merge"), "word", "left").withColumn("formed", F.coalesce(-F.col("best.neg") >= F.col("n") * factor, F.lit(False)))
     found = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("formed"), F.col("best.word")).alias("form"), F.when(F.col("formed"), -F.col("best.neg")).alias("form_n")), "forms")
-    return found.join(roots(found.filter("form IS NOT NULL")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(roots(found.filter("form IS NOT NULL")).hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def query(docs: DataFrame, min_chars: int = 5, min_count: int = 3, every: int = 97, factor: int = 2, step: int = STEP) -> DataFrame:
