@@ -56,3 +56,41 @@ def test_throttle(spark, tmp_path):
     batch = review.retry_after(spark.createDataFrame(rows, "client string, time timestamp").select("client", F.unix_timestamp("time").alias("ts")), 3, 600)
     assert got == sorted((r.client, r.ts, r.recent, r.retry_after) for r in batch.filter("client IN ('a', 'b', 'c')").collect()) and any(r[3] for r in got)
     assert spark.conf.get(next(iter(stateful.STORE)), None) != stateful.STORE[next(iter(stateful.STORE))]
+
+
+def test_throttle_reads_its_state_once_for_all_due_seconds():
+    class State:
+        def __init__(self):
+            self.rows, self.reads = [], 0
+
+        def get(self):
+            self.reads += 1
+            return iter(list(self.rows))
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+    class Value:
+        now = None
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, now):
+            self.now = now
+
+    class Handle:
+        getListState = lambda self, *_: State()
+        getValueState = lambda self, *_: Value()
+        registerTimer = lambda self, at: timers.append(at)
+
+    timers, late = [], type("Times", (), {"getCurrentWatermarkInMs": lambda self: 2_001_000})()
+    throttle = stateful.Throttle(2, 10)
+    throttle.init(Handle())
+    assert list(throttle.handleInputRows(("a",), [type("R", (), {"ts": t})() for t in range(3000)], None)) == []
+    served = list(throttle.handleExpiredTimer(("a",), late, None))
+    assert [r.ts for r in served] == list(range(2001)) and throttle.times.reads == 1
+    assert served[0].retry_after == 0 and served[-1].recent == 10 and served[-1].retry_after == 1
+    assert timers[-1] == 2_002_000 and len(throttle.times.rows) < 1020

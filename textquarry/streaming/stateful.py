@@ -2,12 +2,15 @@
 
 Both keep a small state for each key in Spark's state store and give the same rows for any cut of the input into
 micro-batches. The review log goes by arrival: a review is accepted if it expects the revision that its record is at.
-The throttle goes by event time: a timer for each second with failures fires once the watermark has passed it, when all
-failures up to it have come, so their order of arrival doesn't matter; what no later second can need is dropped.
+The throttle goes by event time: once the watermark has passed a client's earliest unserved second a timer fires, and all
+seconds up to the watermark, whose failures have all come, are served in one pass along the window; so their order of
+arrival doesn't matter, and a client's state is read once for a micro-batch, not once for each second. What no later
+second can need is dropped.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,24 +74,41 @@ class Throttle(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.times = handle.getListState("times", "ts long, n long")
+        self.done = handle.getValueState("done", "ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = Counter(r.ts for r in rows if r.ts is not None)
-        for ts, n in sorted(new.items()):
-            self.times.appendValue((ts, n))
-            self.handle.registerTimer(ts * 1000)
+        if new:
+            self.times.appendList([(ts, n) for ts, n in sorted(new.items())])
+            self.handle.registerTimer((min(new) + 1) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ts = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        held = sorted((int(t), int(n)) for t, n in self.times.get())
-        near = [(t, n) for t, n in held if ts - self.window < t <= ts]
-        recent, first = sum(n for _, n in near), min(t for t, _ in near)
-        wait = max(1, self.window - (ts - first)) if recent >= self.limit else 0
-        done = timerValues.getCurrentWatermarkInMs() // 1000 - self.window  # timers from the watermark back are being served
-        self.times.put([(t, n) for t, n in held if t > min(done, ts - self.window)])
-        for _ in range(sum(n for t, n in near if t == ts)):
-            yield Wait(key[0], ts, recent, wait)
+        due = timerValues.getCurrentWatermarkInMs() // 1000 - 1  # the last second that is over
+        sums = Counter()
+        for t, n in self.times.get():
+            sums[int(t)] += int(n)
+        held = sorted(sums.items())
+        at = [t for t, _ in held]
+        done = self.done.get()[0] if self.done.exists() else None
+        begin = 0 if done is None else bisect_right(at, done)  # those before have been served
+        end = bisect_right(at, due)
+        if begin >= end:
+            return
+        first = bisect_right(at, at[begin] - self.window)
+        recent = sum(n for _, n in held[first:begin])
+        for ts, n in held[begin:end]:
+            recent += n
+            while at[first] <= ts - self.window:
+                recent -= held[first][1]
+                first += 1
+            wait = max(1, self.window - (ts - at[first])) if recent >= self.limit else 0
+            for _ in range(n):
+                yield Wait(key[0], ts, recent, wait)
+        self.done.update((at[end - 1],))
+        self.times.put(held[bisect_right(at, at[end - 1] - self.window) :])
+        if end < len(at):
+            self.handle.registerTimer((at[end] + 1) * 1000)
 
     def close(self) -> None:
         pass
