@@ -219,3 +219,26 @@ def test_short_passages_are_found(spark):
     want = sorted((d, i) for d, t in enumerate(texts) for i, p in enumerate(items) if t and p in t)
     assert sorted(map(tuple, clean.contained_passages(docs, passages).collect())) == want and (0, 0) in want
     assert clean.contained_passages(docs, passages.limit(0)).collect() == []
+
+
+def test_keys_in_steps_equal_whole_ones():
+    """Texts are normalised a few at a time; ASCII that normalisation leaves as it is takes a shorter way."""
+    import unicodedata
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from textquarry.functions import text as tx
+
+    texts = ["Plain Text", None, "", " lead", "trail ", "two  spaces", "a\tb\nc", "bell\x07", "Straße ﬁ", "soft­hyphen", "wide　space", "x" * 50, "\x7f", "İ"]
+
+    def whole(t):
+        a = pc.replace_substring_regex(pa.array([None if t is None else unicodedata.normalize("NFKC", t)], pa.string()), r"\p{Cf}", "")
+        a = pc.replace_substring_regex(a, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+        return pc.utf8_trim(pc.replace_substring_regex(a, tx.WHITE, " "), " ")[0].as_py()
+
+    for step in (1, 20, 1 << 20):
+        sizes = []
+        got = tx.in_steps(pa.array(texts, pa.string()), lambda a: (sizes.append(len(a)), tx._folded(a))[1], step)
+        assert got.to_pylist() == [None if t is None else whole(t).casefold() for t in texts]
+        assert step > 20 or max(sizes) < len(texts)

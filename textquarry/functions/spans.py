@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+from textquarry.functions.text import given_back
 
 
 def regex_spans(text: Column, pattern: str, base: Column | int = 0) -> Column:
@@ -37,14 +41,28 @@ def text_spans(text: Column, pattern: str) -> Column:
     """All matches in long texts: array<struct<start, end, text>>.
 
     ``regex_spans`` copies what it has found for each further match, which is cheapest inside sentences; over whole
-    documents with thousands of matches this takes time in proportion, in Python over Arrow batches.
+    documents with thousands of matches this takes time in proportion, in Python over Arrow batches: about a megabyte of text at once, and
+    the spans of a batch as columns.
     """
 
-    def run(texts: pd.Series) -> pd.Series:
-        find = re.compile(pattern, re.I).finditer
-        return pd.Series([None if t is None else [{"start": m.start(), "end": m.end(), "text": m.group()} for m in find(t)] for t in texts], dtype=object)
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+
+    def found(texts: pa.Array) -> pa.Array:
+        find, ends, a, b, hits = re.compile(pattern, re.I).finditer, [0], [], [], []
+        for t in texts.to_pylist():
+            for m in find(t or ""):
+                a.append(m.start())
+                b.append(m.end())
+                hits.append(m.group())
+            ends.append(len(a))
+        spans = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(hits, pa.string())], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans, mask=pa.array(np.asarray(texts.is_null())))
+
+    @arrow_udf("array<struct<start:int,end:int,text:string>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from given_back(batches, found)
 
-    return pandas_udf(run, "array<struct<start:int,end:int,text:string>>")(text)
+    return run(text)
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -106,12 +124,55 @@ def without_crossings(spans: Column, kind: str = SCORED) -> Column:
     """
 
     @arrow_udf(kind)
-    def run(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else nested(x) for x in lists.to_pylist()], lists.type)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            cuts = _cuts(lists)
+            yield pa.concat_arrays([_uncrossed(lists.slice(lo, hi - lo)) for lo, hi in cuts]) if cuts else lists
 
     return run(spans)
 
 
+#: Spans of documents that are decoded at once.
+SPANS_AT_ONCE = 1 << 16
+
+
+def _cuts(lists: pa.Array) -> list[tuple[int, int]]:
+    """(from, to) of runs of lists that hold about ``SPANS_AT_ONCE`` spans together."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    at = np.flatnonzero(np.diff(np.cumsum(size) // SPANS_AT_ONCE, prepend=-1)).tolist()
+    return list(zip(at, [*at[1:], len(lists)]))
+
+
+def _uncrossed(lists: pa.Array) -> pa.Array:
+    """Spans that touch no other are kept as they are, of pairs the better one if they cross; only larger clusters take ``nested``."""
+    row, flat = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))), lists.flatten()
+    start, end, score = (np.asarray(flat.field(c)) for c in ("start", "end", "score"))
+    order = np.asarray(pc.sort_indices(pa.table({"row": pa.array(row), **{c: flat.field(c) for c in ("start", "end", "type", "score")}}), [(c, "ascending") for c in ("row", "start", "end", "type", "score")])).astype(np.int64)
+    row, start, end, score = row[order], start[order].astype(np.int64), end[order].astype(np.int64), score[order]
+    keep = np.ones(len(order), bool)
+    if len(order):
+        # a cluster begins where a span starts at or after all ends before it in its document
+        width = int(max(end.max(), start.max()) - min(start.min(), 0)) + 1
+        low = int(min(start.min(), 0))
+        reach = np.maximum.accumulate(row * width + np.maximum(end, start) - low)
+        first = np.ones(len(order), bool)
+        first[1:] = row[1:] * width + start[1:] - low >= reach[:-1]
+        begin = np.flatnonzero(first)
+        size = np.diff([*begin, len(order)])
+        a = begin[size == 2]
+        b = a + 1
+        cross = (start[a] < start[b]) & (start[b] < end[a]) & (end[a] < end[b])
+        better = score[a] >= score[b]  # of equal scores the one that starts first
+        keep[b[cross & better]] = False
+        keep[a[cross & ~better]] = False
+        for lo, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+            spans = [{"start": int(start[k]), "end": int(end[k]), "type": "", "score": float(score[k]), "at": k} for k in range(lo, lo + n)]
+            keep[lo : lo + n] = False
+            keep[[s["at"] for s in nested(spans)]] = True
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(lists)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), flat.take(pa.array(order[keep])), mask=pa.array(np.asarray(lists.is_null())))
+
+
 def token_windows(offsets: Column, length: int, stride: int) -> Column:
     """Windows of ``length`` tokens that overlap by ``stride``: array<struct<start, end>> of characters.
 
@@ -128,10 +189,11 @@ def token_windows(offsets: Column, length: int, stride: int) -> Column:
 
 
 def character_tokens(text: Column) -> Column:
-    """The default tokenizer: each character that is no white space is a token."""
-    places = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
-    real = F.filter(places, lambda i: ~F.substring(text, i + 1, F.lit(1)).rlike(r"^(?U)\s?$"))
-    return F.transform(real, lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
+    """The default tokenizer: each character that is no white space is a token. One pass cuts the characters, as substrings begin at the text's start."""
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    placed = F.transform(characters, lambda c, i: F.struct(i.alias("start"), (i + 1).alias("end"), c.alias("c")))
+    real = F.filter(placed, lambda t: ~t["c"].rlike(r"^(?U)\s?$"))
+    return F.transform(real, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
 
 
 def token_of(offsets: Column, start: Column, end: Column) -> Column:

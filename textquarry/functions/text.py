@@ -3,36 +3,71 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, in the syntax of RE2.
 WHITE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def _normalized(texts: pd.Series) -> pa.Array:
-    a = pa.array((None if t is None else unicodedata.normalize("NFKC", t) for t in texts), pa.string())
-    a = pc.replace_substring_regex(a, r"\p{Cf}", "")
+#: Bytes of text that are normalised at once: a batch of long texts would need many times its size in Python.
+STEP = 1 << 20
+#: What normalisation changes in ASCII; a text without it stays as it is.
+ODD_ASCII = r"[\x00-\x1F\x7F]|^ | $|  "
+
+
+def _normalized(a: pa.Array) -> pa.Array:
+    plain = pc.fill_null(pc.string_is_ascii(a), True).to_pylist()
+    if not all(plain):
+        a = pa.array((t if p else unicodedata.normalize("NFKC", t) for t, p in zip(a.to_pylist(), plain)), pa.string())
+        a = pc.replace_substring_regex(a, r"\p{Cf}", "")
+    elif not pc.any(pc.match_substring_regex(a, ODD_ASCII)).as_py():
+        return a
     a = pc.replace_substring_regex(a, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return pc.utf8_trim(pc.replace_substring_regex(a, WHITE, " "), " ")
 
 
-@pandas_udf(StringType())
-def normalize(texts: pd.Series) -> pd.Series:
+def _folded(a: pa.Array) -> pa.Array:
+    a = _normalized(a)
+    if pc.all(pc.string_is_ascii(a)).as_py() is not False:  # null: no text at all
+        return pc.ascii_lower(a)
+    return pa.array((None if t is None else t.casefold() for t in a.to_pylist()), pa.string())
+
+
+def in_steps(texts: pa.Array, make: Callable[[pa.Array], pa.Array], step: int = STEP) -> pa.Array:
+    """``make`` over runs of texts of about ``step`` bytes, one after another; a longer text is a run of its own."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // step, prepend=-1)).tolist()
+    parts = [make(texts.slice(lo, hi - lo)) for lo, hi in zip(cuts, [*cuts[1:], len(texts)])]
+    return pa.concat_arrays(parts) if parts else make(texts)
+
+
+def given_back(batches: Iterator[pa.Array], make: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    """Workers live on for other stages, so a task gives its memory back at the end."""
+    try:
+        for texts in batches:
+            yield in_steps(texts.cast(pa.string()), make)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+@arrow_udf(StringType())
+def normalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """NFKC without format and control characters, runs of white space as one space, trimmed."""
-    return _normalized(texts).to_pandas()
+    yield from given_back(batches, _normalized)
 
 
-@pandas_udf(StringType())
-def text_key(texts: pd.Series) -> pd.Series:
+@arrow_udf(StringType())
+def text_key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The identity of a text: normalised and case-folded."""
-    return pd.Series([None if t is None else t.casefold() for t in _normalized(texts).to_pylist()], dtype=object)
+    yield from given_back(batches, _folded)
 
 
 def sha256(x: Column) -> Column:
@@ -55,10 +90,8 @@ def full_width(text: Column) -> Column:
 
 
 def punctuated(text: Column, every: int = 6) -> Column:
-    """A full-width comma after each ``every`` characters but the last."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / every) - 1, F.lit(0)).cast("int"))
-    return F.array_join(F.transform(starts, lambda i: F.substring(text, i * every + 1, F.lit(every))), "，")
+    """A full-width comma after each ``every`` characters but the last. One pass: substrings would begin at the text's start each time."""
+    return F.regexp_replace(text, f"(?s)(.{{{every}}})(?=.)", "$1，")
 
 
 def truncated(text: Column, share: float = 0.7) -> Column:
