@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,11 +34,19 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an expression that is evaluated once, even where it is used inside a function over an array's elements."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def log_softmax(scores: Column, temperature: Column | float = 1.0) -> Column:
     t = F.lit(temperature) if isinstance(temperature, float) else temperature
-    logits = F.transform(scores, lambda s: s.cast("double") / t)
-    top = F.array_max(logits)
-    return F.transform(logits, lambda s: s - top - F.log(total(F.transform(logits, lambda r: F.exp(r - top)))))
+
+    def of(logits: Column) -> Column:
+        shifted = lambda top: once(F.log(total(F.transform(logits, lambda r: F.exp(r - top)))), lambda norm: F.transform(logits, lambda s: s - top - norm))
+        return once(F.array_max(logits), shifted)
+
+    return once(F.transform(scores, lambda s: s.cast("double") / t), of)
 
 
 def softmax(scores: Column, temperature: Column | float = 1.0) -> Column:

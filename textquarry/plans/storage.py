@@ -16,7 +16,7 @@ from textquarry.functions import text as tx
 from textquarry.functions.stats import argmax, distance_bucket, log_softmax, symmetric_kl
 from textquarry.operators import clean, ner, relations, selection
 from textquarry.plans import templates
-from textquarry.session import load
+from textquarry.session import load, spread
 from textquarry.sources import archives, readers, sinks
 
 
@@ -240,7 +240,7 @@ def safe_names(spark, sf):
 
 def score_functions(spark, sf):
     """Places of the largest components, the divergence from the reversed vector, buckets of distances."""
-    rows = load(spark, sf, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    rows = spread(load(spark, sf, "embeddings").select("vec_id", "embedding")).withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
     p, q = log_softmax(F.col("x")), log_softmax(F.reverse("x"))
     return rows.select("vec_id", argmax(F.col("x")).alias("largest"), (F.round(symmetric_kl(p, q), 6) + F.lit(0.0)).alias("divergence"), distance_bucket(F.pmod("vec_id", F.lit(161)) - 80, relations.DISTANCE_EDGES).alias("bucket"))
 

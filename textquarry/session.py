@@ -24,3 +24,8 @@ def session(app: str = "textquarry", **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores: a small compressed file is one task, however much each of its rows is worked on."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
