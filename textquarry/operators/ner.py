@@ -73,8 +73,9 @@ def predict_in_batches(rows: DataFrame, load: Callable[[], Callable[[pd.DataFram
         model = None
         for frame in frames:
             model = model or load()
-            for lo in range(0, len(frame), batch):
-                yield model(frame.iloc[lo : lo + batch])
+            made = [model(frame.iloc[lo : lo + batch]) for lo in range(0, len(frame), batch)]
+            if made:  # one Arrow batch for each that came in, not one for each call
+                yield pd.concat(made, ignore_index=True)
 
     return rows.mapInPandas(run, schema)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import alias, context, evidence, ner, relations, review, selection, thresholds
 from textquarry.operators.binding import suggestions
-from textquarry.session import load
+from textquarry.session import load, spread
 from textquarry.sources.documents import parse_documents, sentences
 
 N = lambda k=0: ("n", k)  # noqa: E731  the row's number, and so much more
@@ -42,6 +42,7 @@ class Template:
 def reports(spark, sf, templates: list[Template]) -> DataFrame:
     """(doc_id, m, p_size, text): a text for each row of part."""
     rows = load(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % len(templates)).cast("int").alias("m"), "p_size")
+    rows = spread(rows)
     return rows.withColumn("text", F.coalesce(*(F.when(F.col("m") == i, t.column()) for i, t in enumerate(templates))))
 
 
@@ -343,7 +344,7 @@ def converted_records(spark, sf):
 
 
 def _imported(spark, sf):
-    rows = load(spark, sf, "part").select((F.col("p_partkey") + 1).alias("source_line"), F.concat(F.lit("item "), "p_partkey", F.lit(" "), "p_name", F.lit(" comes from "), "p_brand").alias("text"), F.col("p_name").alias("subject"), F.col("p_brand").alias("object"), F.col("p_partkey").alias("k"))
+    rows = spread(load(spark, sf, "part").select("p_partkey", "p_name", "p_brand")).select((F.col("p_partkey") + 1).alias("source_line"), F.concat(F.lit("item "), "p_partkey", F.lit(" "), "p_name", F.lit(" comes from "), "p_brand").alias("text"), F.col("p_name").alias("subject"), F.col("p_brand").alias("object"), F.col("p_partkey").alias("k"))
     rows = rows.withColumn("predicate", F.when(F.col("k") % 2 == 0, "made").otherwise("sold"))
     again = rows.filter("k % 25 = 0").withColumn("source_line", F.col("source_line") + 1_000_000_000)
     other = rows.filter("k % 25 = 1").withColumn("source_line", F.col("source_line") + 2_000_000_000).withColumn("predicate", F.lit("made"))
@@ -491,7 +492,7 @@ def predicted_spans(spark, sf):
         return run
 
     predictor = ner.predictor_for({"backend": "sizes", "scale": 2.0, "recipe": {"thresholds": {"long": 40.0, "short": 60.0}}}, {"sizes": maker})
-    rows = load(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"), "p_size")
+    rows = spread(load(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"), "p_size"))
     found = predictor(rows)
     ner.aligned(rows, predictor_base(rows, maker))
     return found
