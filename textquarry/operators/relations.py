@@ -124,7 +124,9 @@ def import_records(records: DataFrame, schema: DataFrame, seed: int | str = 42,
     none = F.from_json(F.lit("[]"), "array<struct<s_start:int,s_end:int,s_type:string,rel:int,o_start:int,o_end:int,o_type:string>>")
     rows = rows.withColumn("triples", F.when(F.col("_negative"), none).otherwise(F.col("triples"))).withColumn("ambiguous_mentions", F.when(F.col("_negative"), 0).otherwise(F.col("ambiguous_mentions")))
     reason = F.coalesce("_first", F.when(~F.col("_negative"), F.col("reason")))
-    rows = rows.withColumn("reason", reason).withColumn("reason", F.coalesce("reason", token_check(F.col("triples"), tokens, most_tokens))).drop("_first", "_negative")
+    rows = rows.withColumn("reason", reason).withColumn("_tokens", tokens)  # once for all its uses
+    rows = rows.withColumn("reason", F.coalesce("reason", token_check(F.col("triples"), F.col("_tokens"), most_tokens))).drop("_first", "_negative", "_tokens")
+    rows = rows.persist()  # offsets and tokens are dear, and each of the checks below reads them; lost blocks are computed again
     valid = rows.filter("reason IS NULL").drop("reason").withColumn("key", text_key("text"))
     n, given = valid.agg(F.count("*"), F.count("split")).first()
     if 0 < given < n:
