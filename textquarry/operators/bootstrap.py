@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.stats import f1
 from textquarry.operators.metrics import macro_f1
 from textquarry.operators.ranking import hash_rank
+from textquarry.session import spread
 
 
 def draw(replicate: Column, slot: Column, size: Column, seed: int) -> Column:
@@ -40,8 +41,11 @@ def draws(rows: DataFrame, id_: str, replicates: int, seed: int, group: list[str
     keys = by or ["_g"]
     ranked = hash_rank(base, keys, F.sha2(F.col(id_).cast("string"), 256), id_).withColumn("_slot", F.col("rank") - 1)
     at = F.concat_ws(":", *keys, "_slot") if by else F.col("_slot").cast("string")
-    slots = ranked.select(*keys, "group_size", at.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = slots.select(*keys, "replicate", draw(F.col("replicate"), F.col("_s"), F.col("group_size"), seed).alias("_d")).groupBy(*keys, "replicate", "_d").agg(F.count("*").alias("times"))
+    # ranks are small rows, which adaptive execution puts into a few tasks; each of them makes as many rows as there are replicates
+    slots = spread(ranked.select(*keys, "group_size", at.alias("_s"))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = slots.select(*keys, "replicate", draw(F.col("replicate"), F.col("_s"), F.col("group_size"), seed).alias("_d"))
+    # rows meet by the number they draw: counting them and joining the number's row take this one shuffle
+    drawn = drawn.repartition(*keys, "_d").groupBy(*keys, "replicate", "_d").agg(F.count("*").alias("times"))
     numbered = ranked.select(id_, *keys, F.col("_slot").alias("_d"))
     return drawn.join(numbered, [*keys, "_d"]).select(id_, *by, "replicate", "times")
 
