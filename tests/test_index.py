@@ -65,3 +65,20 @@ def test_workspace_search(spark, tmp_path):
     assert hit("overall survival") and not hit("longer")
     with pytest.raises(KeyError):
         w.search("y", "survival")
+
+
+def test_blocks_are_inverted_as_numbers(monkeypatch):
+    """Lists of a block equal brute force, however few pairs are sorted and written at once."""
+    import pyarrow as pa
+
+    texts = [(b, i, t.lower() if t else None) for b in (0, 2) for i, (_, _, t, _) in enumerate(rows(b, 20)[:20])] + [(2, 99, "\U0010ffff a\x00")]
+    want = {}
+    for b, i, t in texts:
+        for g in {t[k : k + n] for n in (1, 2, 3) for k in range(len(t or "") - n + 1)} if t else ():
+            want.setdefault((g, b), []).append(i)
+    for run, lists in ((1, 1), (50, 7), (1 << 20, 1 << 16)):
+        monkeypatch.setattr(index, "RUN", run)
+        monkeypatch.setattr(index, "LISTS", lists)
+        batches = [pa.RecordBatch.from_pylist([dict(zip("bit", x)) for x in texts[k : k + 9]], pa.schema([("b", pa.int32()), ("i", pa.int64()), ("t", pa.string())])) for k in range(0, len(texts), 9)]
+        got = [(g, b, i) for out in index._inverted(iter(batches)) for g, b, i in zip(*(out.column(k).to_pylist() for k in range(3)))]
+        assert {(g, b): i for g, b, i in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)

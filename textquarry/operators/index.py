@@ -16,6 +16,8 @@ two characters have grams of their own.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from textquarry.functions.text import matches_terms
 
 #: Shards of grams, parts of records, and records of a block.
 SHARDS, PARTS, BLOCK = 32, 64, 4096
-#: Characters of a text whose grams are gathered at once.
-PIECE = 4096
+#: Characters of a block, at most some; (gram, record) pairs that are sorted at once, and grams that are written at once.
+CHARACTERS, RUN, LISTS = 1 << 23, 1 << 20, 1 << 16
 RECORD = ["extraction_id", "record_id"]
 POSTINGS = "segment int, shard int, gram string, block int, ids array<long>"
 TEXTS = "segment int, part int, id long, extraction_id string, record_id string, text string"
@@ -35,17 +37,6 @@ def _grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def grams(text: Column) -> Column:
-    """The different grams of one to three characters of a text, lower-cased."""
-    return F.array_distinct(F.concat(*(_grams(F.lower(text), n) for n in (1, 2, 3))))
-
-
-def _pieces(text: Column) -> Column:
-    """A text as pieces that reach two characters into the next, so that no gram is lost at a cut."""
-    pattern = F.lit(f"(?s)(.{{1,{PIECE}}})(?=(.{{0,2}}))")
-    return F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda a, b: F.concat(a, b))
-
-
 def query_grams(spark: SparkSession, query: str) -> list[str]:
     """The grams that a text must have to be found: of each term those of three characters, or the whole shorter term."""
     terms = [t for t in query.split() if t]
@@ -64,22 +55,83 @@ def _shard(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(SHARDS)).cast("int")
 
 
+def _gram_codes(text: str) -> np.ndarray:
+    """The different runs of one to three characters of a lower-cased text as numbers: 21 bits a character, one more than its code point."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    two = c[:-1] << np.uint64(21) | c[1:]
+    parts = [c, two]
+    if len(c) > 2:
+        parts.append(two[:-1] << np.uint64(21) | c[2:])
+    return np.unique(np.concatenate(parts))
+
+
+def _characters(codes: np.ndarray) -> list[str]:
+    """The grams that numbers stand for."""
+    wide = np.stack([codes >> np.uint64(42), codes >> np.uint64(21) & np.uint64((1 << 21) - 1), codes & np.uint64((1 << 21) - 1)], 1)
+    return ["".join(chr(x - 1) for x in row if x) for row in wide.tolist()]
+
+
+def _runs(codes: list[np.ndarray], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The (gram, id) pairs of some texts, sorted."""
+    flat = np.concatenate(codes)
+    number = np.repeat(np.array(ids, np.int64), [len(c) for c in codes])
+    order = np.lexsort((number, flat))
+    return flat[order], number[order]
+
+
+def _inverted(batches):
+    """(block, id, text lower-cased), sorted by block → (gram, block, ids sorted): one block in memory at a time, as numbers."""
+
+    def lists(block: int, runs: list):
+        flat, number = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
+        order = np.lexsort((number, flat))
+        flat, number = flat[order], number[order]
+        begin = np.flatnonzero(np.diff(flat, prepend=~flat[:1]))
+        for lo in range(0, len(begin), LISTS):
+            own = begin[lo : lo + LISTS]
+            end = int(begin[lo + len(own)]) if lo + len(own) < len(begin) else len(flat)
+            ids = pa.ListArray.from_arrays(pa.array([*(own - own[0]), end - own[0]], pa.int32()), pa.array(number[own[0] : end]))
+            yield pa.RecordBatch.from_arrays([pa.array(_characters(flat[own]), pa.string()), pa.array(np.full(len(own), block, np.int32)), ids], ["gram", "block", "ids"])
+
+    at, runs, codes, ids, held = None, [], [], [], 0
+    for batch in batches:
+        for block, i, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if block != at:
+                if codes:
+                    runs.append(_runs(codes, ids))
+                if runs:
+                    yield from lists(at, runs)
+                at, runs, codes, ids, held = block, [], [], [], 0
+            if text:
+                codes.append(_gram_codes(text))
+                ids.append(i)
+                held += len(codes[-1])
+                if held >= RUN:
+                    runs.append(_runs(codes, ids))
+                    codes, ids, held = [], [], 0
+    if codes:
+        runs.append(_runs(codes, ids))
+    if runs:
+        yield from lists(at, runs)
+
+
 def append(records: DataFrame, path: str, segment: int) -> None:
     """Add records (extraction_id, record_id, text) as a segment; it must be new, and later segments have greater numbers.
 
-    Blocks are ranges of the records' numbers, as many as make each some ``BLOCK`` records: a task gathers so many numbers
-    at most for one gram and block, and a text's grams are different before they are shuffled.
+    Blocks are ranges of the records' numbers, as many as make each some ``BLOCK`` records. A block's texts meet in one task,
+    which turns them into lists as sorted numbers, so texts are shuffled and not the many times larger rows of grams.
     """
     rows = records.select(*(F.col(c).cast("string").alias(c) for c in RECORD), F.col("text").cast("string").alias("text"))
     rows = rows.groupBy(*RECORD).agg(F.max("text").alias("text")).withColumn("id", _number())
-    rows.withColumn("part", F.pmod("id", F.lit(PARTS)).cast("int")).repartition("part").sortWithinPartitions("part", "id").write.partitionBy("part").parquet(f"{path}/texts/segment={segment}")
+    rows.withColumn("part", F.pmod("id", F.lit(PARTS)).cast("int")).repartition(PARTS, "part").sortWithinPartitions("part", "id").write.partitionBy("part").parquet(f"{path}/texts/segment={segment}")
     kept = records.sparkSession.read.schema(TEXTS).parquet(f"{path}/texts").filter(F.col("segment") == segment)
-    blocks = max(1, -(-kept.count() // BLOCK))
+    n, characters = kept.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-characters // CHARACTERS))
     block = F.pmod(F.shiftright("id", 8), F.lit(blocks)).cast("int")
-    each = kept.select("id", block.alias("block"), F.explode(_pieces(F.col("text"))).alias("piece"))
-    each = each.select("id", "block", F.explode(grams(F.col("piece"))).alias("gram"))
-    lists = each.groupBy(_shard(F.col("gram")).alias("shard"), "gram", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    lists.repartition("shard", "block").sortWithinPartitions("shard", "gram", "block").write.partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
+    each = kept.filter("text IS NOT NULL").select(block.alias("block"), "id", F.lower("text").alias("text"))
+    dealt = each.repartition(min(blocks, 2 * records.sparkSession.sparkContext.defaultParallelism), "block").sortWithinPartitions("block")
+    lists = dealt.mapInArrow(_inverted, "gram string, block int, ids array<long>").withColumn("shard", _shard(F.col("gram")))
+    lists.sortWithinPartitions("shard", "gram").select("gram", "block", "ids", "shard").write.partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
 
 
 def candidates(spark: SparkSession, path: str, query: str) -> DataFrame:
