@@ -29,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more) one row stays: that with the smallest doc_id, of equal or no doc_ids the first text in order."""
+    """Of each group of near copies (SimHash links and those it misses, at five-word Jaccard of 0.8 or more) one row stays: that with the smallest doc_id, of equal or no doc_ids the first text in order."""
     found = jaccard.near_copies(pick(docs, *COLUMNS))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", "lang", "source", "n_chars")
     return found.groupBy("group").agg(F.min(first).alias("r")).select(*(f"r.{c}" for c in COLUMNS))

@@ -107,3 +107,58 @@ def test_one_key_of_many(spark):
     got = jaccard._dealt(few, jaccard._apart(few), 10**6).mapInArrow(jaccard._meet, "u long, v long").distinct()
     nodes = [r.node for r in few.collect()]
     assert got.count() == sum(a % 2 != b % 2 for a in nodes for b in nodes if a > b)
+
+
+def test_simhash_links_first(spark, monkeypatch):
+    """Copies that SimHash links leave no pair to the minima; equal fingerprints of unlike sets are no link."""
+    long = [f"n{k * 7919 % 3001}" for k in range(3000)]
+    near = [" ".join([*long[:at], "x", *long[at + 1 :]]) for at in range(100, 700, 100)]
+    # the more frequent part decides all bits, whatever the rest holds
+    unlike = [" ".join(["a b c d e f g"] * 50 + [f"{t}{k}" for k in range(20)]) for t in "xy"]
+    texts = [" ".join(long), *near, *unlike]
+    fp = jaccard.prints(jaccard.pa.array(texts)).tolist()
+    assert all((a ^ fp[0]).bit_count() <= 4 for a in fp[1:7]) and fp[7] == fp[8]
+    made, dealt = [], jaccard._dealt
+
+    def seen(members, apart, pivots):
+        out = dealt(members, apart, pivots)
+        made.append(out.mapInArrow(jaccard._meet, "u long, v long").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", seen)
+    got = jaccard.near_copies(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    want = split_by(groups(texts))
+    assert split_by([r.group for r in sorted(got, key=lambda r: r.doc_id)]) == want == [list(range(7)), [7], [8]] and sum(made) == 0
+
+
+def test_pairs_of_a_family_are_few(spark, monkeypatch):
+    """300 variants of one text that stay below 0.8 of each other, and pairs of them above it: pairs made are few, links all there."""
+    rnd, texts, made, dealt = random.Random(5), [], [], jaccard._dealt
+    base = [f"b{k}" for k in range(100)]
+    for _ in range(150):
+        own = list(base)
+        for at in rnd.sample(range(100), 3):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        texts += [" ".join(own), " ".join([*own, "end"])]
+
+    def seen(members, apart, pivots):
+        out = dealt(members, apart, pivots)
+        made.append(out.mapInArrow(jaccard._meet, "u long, v long").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", seen)
+    got = jaccard.near_copies(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    want = split_by(groups(texts))
+    assert split_by([r.group for r in sorted(got, key=lambda r: r.doc_id)]) == want and len(want) > 100 and sum(made) < 20 * len(texts)
+
+
+def test_parities_bound_from_below():
+    rnd = jaccard.np.random.default_rng(6)
+    for n in (1, 30, 400, 5000):
+        a = jaccard.np.unique(rnd.integers(0, 1 << 64, n, dtype=jaccard.np.uint64))
+        b = jaccard.np.unique(jaccard.np.concatenate([a[n // 9 :], rnd.integers(0, 1 << 64, n // 10, dtype=jaccard.np.uint64)]))
+        x, y = jaccard.parities([a, b]).view(jaccard.np.uint64)
+        differ = len(jaccard.np.setxor1d(a, b))
+        assert int(jaccard.np.bitwise_count(x ^ y).sum()) <= differ
+        met = list(jaccard.meetings(jaccard.np.array([1, 2]), jaccard.np.array([len(a), len(b)]), jaccard.np.array([1, 2]), jaccard.np.array([True, False]), jaccard.np.stack([x, y])))
+        assert sum(map(len, met)) == 1 or differ > (len(a) + len(b)) / 9

@@ -1,10 +1,15 @@
-"""Near copies by the exact Jaccard similarity of their shingles, found at bands of minima.
+"""Near copies by the exact Jaccard similarity of their shingles, found by SimHash and then at bands of minima.
 
 A text is the set of its shingles of ``SHINGLE`` words (A-Z lower-cased, white space joined; a shorter text is
-one shingle), and texts with equal sets are one node. ``BANDS`` keys of ``ROWS`` minima each say which nodes are
-compared: a pair at similarity s shares no key with probability (1 - s ** ROWS) ** BANDS, which is 1.2e-7 at 0.8
-and less above. Every pair that shares a key, and whose sizes allow ``SIMILAR``, is compared by its whole sets,
-unless links found before have joined the two already.
+one shingle), and texts with equal sets are one node. First come the links of SimHash (``simhash.fingerprint_links``):
+a spanning forest of the fingerprints that differ in 4 bits or fewer, and each further node of a fingerprint beside its
+first; a link holds if the whole sets are similar. Fingerprints of 64 bits miss pairs near 0.8, so ``BANDS`` keys of
+``ROWS`` minima each say which nodes are compared beside that: a pair at similarity s shares no key with probability
+(1 - s ** ROWS) ** BANDS, which is 1.2e-7 at 0.8 and less above. Every pair that shares a key, and whose sizes and
+``BITS`` allow ``SIMILAR``, is compared by its whole sets, unless links found before have joined the two already.
+
+``BITS`` parities tell how many shingles of a set fall into each place. Two sets have at least as many shingles that only one
+of them holds as parities that differ, and at ``SIMILAR`` at most a ninth of their sizes' sum: this bound loses no link.
 
 So a group of near copies needs few of its pairs: keys with up to ``SMALL`` nodes give all pairs at once, of larger
 ones some nodes, the pivots, are held against all others, round after round, until each key's nodes are joined or
@@ -12,8 +17,6 @@ compared. Pivots are chosen by hash among the nodes outside a key's largest grou
 out in blocks of about ``BLOCK``, so no task gathers a key, however many texts share it; keys with the same nodes count
 once. Of a key whose nodes stay apart to the end all pairs that their sizes allow are compared, in these blocks.
 
-The pipeline calls its stage ``simhash_dedup``; what groups texts there are these minima and the exact similarity.
-
 Contract: null and empty texts have no shingles and are one node. Shingles and sets are told apart by 64 bits
 of hash. Repeated rows are kept. An empty table gives an empty result.
 """
@@ -29,10 +32,13 @@ from pyspark.sql import functions as F
 from textquarry.llm._graph import components
 from textquarry.llm._shared import tidy, written
 from textquarry.llm._words import split_words
+from textquarry.llm.simhash import fingerprint_links, prints
 from textquarry.llm.substrings import MULT, rolling
 
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 40
+#: Parities of a set, which bound from below how much two sets differ.
+BITS = 512
 #: Nodes of a key that are compared all with all at once, and nodes held against the others in the first round of
 #: larger keys; each round has ``MORE`` times as many.
 SMALL, PIVOTS, MORE = 16, 4, 8
@@ -82,6 +88,14 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys ^ np.arange(BANDS, dtype=np.uint64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS bits, as bytes, for each set: whether it has an odd number of shingles at a place."""
+    out = np.zeros((len(sets), BITS // 8), np.uint8)
+    for k, s in enumerate(sets):
+        out[k] = np.packbits((np.bincount((s >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(bool))
+    return out
+
+
 def _nodes(column: int):
     def run(batches):
         for batch in batches:
@@ -93,7 +107,9 @@ def _nodes(column: int):
                 keys = band_keys(sets).view(np.int64)
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node), pa.array(size), lists], [*part.schema.names, "node", "size", "keys"])
+                fp = prints(part.column(column)).view(np.int64)
+                bits = pa.array([b.tobytes() for b in parities(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node), pa.array(size), lists, pa.array(fp), bits], [*part.schema.names, "node", "size", "keys", "fp", "bits"])
 
     return run
 
@@ -105,11 +121,14 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["node", "set"])
 
 
-def meetings(node: np.ndarray, size: np.ndarray, group: np.ndarray, pivot: np.ndarray):
-    """Pairs (u > v) of the pivots of one row with its other nodes of other groups that their sizes allow, some at a time."""
+def meetings(node: np.ndarray, size: np.ndarray, group: np.ndarray, pivot: np.ndarray, bits: np.ndarray | None = None):
+    """Pairs (u > v) of the pivots of one row with its other nodes of other groups that their sizes and bits allow, some at a time."""
     own, rest, us, vs, held = np.flatnonzero(pivot), np.flatnonzero(~pivot), [], [], 0
     for k in own.tolist():
         fits = rest[(group[rest] != group[k]) & (np.minimum(size[rest], size[k]) >= SIMILAR * np.maximum(size[rest], size[k]))]
+        if bits is not None:
+            apart = np.bitwise_count(bits[fits] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            fits = fits[apart <= (size[fits] + size[k]) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6]
         us.append(np.maximum(node[fits], node[k]))
         vs.append(np.minimum(node[fits], node[k]))
         held += len(fits)
@@ -121,7 +140,10 @@ def meetings(node: np.ndarray, size: np.ndarray, group: np.ndarray, pivot: np.nd
 def _meet(batches):
     for batch in batches:
         for nodes in batch.column(0):
-            for pairs in meetings(*(nodes.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))):
+            fields = [nodes.values.field(k) for k in range(nodes.values.type.num_fields)]
+            numbers = [f.to_numpy(zero_copy_only=False) for f in fields[:4]]
+            bits = [np.frombuffer(b"".join(f.to_pylist()), np.uint64).reshape(len(f), -1) for f in fields[4:]]
+            for pairs in meetings(*numbers, *bits):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
 
 
@@ -141,9 +163,10 @@ def _dealt(members: DataFrame, apart: DataFrame, pivots: int) -> DataFrame:
     own = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
     rows = rows.withColumn("wanted", wanted)
-    held = rows.select("key", "node", "size", "group", F.lit(False).alias("pivot"), own("n").alias("a"), every("wanted").alias("b"))
-    chosen = rows.filter((F.col("group") != F.col("largest")) & drawn).select("key", "node", "size", "group", F.lit(True).alias("pivot"), every("n").alias("a"), own("wanted").alias("b"))
-    return held.unionAll(chosen).groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "size", "group", "pivot")).alias("nodes")).select("nodes")
+    fields = lambda pivot: [*("node", "size", "group"), F.lit(pivot).alias("pivot"), *(c for c in rows.columns if c == "bits")]
+    held = rows.select("key", own("n").alias("a"), every("wanted").alias("b"), F.struct(*fields(False)).alias("r"))
+    chosen = rows.filter((F.col("group") != F.col("largest")) & drawn).select("key", every("n").alias("a"), own("wanted").alias("b"), F.struct(*fields(True)).alias("r"))
+    return held.unionAll(chosen).groupBy("key", "a", "b").agg(F.collect_list("r").alias("nodes")).select("nodes")
 
 
 def _compare(similar: float):
@@ -169,37 +192,47 @@ def _links(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(tidy(_compare(similar)), "u long, v long")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes (node, fp) that connect those whose fingerprints differ in 4 bits or fewer: no more than nodes and forest links."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    linked = fingerprint_links(first.select("fp")).distinct().join(end("u"), "u").join(end("v"), "v").select("u_first", "v_first")
+    same = nodes.join(first, "fp").filter("node <> first").select("node", "first")
+    pairs = linked.unionAll(same).toDF("a", "b")
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """docs, of which column text is read, with a column group: equal for the rows that links of near copies join."""
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = written(docs.mapInArrow(tidy(_nodes(names.index("text"))), f"{fields}, node long, size long, keys array<long>"), "nodes")
+    rows = written(docs.mapInArrow(tidy(_nodes(names.index("text"))), f"{fields}, node long, size long, keys array<long>, fp long, bits binary"), "nodes")
     nodes = rows.filter("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min("keys").alias("keys"))
+    pairs = written(_simhash_pairs(rows.filter("size > 0").groupBy("node").agg(F.min("fp").alias("fp"))), "pairs")
+    links = written(_links(rows, pairs, SIMILAR), "links")
+    member = components(links)
     own = nodes.select(F.explode("keys").alias("key"), "node", "size")
     # keys with the same nodes, which copies give by the dozen, are one; both aggregations combine before the shuffle
     same = own.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s"))
     keys = written(same.filter("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "keys")
     own = written(own.join(keys, "key"), "members")
-    pairs, links, member, pivots, most = None, None, None, PIVOTS, 1
+    bits = rows.groupBy(F.col("node").alias("w")).agg(F.min("bits").alias("bits"))
+    pivots, most, first = PIVOTS, 1, True
     while most:
-        each = own.withColumn("group", F.col("node"))
-        if member is not None:
-            each = own.join(member.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("key", "node", "size", F.coalesce("component", "node").alias("group"))
+        each = own.join(member.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("key", "node", "size", F.coalesce("component", "node").alias("group"))
         each = written(each, "members")
-        apart = written(_apart(each).filter(F.lit(pairs is None) | (F.col("n") > SMALL)), "apart")
+        apart = written(_apart(each).filter(F.lit(first) | (F.col("n") > SMALL)), "apart")
         outside = F.col("n") - F.col("most")
         met, most = apart.agg(F.count("*"), F.max(F.when((F.col("n") > SMALL) & (outside > pivots), outside))).first()
         if met:
-            new = _dealt(each, apart, pivots).mapInArrow(_meet, "u long, v long").distinct()
-            new = written(new if pairs is None else new.join(pairs, ["u", "v"], "left_anti"), "pairs")
-            pairs = new if pairs is None else pairs.unionAll(new)
+            own = each.join(apart.select("key"), "key", "left_semi").select("key", "node", "size")
+            whole = each.join(bits, F.col("node") == F.col("w")).drop("w")
+            new = _dealt(whole, apart, pivots).mapInArrow(_meet, "u long, v long").distinct()
+            new = written(new.join(pairs, ["u", "v"], "left_anti"), "pairs")
+            pairs = pairs.unionAll(new)
             if not new.isEmpty():
-                found = written(_links(rows, new, SIMILAR), "links")
-                links = found if links is None else links.unionAll(found)
+                links = links.unionAll(written(_links(rows, new, SIMILAR), "links"))
                 member = components(links)
-            own = each.join(apart.select("key"), "key", "left_semi").select("key", "node", "size")
-        pivots *= MORE
-    if member is None:
-        return rows.select(*names, F.col("node").alias("group"))
+        pivots, first = pivots * MORE, False
     joined = rows.join(member.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left")
     return joined.select(*names, F.coalesce("component", "node").alias("group"))

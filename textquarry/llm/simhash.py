@@ -35,29 +35,35 @@ BLOCK = 2048
 GOLAY = 0b101011100011
 
 
+def prints(texts: pa.Array, shingle: int = 4) -> np.ndarray:
+    """The fingerprint of each text, unsigned."""
+    out = np.zeros(len(texts), np.uint64)
+    for i, text in enumerate(texts):
+        text = text.as_py() or b""
+        words = (text.encode("utf-8", "replace") if isinstance(text, str) else text).lower().split()
+        if not words:
+            continue
+        n = max(1, len(words) - shingle + 1)
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begin = np.concatenate([[0], ends[: n - 1]])
+        end = ends[min(shingle, len(words)) - 1 :] - 1
+        h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, n)
+        total = np.zeros(64, np.int64)
+        for k in range(0, n, 65536):
+            total += np.unpackbits(h[k : k + 65536, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def with_fingerprint(docs: DataFrame, shingle: int = 4, drop_text: bool = False) -> DataFrame:
     """docs, of which column text is read, with a column fp: the fingerprint as a signed long."""
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(batch.column(at)):
-                text = text.as_py() or b""
-                words = (text.encode("utf-8", "replace") if isinstance(text, str) else text).lower().split()
-                if not words:
-                    continue
-                n = max(1, len(words) - shingle + 1)
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                begin = np.concatenate([[0], ends[: n - 1]])
-                end = ends[min(shingle, len(words)) - 1 :] - 1
-                h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, n)
-                total = np.zeros(64, np.int64)
-                for k in range(0, n, 65536):
-                    total += np.unpackbits(h[k : k + 65536, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[i] = np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if keep[k]), pa.array(out.view(np.int64))], [*(n for k, n in enumerate(names) if keep[k]), "fp"])
+            fp = pa.array(prints(batch.column(at), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if keep[k]), fp], [*(n for k, n in enumerate(names) if keep[k]), "fp"])
 
     names = docs.columns
     keep = [not (drop_text and k == at) for k in range(len(names))]
