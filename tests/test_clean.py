@@ -242,3 +242,16 @@ def test_keys_in_steps_equal_whole_ones():
         got = tx.in_steps(pa.array(texts, pa.string()), lambda a: (sizes.append(len(a)), tx._folded(a))[1], step)
         assert got.to_pylist() == [None if t is None else whole(t).casefold() for t in texts]
         assert step > 20 or max(sizes) < len(texts)
+
+
+def test_candidates_dealt_out_by_rows(spark, monkeypatch):
+    """Joins and ranks run over as many partitions as the rows ask for, with the same candidates."""
+    from textquarry import session
+    from textquarry.plans import extraction
+
+    assert session.parts(spark.range(1000), 10) == 100 and session.parts(spark.range(10), 10) == spark.sparkContext.defaultParallelism
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, extraction.topk_candidates_capped(spark, sf).collect()))
+    monkeypatch.setattr(extraction, "parts", lambda rows: 37)
+    found = extraction.topk_candidates_capped(spark, sf)
+    assert found.rdd.getNumPartitions() == 37 and sorted(map(tuple, found.collect())) == want

@@ -170,20 +170,22 @@ def verify_records(rows: DataFrame, schema: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def candidate_entities(scores: DataFrame, offsets: DataFrame, threshold: float = 0.0, cap: int = CAP, width: int = WIDTH) -> DataFrame:
+def candidate_entities(scores: DataFrame, offsets: DataFrame, threshold: float = 0.0, cap: int = CAP, width: int = WIDTH, parts: int | None = None) -> DataFrame:
     """(doc_id, type_id, first, last, logit) → the best spans: rank, capped (whether more were above the threshold).
 
     offsets: (doc_id, token, start, end). Spans run forwards, over at most ``width`` tokens that have characters.
+    parts: partitions of joins and ranks (``session.parts``), else the session's number.
     """
+    dealt = lambda rows, *keys: rows.repartition(parts, *keys) if parts else rows
     above = scores.filter((F.col("logit") > threshold) & (F.col("first") <= F.col("last")) & (F.col("last") - F.col("first") < width))
     real = offsets.filter(F.col("end") > F.col("start"))
     begin = real.select("doc_id", F.col("token").alias("first"), "start")
     end = real.select("doc_id", F.col("token").alias("last"), "end")
-    spans = above.join(begin, ["doc_id", "first"]).join(end, ["doc_id", "last"])
+    spans = dealt(above, "doc_id", "first").join(dealt(begin, "doc_id", "first"), ["doc_id", "first"])
+    spans = dealt(dealt(spans, "doc_id", "last").join(dealt(end, "doc_id", "last"), ["doc_id", "last"]), "doc_id")
     by_doc = Window.partitionBy("doc_id")
-    ranked = spans.withColumn("rank", F.row_number().over(by_doc.orderBy(F.desc("logit"), "type_id", "first", "last"))).withColumn("n", F.count("*").over(by_doc))
     # ties go by token places before types
-    ranked = ranked.withColumn("rank", F.row_number().over(by_doc.orderBy(F.desc("logit"), "first", "last", "type_id")))
+    ranked = spans.withColumn("n", F.count("*").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy(F.desc("logit"), "first", "last", "type_id")))
     return ranked.filter(F.col("rank") <= cap).withColumn("capped", F.col("n") > cap).drop("n")
 
 

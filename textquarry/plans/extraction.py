@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import spans as sp
 from textquarry.operators import alias, evidence, relations, thresholds
-from textquarry.session import load
+from textquarry.session import load, parts
 from textquarry.sources.documents import place_blocks, sentences
 
 CUES = {"liquid": r"\bof\b", "article": r"\bthe\b", "toxic": r"idiot|moron", "secret": r"token|key"}
@@ -83,8 +83,10 @@ def topk_candidates_capped(spark, sf):
     line = load(spark, sf, "lineitem")
     scores = line.select(F.col("l_suppkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("type_id"), F.pmod("l_partkey", F.lit(90)).cast("int").alias("first"), F.pmod(F.col("l_partkey") + F.col("l_linenumber") * 20, F.lit(90)).cast("int").alias("last"), (F.col("l_quantity") - 20).alias("logit"), F.col("l_orderkey"))
     tokens = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(89))).alias("token")).withColumn("start", F.col("token") * 2).withColumn("end", F.col("start") + F.when(F.col("token") % 13 == 0, 0).otherwise(2))
-    best = scores.groupBy("doc_id", "type_id", "first", "last").agg(F.max("logit").alias("logit"))
-    return relations.candidate_entities(best, tokens).select("doc_id", "type_id", "first", "last", "logit", "capped")
+    n = parts(line)
+    # what is not above the threshold of 0 is never the best; dealt out before it is grouped, so no task holds more groups than its share
+    best = scores.filter("logit > 0").repartition(n, "doc_id", "type_id", "first", "last").groupBy("doc_id", "type_id", "first", "last").agg(F.max("logit").alias("logit"))
+    return relations.candidate_entities(best, tokens, parts=n).select("doc_id", "type_id", "first", "last", "logit", "capped")
 
 
 def schema(spark):

@@ -29,3 +29,8 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt out to all cores: a small compressed file is one task, however much each of its rows is worked on."""
     return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def parts(rows: DataFrame, most: int = 1 << 19) -> int:
+    """How many partitions hold at most some ``most`` rows each, at least one for each core: a task's share doesn't grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
