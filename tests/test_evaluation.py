@@ -189,3 +189,13 @@ def test_exact_quantiles(spark, monkeypatch):
             want = own[low] if low == at else (low + 1 - at) * own[low] + (at - low) * own[low + 1]
             assert calibration.quantile(frame, "c", share) == want
     assert calibration.quantile(frame.limit(0), "c", 0.5) is None
+
+
+def test_error_partition_dealt_out(spark):
+    """Triples with a null among their keys equal no other kind's, whatever the number of partitions; gold and predictions are grouped once."""
+    texts = spark.createDataFrame([(1, "ab cd ef"), (2, None)], "doc_id int, text string")
+    gold = spark.createDataFrame([(1, 0, 2, "A", 0, 3, 5, "B"), (1, 0, 2, "A", None, 3, 5, "B"), (2, 0, 2, "A", 0, 3, 5, "B"), (2, 1, 2, "A", 0, 3, 5, "B")], TRIPLES)
+    ents = spark.createDataFrame([(1, 0, 2, "A"), (1, 0, 2, "A"), (1, 3, 5, "B")], "doc_id int, start int, end int, type string")
+    for parts in (None, 11):
+        e = analysis.error_partition(gold, gold, ents, texts, parts=parts).first()
+        assert (e.correct, e.missing_with_entity_error, e.missing_despite_both_entities, e.extra) == (1, 1, 1, 2)

@@ -15,21 +15,29 @@ from textquarry.operators.relations import entities
 PAIR = ["s_text", "s_type", "o_text", "o_type"]
 
 
-def error_partition(gold: DataFrame, predicted: DataFrame, predicted_entities: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
+def error_partition(gold: DataFrame, predicted: DataFrame, predicted_entities: DataFrame, texts: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
     """correct, missing_with_entity_error, missing_despite_both_entities, extra, by some columns of texts.
 
     gold, predicted: triples with offsets; a missing one lacks an entity if either end isn't predicted as it stands
-    (of gold triples with equal texts the last one decides). texts: (doc_id, text, by...).
+    (of gold triples with equal texts the last one decides). texts: (doc_id, text, by...). Both kinds are grouped in
+    one pass; parts: partitions of that pass and of the joins (``session.parts``), else the session's number.
     """
-    add = lambda t: t.join(texts.select(F.col("doc_id").alias("_d"), F.col("text").alias("_text")), F.col("doc_id") == F.col("_d")).withColumn("s_text", substring_of(F.col("_text"), F.col("s_start"), F.col("s_end"))).withColumn("o_text", substring_of(F.col("_text"), F.col("o_start"), F.col("o_end"))).drop("_d", "_text")
+    dealt = lambda rows, *columns: rows.repartition(parts, *columns) if parts else rows
+    triple = ["doc_id", "s_start", "s_end", "s_type", "rel", "o_start", "o_end", "o_type"]
+    every = gold.select(*triple, F.lit(True).alias("_gold")).unionByName(predicted.select(*triple, F.lit(False).alias("_gold")))
+    texts_ = texts.select("doc_id", F.col("text").alias("_text"))
+    every = dealt(every, "doc_id").join(dealt(texts_, "doc_id"), "doc_id")
+    every = every.withColumn("s_text", substring_of(F.col("_text"), F.col("s_start"), F.col("s_end"))).withColumn("o_text", substring_of(F.col("_text"), F.col("o_start"), F.col("o_end"))).drop("_text")
     keys = ["doc_id", *SURFACE]
     place = F.struct("s_start", "s_end", "o_start", "o_end")
-    g = add(gold).groupBy(*keys).agg(F.max(place).alias("at")).select(*keys, "at.*", F.lit(1).alias("in_gold"))
-    p = add(predicted).select(*keys).distinct().withColumn("in_pred", F.lit(1))
-    rows = g.join(p, keys, "full_outer").na.fill(0, ["in_gold", "in_pred"])
-    ents = predicted_entities.select("doc_id", "start", "end", "type").distinct()
-    end = lambda c: ents.select("doc_id", F.col("start").alias(f"{c}_start"), F.col("end").alias(f"{c}_end"), F.col("type").alias(f"{c}_type"), F.lit(True).alias(f"_{c}"))
-    rows = rows.join(end("s"), ["doc_id", "s_start", "s_end", "s_type"], "left").join(end("o"), ["doc_id", "o_start", "o_end", "o_type"], "left")
+    # a triple with a null among its keys equals no other kind's
+    alone = F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]), F.col("_gold"))
+    rows = every.groupBy(*keys, alone.alias("_alone")).agg(F.max(F.when(F.col("_gold"), place)).alias("at"), F.max(F.col("_gold").cast("int")).alias("in_gold"), F.max((~F.col("_gold")).cast("int")).alias("in_pred"))
+    rows = rows.select("doc_id", "s_type", "o_type", "at.*", "in_gold", "in_pred")
+    ents = dealt(predicted_entities.select("doc_id", "start", "end", "type"), "doc_id", "start", "end", "type").distinct()
+    for c in "so":
+        on = ["doc_id", f"{c}_start", f"{c}_end", f"{c}_type"]
+        rows = dealt(rows, *on).join(ents.toDF(*on).withColumn(f"_{c}", F.lit(True)), on, "left")
     both = F.col("_s").isNotNull() & F.col("_o").isNotNull()
     missing = (F.col("in_gold") == 1) & (F.col("in_pred") == 0)
     if by:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.stats import argmax
 from textquarry.operators import analysis, bootstrap, calibration, metrics, selection, thresholds
-from textquarry.session import load
+from textquarry.session import load, parts
 
 DIGITS = 6
 
@@ -222,7 +222,7 @@ def relation_summary(spark, sf):
 
 def error_partition(spark, sf):
     gold, predicted, texts, ents = order_triples(spark, sf)
-    return analysis.error_partition(gold, predicted, ents, texts)
+    return analysis.error_partition(gold, predicted, ents, texts, parts=parts(gold, 1 << 17))
 
 
 def error_slices(spark, sf):
