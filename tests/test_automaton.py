@@ -54,3 +54,21 @@ def test_many_terms():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
     held = {t for t in terms if t in text}
     assert {text[r["start"] : r["end"]] for b in machine.over([batch]) for r in b.to_pylist()} == held
+
+
+def test_frequent_terms_take_little_memory():
+    """8 MB of texts in which terms are dense: what a worker holds is bounded, and so is what leaves it at once."""
+    import tracemalloc
+
+    from textquarry.operators import automaton
+
+    texts = ["ab é " * 90_000] * 16
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array(texts)], ["doc_id", "text"])
+    machine, n = Automaton([("ab", "x"), ("b", "y"), ("é", "x")]), 0
+    tracemalloc.start()
+    for out in machine.over(iter([batch])):
+        n += out.num_rows
+        assert out.num_rows <= automaton.MATCHES
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 16 * 3 * 90_000 and peak < 120 << 20

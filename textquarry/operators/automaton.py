@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a step, and of a lane. BETWEEN lies between texts.
-STEP, LANE, BETWEEN = 4 << 20, 512, b"\xff"
+STEP, LANE, BETWEEN = 1 << 20, 256, b"\xff"
+#: Matches in a batch that leaves a worker.
+MATCHES = 1 << 16
 
 
 def _hash(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -132,27 +134,36 @@ class Automaton:
         return np.concatenate(first), np.concatenate(terms)
 
     def over(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, text without nulls) → (doc_id, start, end, type), offsets in characters, by row and start."""
+        """(doc_id, text without nulls) → (doc_id, start, end, type), offsets in characters, by row and start.
+
+        A worker holds the matches of about ``STEP`` bytes of text, or of one longer text, and gives memory back after each batch.
+        """
         for batch in batches:
             size = np.asarray(pc.binary_length(batch.column(1))).astype(np.int64)
             block = np.cumsum(size) // STEP
             cuts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
             for lo, hi in zip(cuts, [*cuts[1:], len(size)]):
-                yield self._found(batch.slice(lo, hi - lo), size[lo:hi])
+                yield from self._found(batch.slice(lo, hi - lo), size[lo:hi])
+            pa.default_memory_pool().release_unused()
 
-    def _found(self, batch: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+    def _found(self, batch: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         body = BETWEEN.join(batch.column(1).cast(pa.large_binary()).to_pylist())
         data = np.frombuffer(body, np.uint8)
         opened = np.cumsum(size + 1) - size - 1  # the byte at which each text begins
         first, term = self.matches(data)
+        order = np.lexsort((self.chars[term], first))
+        first, term = first[order], term[order]
+        del order
         inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no character
+        for lo in range(0, len(first), MATCHES):
+            yield self._rows(batch.column(0), opened, inner, first[lo : lo + MATCHES], term[lo : lo + MATCHES])
+
+    def _rows(self, ids: pa.Array, opened: np.ndarray, inner: np.ndarray, first: np.ndarray, term: np.ndarray) -> pa.RecordBatch:
         row = np.searchsorted(opened, first, side="right") - 1
         begun = opened[row]
         start = first - np.searchsorted(inner, first) - (begun - np.searchsorted(inner, begun))
-        order = np.lexsort((self.chars[term], start, row))
-        row, start, term = row[order], start[order], term[order]
         n = self.kinds[term]
         each = np.repeat(np.arange(len(term)), n)
         kind = np.repeat(self.first_kind[term], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
         end = start + self.chars[term]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[each])), pa.array(start[each].astype(np.int32)), pa.array(end[each].astype(np.int32)), self.kind.take(pa.array(kind))], ["doc_id", "start", "end", "type"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row[each])), pa.array(start[each].astype(np.int32)), pa.array(end[each].astype(np.int32)), self.kind.take(pa.array(kind))], ["doc_id", "start", "end", "type"])
