@@ -2,10 +2,11 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textquarry.functions import spans, stats, text
-from textquarry.plans import templates
+from textquarry.plans import storage, templates
 
 
 def test_long_texts(spark):
@@ -26,6 +27,21 @@ def test_long_vectors(spark):
     assert time.time() - began < 20
 
 
+def test_score_functions_on_long_vectors(spark, tmp_path):
+    vectors = np.random.default_rng(18).normal(size=(4, 1000)).astype("float32")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    began = time.time()
+    made = storage.score_functions(spark, str(tmp_path))
+    got = {r.vec_id: r for r in made.collect()}
+    assert time.time() - began < 30 and len(got) == 4
+    for i, v in enumerate(vectors.astype("float64")):
+        p = np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+        kl = 0.5 * ((p - p[::-1]) * np.log(p / p[::-1])).sum()
+        assert got[i].largest == v.argmax() and abs(got[i].divergence - kl) < 2e-6
+    assert made.rdd.getNumPartitions() > 1
+
+
 def test_reports_are_dealt_out(spark):
     made = templates.reports(spark, "/root/testdata/sf0.001", templates.ENDPOINTS)
     assert "RoundRobin" in made._jdf.queryExecution().executedPlan().toString() or "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
