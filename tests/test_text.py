@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -42,6 +43,21 @@ def test_score_functions_on_long_vectors(spark, tmp_path):
     assert made.rdd.getNumPartitions() > 1
 
 
+def test_score_functions_on_odd_vectors(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    vectors = [None, [], [None], [None, None], [1.0, None, 2.0], [None, 1.0, 2.0, 4.0], [1.0, 2.0, None], [nan, 1.0], [inf, 1.0], [-inf, 1.0], [-inf, None, 1.0], [None, 0.0, 800.0]]
+    vectors += [[0.0, 800.0], [0.0, 800.0, 0.0], [0.0, 745.0], [1e38, -1e38], [5.0], [-0.0, 0.0], [1.0, 3.0, 3.0, 2.0]]
+    rows = [*enumerate(vectors), *((i, [1.0, 2.0]) for i in (None, -1, -80, -81, -161, -500, 160, -(2**63), 2**63 - 1))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    run, sql = storage.QUERIES["score_functions"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    made = run(spark, str(tmp_path))
+    found = con.execute(sql)
+    assert [d[0] for d in found.description] == made.columns
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_reports_are_dealt_out(spark):
     made = templates.reports(spark, "/root/testdata/sf0.001", templates.ENDPOINTS)
     assert "RoundRobin" in made._jdf.queryExecution().executedPlan().toString() or "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()

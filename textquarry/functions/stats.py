@@ -53,6 +53,17 @@ def softmax(scores: Column, temperature: Column | float = 1.0) -> Column:
     return F.transform(log_softmax(scores, temperature), F.exp)
 
 
+def log_quotients(scores: Column) -> Column:
+    """Logarithms of the softmax's quotients: -inf where one underflows to 0, unlike ``log_softmax``; absent scores stay absent and take no part."""
+    log = lambda p: F.when(p == 0, F.lit(float("-inf"))).otherwise(F.log(p))
+
+    def of(top: Column) -> Column:
+        powers = F.transform(scores, lambda s: F.exp(s - top))
+        return once(total(F.filter(powers, lambda e: e.isNotNull())), lambda norm: F.transform(powers, lambda e: log(e / norm)))
+
+    return once(F.array_max(scores), of)
+
+
 def argmax(scores: Column) -> Column:
     """Place of the first largest value, from 0."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
@@ -63,8 +74,9 @@ def one_of(values: list) -> Column:
 
 
 def symmetric_kl(p: Column, q: Column) -> Column:
-    """Half the sum of both directions' divergence of two arrays of log probabilities."""
-    return 0.5 * total(F.zip_with(p, q, lambda a, b: (F.exp(a) - F.exp(b)) * (a - b)))
+    """Half the sum of both directions' divergence of two arrays of log probabilities, over the places that both hold; null if there are none."""
+    terms = F.filter(F.zip_with(p, q, lambda a, b: (F.exp(a) - F.exp(b)) * (a - b)), lambda t: t.isNotNull())
+    return once(terms, lambda t: F.when(F.size(t) > 0, 0.5 * total(t)))
 
 
 def distance_bucket(distance: Column, edges: list[int]) -> Column:

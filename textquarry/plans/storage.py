@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.functions.stats import argmax, distance_bucket, log_softmax, symmetric_kl
+from textquarry.functions.stats import argmax, distance_bucket, log_quotients, once, symmetric_kl
 from textquarry.operators import clean, ner, relations, selection
 from textquarry.plans import templates
 from textquarry.session import load, spread
@@ -241,8 +241,9 @@ def safe_names(spark, sf):
 def score_functions(spark, sf):
     """Places of the largest components, the divergence from the reversed vector, buckets of distances."""
     rows = spread(load(spark, sf, "embeddings").select("vec_id", "embedding")).withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
-    p, q = log_softmax(F.col("x")), log_softmax(F.reverse("x"))
-    return rows.select("vec_id", argmax(F.col("x")).alias("largest"), (F.round(symmetric_kl(p, q), 6) + F.lit(0.0)).alias("divergence"), distance_bucket(F.pmod("vec_id", F.lit(161)) - 80, relations.DISTANCE_EDGES).alias("bucket"))
+    largest = F.when(F.size("x") > 0, F.coalesce(argmax(F.col("x")), F.lit(0)))
+    divergence = once(log_quotients(F.col("x")), lambda p: symmetric_kl(p, F.reverse(p)))
+    return rows.select("vec_id", largest.alias("largest"), (F.round(divergence, 6) + F.lit(0.0)).alias("divergence"), distance_bucket(F.col("vec_id") % 161 - 80, relations.DISTANCE_EDGES).alias("bucket"))
 
 
 LINE = "row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey)"
