@@ -37,7 +37,7 @@ def _words(spark, sf, pattern):
 def span_overlap(spark, sf):
     """Pairs of words that overlap once three characters are added to each."""
     words = _words(spark, sf, "[a-z]+").withColumn("end", F.col("end") + 3)
-    pairs = intervals.overlapping(words, words).filter("left.start < right.start")
+    pairs = intervals.overlapping(words, words, rising=True)
     return pairs.groupBy(F.col("left.doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
