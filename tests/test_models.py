@@ -1,11 +1,14 @@
 """Span scores, pooled spans and losses against plain loops; the split bootstrap against its law."""
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_intervals import stages
 from textquarry.operators import bootstrap, losses, pointer, relations
 
 rng = np.random.default_rng(3)
@@ -100,3 +103,29 @@ def test_split_bootstrap(spark):
     with pytest.raises(ValueError):
         bootstrap.paired_documents(counts, 5, method="other")
     assert bootstrap.split_sums(counts.limit(0), "doc_id", F.array(F.lit("x")), F.array(F.lit(1)), 5, 1).collect() == []
+
+
+def test_slot_sums(spark, monkeypatch):
+    """Draws that reach their rows packed, in many blocks and steps of one to four bytes, against hashes in a loop."""
+    rows = spark.range(700).select(F.col("id").alias("number"), (F.col("id") % 7).alias("x"), (F.col("id") * 3 - 50).alias("y"))
+    expected = {}
+    for r in range(6):
+        drawn = [int(hashlib.sha256(f"9:{r}:{s}".encode()).hexdigest()[:12], 16) % 700 for s in range(700)]
+        expected[r] = (sum(d % 7 for d in drawn), sum(d * 3 - 50 for d in drawn))
+    for block, slots, task in ((1 << 22, 1 << 16, 1 << 24), (300, 64, 500)):
+        monkeypatch.setattr(bootstrap, "BLOCK", block)
+        monkeypatch.setattr(bootstrap, "SLOTS", slots)
+        monkeypatch.setattr(bootstrap, "TASK", task)
+        got = bootstrap.slot_sums(rows.repartition(3), ["x", "y"], 700, 6, 9).collect()
+        assert {r.replicate: (r.x, r.y) for r in got} == expected
+    assert bootstrap.slot_sums(rows.limit(0), ["x", "y"], 0, 6, 9).collect() == []
+    apart = bootstrap._steps(10**9, 10**9)([pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array([5, 5, 400, 10**8])], ["r", "d"])])
+    assert [(b["bytes"], np.cumsum(np.frombuffer(b["steps"], "u4")).tolist()) for x in apart for b in x.to_pylist()] == [(4, [5, 5, 400, 10**8])]
+
+
+def test_slots_shuffle_little(spark):
+    """Draws were rows of a shuffle twice, some 25 bytes for each; as packed steps they are one to three."""
+    counts = spark.range(20_000).select(F.col("id").alias("doc_id"), *(((F.col("id") * k) % 5).alias(f"{c}_{s}") for k, (s, c) in enumerate(((s, c) for s in "rc" for c in ("correct", "predicted", "gold")), 1)))
+    before = sum(s.shuffleWriteBytes() for s in stages(spark))
+    assert bootstrap.paired_documents(counts, 50, method="slots").first().replicates == 50
+    assert sum(s.shuffleWriteBytes() for s in stages(spark)) - before < 6_000_000

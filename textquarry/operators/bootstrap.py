@@ -3,7 +3,8 @@
 Each replicate draws as many rows of a class as it has, with replacement. How often a row is drawn is settled in one of
 two ways:
 
-- ``slots``: every slot of a class gets a hashed row number. Any SQL engine can repeat it, but a draw is a row of a shuffle;
+- ``slots``: every slot of a class gets a hashed row number. Any SQL engine can repeat it, but a draw is a row of a shuffle, in
+  ``draws``, or a byte or two of one, in ``slot_sums``: sorted numbers, as steps;
 - ``split``: rows are numbered by hash; a class of n rows has n draws, which are parted between the halves of its numbers by
   a binomial draw, again and again, down to blocks of ``LEAF`` rows, and within a block by a multinomial draw. The generator
   of a node is seeded by (seed, class, node), so each task walks down to its own rows without asking the others, all
@@ -103,6 +104,69 @@ def split_sums(rows: DataFrame, id_: str, cells: Column, amounts: Column, replic
     return found.groupBy("cell", "replicate").agg(F.sum("total").alias("total"))
 
 
+#: Draws of a block of rows in all replicates; slots that are made at once; draws of a task.
+BLOCK, SLOTS, TASK = 1 << 22, 1 << 16, 1 << 24
+
+
+def _steps(size: int, width: int):
+    """(replicate, number) → for each block of ``width`` numbers and replicate its draws, sorted, as steps from the block's start."""
+
+    def packed(replicate: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        key = np.sort(replicate.astype(np.int64) * size + number)
+        replicate, number = np.divmod(key, size)
+        block = number // width
+        cuts = np.flatnonzero((np.diff(replicate, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        steps = np.diff(number, prepend=0)
+        steps[cuts] = number[cuts] - block[cuts] * width
+        kinds = [np.min_scalar_type(x) for x in np.maximum.reduceat(steps, cuts)]
+        found = [steps[lo:hi].astype(k).tobytes() for lo, hi, k in zip(cuts.tolist(), [*cuts[1:].tolist(), len(steps)], kinds)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(replicate[cuts], pa.int32()), pa.array([k.itemsize for k in kinds], pa.int32()), pa.array(found, pa.binary())], ["block", "replicate", "bytes", "steps"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(k).to_numpy() for k in range(2)))
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield packed(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+def _drawn_sums(columns: list[str], replicates: int):
+    """Amounts of a block's rows times how often they are drawn, for each replicate."""
+
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        amounts = np.zeros((1 + max(rows.column("place").to_pylist(), default=-1), len(columns)), np.int64)
+        amounts[rows.column("place").to_numpy()] = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)
+        totals = np.zeros((replicates, len(columns)), np.int64)
+        for replicate, size, steps in zip(*(draws.column(c).to_pylist() for c in ("replicate", "bytes", "steps"))):
+            places = np.cumsum(np.frombuffer(steps, f"u{size}"), dtype=np.int64)
+            totals[replicate] += np.bincount(places, minlength=len(amounts)) @ amounts
+        return pa.table([pa.array(np.arange(replicates), pa.int32()), *(pa.array(x) for x in totals.T)], ["replicate", *columns])
+
+    return run
+
+
+def slot_sums(rows: DataFrame, columns: list[str], size: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, columns): sums over the rows that ``draws`` would draw. rows: a number from 0 to ``size`` and amounts (long)."""
+    spark = rows.sparkSession
+    width, chunks = max(1, BLOCK // replicates), max(1, -(-size // SLOTS))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size * replicates // TASK))
+    lo = F.col("id") % chunks * SLOTS
+    units = spark.range(0, chunks * replicates, 1, tasks) if size else spark.range(0)
+    slots = units.select(F.floor(F.col("id") / chunks).cast("int").alias("replicate"), F.explode(F.sequence(lo, F.least(lo + SLOTS, F.lit(size)) - 1)).alias("slot"))
+    drawn = slots.select("replicate", draw(F.col("replicate"), F.col("slot"), F.lit(size), seed).alias("number"))
+    drawn = drawn.mapInArrow(_steps(size, width), "block long, replicate int, bytes int, steps binary").repartition(tasks, "block")
+    rows = rows.select(F.expr(f"number div {width}").alias("block"), (F.col("number") % width).cast("int").alias("place"), *columns).repartition(tasks, "block")
+    shape = ", ".join(["replicate int", *(f"{c} long" for c in columns)])
+    sums = rows.groupBy("block").cogroup(drawn.groupBy("block")).applyInArrow(_drawn_sums(columns, replicates), shape)
+    return sums.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def interval(deltas: DataFrame, observed: DataFrame, column: str = "delta") -> DataFrame:
     """observed, lower, upper (95 %, linear between ranks), replicates."""
     ci = deltas.agg(F.percentile(column, F.lit(0.025)).alias("lower"), F.percentile(column, F.lit(0.975)).alias("upper"), F.count("*").alias("replicates"))
@@ -124,8 +188,12 @@ def paired_documents(counts: DataFrame, replicates: int = 600, seed: int = 31415
         totals = split_sums(counts, key, F.array(*map(F.lit, columns)), F.array(*columns), replicates, seed)
         sums = totals.groupBy("replicate").agg(*(F.sum(F.when(F.col("cell") == c, F.col("total"))).alias(c) for c in columns))
         return interval(sums.select(delta().alias("delta")), observed)
-    sampled = draws(counts, key, replicates, seed).join(counts, key)
-    sums = sampled.groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in columns))
+    # numbered once, and read for their count, for the rows and for what was observed; a null key has a slot and no row
+    amounts = [F.when(F.col(key).isNotNull(), F.coalesce(c, F.lit(0)).cast("long")).otherwise(0).alias(c) for c in columns]
+    ranked = hash_rank(counts.select(key, *columns).withColumn("_g", F.lit(0)), ["_g"], F.sha2(F.col(key).cast("string"), 256), key)
+    ranked = ranked.select(key, (F.col("rank") - 1).alias("number"), *columns).persist()
+    sums = slot_sums(ranked.select("number", *amounts), columns, ranked.count(), replicates, seed)
+    observed = ranked.agg(*(F.sum(c).alias(c) for c in columns)).select(delta().alias("observed"))
     return interval(sums.select(delta().alias("delta")), observed)
 
 
