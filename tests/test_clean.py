@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_intervals import stages
 from textquarry.functions import text as tx
 from textquarry.operators import clean, relations
 from textquarry.operators.ranking import hash_rank
+from textquarry.session import stored
 
 SCHEMA = "text string, label string, split string, source_line int"
 
@@ -255,3 +257,22 @@ def test_candidates_dealt_out_by_rows(spark, monkeypatch):
     monkeypatch.setattr(extraction, "parts", lambda rows: 37)
     found = extraction.topk_candidates_capped(spark, sf)
     assert found.rdd.getNumPartitions() == 37 and sorted(map(tuple, found.collect())) == want
+
+
+def test_prepare_keeps_texts_out_of_memory(spark):
+    """Eight megabytes of texts: checks cached them twice, beside their keys, and shuffled them with the facts of their groups."""
+    text = F.concat(*(F.sha2(F.concat("id", F.lit(f"-{k}")), 256) for k in range(32)))
+    rows = spark.range(4000).select(text.alias("text"), (F.col("id") % 3).cast("string").alias("label"), F.lit(None).cast("string").alias("split"), F.col("id").alias("source_line"))
+    cached = lambda: sum(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    before = cached(), sum(s.shuffleWriteBytes() for s in stages(spark))
+    found = clean.prepare(rows)
+    assert found.clean.groupBy("split").count().count() == 3 and found.rejected.count() == 0
+    assert cached() == before[0] and sum(s.shuffleWriteBytes() for s in stages(spark)) - before[1] < 8_000_000
+    kept = found.clean.join(rows.select("source_line", F.col("text").alias("given")), "source_line")
+    assert kept.filter("text = given").count() == 4000 and set(found.clean.columns) == {"text", "label", "split", "source_line"}
+
+
+def test_stored(spark):
+    rows = spark.createDataFrame([(1, None), (2, "b")], "id int, t string")
+    assert sorted(stored(rows).collect()) == sorted(rows.collect())
+    assert stored(rows.limit(0)).schema == rows.schema and stored(rows.limit(0)).count() == 0

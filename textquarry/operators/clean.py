@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.text import normalize, seeded_order, text_key
 from textquarry.operators.ranking import hash_rank
+from textquarry.session import stored
 
 SPLITS = ("train", "validation", "test")
 MOST_TEXT, MOST_LABEL = 20000, 100
@@ -48,26 +49,26 @@ def identity(key: str) -> Column:
     return F.unhex(F.sha2(F.col(key), 256))
 
 
-def group_facts(rows: DataFrame, key: str = "key", line: str = "source_line") -> DataFrame:
-    """For each key (as ``identity``): its size, first line, whether labels conflict, whether splits differ.
+def group_facts(rows: DataFrame, key: str = "key", line: str = "source_line", same: Column | None = None) -> DataFrame:
+    """For each key (as ``identity``, or ``same`` where rows have that already): its size, first line, whether labels conflict, whether splits differ.
 
     Labels and splits are compared by 64 bits of hash, which hash aggregation can hold.
     """
     label, split = F.xxhash64("label"), F.when(F.col("split").isNotNull(), F.xxhash64("split"))
-    return rows.groupBy(identity(key).alias("_key")).agg(
+    return rows.groupBy((identity(key) if same is None else same).alias("_key")).agg(
         F.count("*").alias("copies"), F.min(line).alias("first_line"),
         (F.min(label) != F.max(label)).alias("conflict"), F.coalesce(F.min(split) != F.max(split), F.lit(False)).alias("leak"),
     )
 
 
-def with_facts(rows: DataFrame, key: str = "key", line: str = "source_line") -> DataFrame:
-    facts = group_facts(rows, key, line)
-    return rows.join(facts, identity(key) == F.col("_key")).drop("_key")
+def with_facts(rows: DataFrame, key: str = "key", line: str = "source_line", same: Column | None = None) -> DataFrame:
+    facts = group_facts(rows, key, line, same)
+    return rows.join(facts, (identity(key) if same is None else same) == F.col("_key")).drop("_key")
 
 
-def deduplicated(rows: DataFrame, line: str = "source_line") -> Cleaned:
+def deduplicated(rows: DataFrame, line: str = "source_line", same: Column | None = None) -> Cleaned:
     """Groups with conflicting labels go as a whole; then a group that spans splits stops the run; then the first row stays."""
-    rows = with_facts(rows, line=line)
+    rows = with_facts(rows, line=line, same=same)
     leaks = rows.filter("leak AND NOT conflict").orderBy(line).select(line).limit(20).collect()
     if leaks:
         raise ValueError(f"equal texts in different splits, lines {[r[0] for r in leaks]}")
@@ -86,9 +87,12 @@ def check_split_policy(rows: DataFrame) -> bool:
     return given > 0
 
 
-def assign_splits(rows: DataFrame, seed: int | str = 42, share: float = 0.2, group: str = "label", key: str = "key") -> DataFrame:
-    """For each label the first floor(share * n) rows (one at least) in seeded order are test, the next validation, the rest train."""
-    ranked = hash_rank(rows.drop("split"), [group], seeded_order(seed, F.col(key)), key)
+def assign_splits(rows: DataFrame, seed: int | str = 42, share: float = 0.2, group: str = "label", key: str = "key", order: Column | None = None) -> DataFrame:
+    """For each label the first floor(share * n) rows (one at least) in seeded order are test, the next validation, the rest train.
+
+    order: where rows have the seeded order already.
+    """
+    ranked = hash_rank(rows.drop("split"), [group], seeded_order(seed, F.col(key)) if order is None else order, key)
     n = F.greatest(F.lit(1), F.floor(F.col("group_size") * share))
     split = F.when(F.col("rank") <= n, "test").when(F.col("rank") <= 2 * n, "validation").otherwise("train")
     return ranked.withColumn("split", split).drop("rank", "group_size")
@@ -112,16 +116,18 @@ def check_classes(rows: DataFrame, least: int = 0) -> None:
 
 def prepare(rows: DataFrame, seed: int | str = 42) -> Cleaned:
     """The whole way from labelled rows to a clean, split dataset and its audit."""
-    checked = validated(rows).persist()  # read by each of the checks below; lost blocks are computed again
+    # each of the checks below reads a few narrow columns; texts, cached or shuffled with them, would grow with the table in memory
+    digests = validated(rows).withColumn("_digest", identity("key")).withColumn("_place", seeded_order(seed, F.col("key")))
+    checked = stored(digests.drop("key"))
     if not checked.limit(1).count():
         raise ValueError("the dataset is empty")
-    found = deduplicated(checked.filter("reason IS NULL").drop("reason"))
-    clean = found.clean.persist()
+    found = deduplicated(checked.filter("reason IS NULL").drop("reason"), same=F.col("_digest"))
+    clean = found.clean
     if not check_split_policy(clean):
         check_classes(clean.withColumn("split", F.lit("train")), 5)
-        clean = assign_splits(clean, seed)
+        clean = assign_splits(clean, seed, key="_digest", order=F.col("_place"))
     check_classes(clean)
-    return Cleaned(clean.drop("key"), checked.filter("reason IS NOT NULL").select("source_line", "reason").unionByName(found.rejected))
+    return Cleaned(clean.drop("_digest", "_place"), checked.filter("reason IS NOT NULL").select("source_line", "reason").unionByName(found.rejected))
 
 
 def held_out_duplicates(rows: DataFrame) -> DataFrame:
